@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from .. import names
 from .values import col, to_number
 
-_TEXT_DATES = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "MMM d, yyyy"]
+_TEXT_DATES = ["yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "MMM d, yyyy"]
 
 
 def parse_day(c: Column | str) -> Column:
     """Eight-digit numbers as yyyyMMdd (also ``20240131.0``), else a written date; bad -> NULL."""
     text = F.trim(col(c).cast("string"))
     digits = to_number(text).cast("decimal(20,0)").cast("string")
-    compact = F.when(digits.rlike(r"^\d{8}$"), F.try_to_date(digits, "yyyyMMdd"))
-    written = F.when(
-        ~text.rlike(r"^\d+(\.\d+)?$"),
-        F.coalesce(
-            F.to_date(text.try_cast("timestamp_ntz")),
-            *[F.try_to_date(text, pattern) for pattern in _TEXT_DATES[1:]],
-        ),
+    written = F.coalesce(
+        F.to_date(text.try_cast("timestamp_ntz")),
+        *[F.try_to_date(text, pattern) for pattern in _TEXT_DATES],
+    )
+    return (
+        F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
+        .when(text.rlike(r"^\d{8}\.\d*$|^\d\.\d+[eE]\+?0?7$"), F.try_to_date(digits, "yyyyMMdd"))
+        .when(~text.rlike(r"^\d+(\.\d+)?$"), written)
     )
-    return F.coalesce(compact, written)
 
 
 def clock_seconds(c: Column | str) -> Column:

@@ -1,8 +1,9 @@
 """Land-cover fractions, labels, vegetation kinds and sample weights.
 
-Arg-max, sum and entropy are written as ``greatest``/``when``/arithmetic over
-the class columns, so they stay inside whole-stage code generation and allocate
-no arrays.
+Arg-max, sum and entropy are ``greatest``/``CASE``/arithmetic over the class
+columns: they stay inside whole-stage code generation and allocate no arrays.
+They are built as SQL text because a row of seventeen classes would otherwise
+take hundreds of calls into the JVM per expression.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import names
-from .values import clip, col, finite, sum_present, total
+from .values import clip, col, finite, finite_text, quoted, sum_present
 
 
 def safe_fraction(c: Column | str) -> Column:
@@ -21,42 +22,63 @@ def safe_fraction(c: Column | str) -> Column:
     return F.greatest(F.coalesce(finite(c), F.lit(0.0)), F.lit(0.0))
 
 
-def _first_at_maximum(values: Sequence[Column], labels: Sequence[str]) -> Column:
-    top = F.greatest(*values)
-    chain = F.when(values[0] == top, F.lit(labels[0]))
-    for value, label in zip(values[1:], labels[1:]):
-        chain = chain.when(value == top, F.lit(label))
-    return chain
+def _safe_text(name: str) -> str:
+    return f"greatest(coalesce({finite_text(name)}, 0D), 0D)"
+
+
+def _total_text(classes: Sequence[str]) -> str:
+    return "(" + " + ".join(_safe_text(c) for c in classes) + ")"
+
+
+def _top_text(values: Sequence[str]) -> str:
+    return f"greatest({', '.join(values)})"
+
+
+def _first_at_maximum(values: Sequence[str], labels: Sequence[str], top: str) -> str:
+    arms = " ".join(f"WHEN {value} = {top} THEN '{label}'" for value, label in zip(values, labels))
+    return f"CASE {arms} END"
+
+
+def fraction_totals(classes: Sequence[str]) -> dict[str, Column]:
+    """Sum and maximum of the safe fractions: compute once, then pass to the functions below."""
+    return {
+        "whole": F.expr(_total_text(classes)),
+        "top": F.expr(_top_text([_safe_text(c) for c in classes])),
+    }
 
 
 def dominant_class(
-    classes: Sequence[str], labels: Sequence[str] | None = None, legacy_first_class: bool = False
+    classes: Sequence[str],
+    labels: Sequence[str] | None = None,
+    legacy_first_class: bool = False,
+    whole: str | None = None,
+    top: str | None = None,
 ) -> Column:
     """Class with the largest fraction, the first one on ties.
 
     Without any positive fraction the class is NULL; ``legacy_first_class``
-    returns the first class instead, as an arg-max over zeros would.
+    returns the first class instead, as an arg-max over zeros would. ``whole``
+    and ``top`` name columns that already hold sum and maximum.
     """
-    labels = list(labels or classes)
-    values = [safe_fraction(c) for c in classes]
-    best = _first_at_maximum(values, labels)
-    return best if legacy_first_class else F.when(total(values) > 0, best)
+    values = [_safe_text(c) for c in classes]
+    best = _first_at_maximum(values, list(labels or classes), quoted(top) if top else _top_text(values))
+    if legacy_first_class:
+        return F.expr(best)
+    return F.expr(f"CASE WHEN {quoted(whole) if whole else _total_text(classes)} > 0 THEN {best} END")
 
 
-def dominant_share(classes: Sequence[str]) -> Column:
-    values = [safe_fraction(c) for c in classes]
-    return F.try_divide(F.greatest(*values), total(values))
+def dominant_share(classes: Sequence[str], whole: str | None = None, top: str | None = None) -> Column:
+    totals = fraction_totals(classes) if not (whole and top) else {}
+    return F.try_divide(F.col(top) if top else totals["top"], F.col(whole) if whole else totals["whole"])
 
 
-def entropy(classes: Sequence[str]) -> Column:
+def entropy(classes: Sequence[str], whole: str | None = None) -> Column:
     """Shannon entropy of the normalised fractions; 0 for a row without fractions."""
-    values = [safe_fraction(c) for c in classes]
-    whole = total(values)
-    terms = []
-    for value in values:
-        share = value / whole
-        terms.append(-share * F.log(F.least(F.greatest(share, F.lit(1e-12)), F.lit(1.0))))
-    return F.when(whole > 0, total(terms)).otherwise(F.lit(0.0))
+    total = quoted(whole) if whole else _total_text(classes)
+    terms = " + ".join(
+        f"{_safe_text(c)} / {total} * ln(least(greatest({_safe_text(c)} / {total}, 1e-12D), 1D))" for c in classes
+    )
+    return F.expr(f"CASE WHEN {total} > 0 THEN -({terms}) ELSE 0D END")
 
 
 def purity_weight(
@@ -83,7 +105,7 @@ def nonvegetation_share(classes: Sequence[str] = tuple(names.NONVEGETATION_CLASS
     """Sum of the non-vegetation classes; sums above 1 are taken as percent."""
     if not classes:
         return F.lit(0.0)
-    whole = total([safe_fraction(c) for c in classes])
+    whole = F.expr(_total_text(classes))
     return F.when(whole > 1.0, whole / F.lit(100.0)).otherwise(whole)
 
 
@@ -97,14 +119,14 @@ def merged_groups(with_mixed_herb: bool = False) -> dict[str, Column]:
 
 def merged_dominant() -> dict[str, Column]:
     """Dominant of the nine merged classes, over columns made by ``merged_groups``."""
-    values = [finite(c) for c in names.MERGED_ORDER]
-    lowest = F.lit(float("-inf"))
-    comparable = [F.coalesce(v, lowest) for v in values]
-    present = F.coalesce(*values).isNotNull()
+    values = [finite_text(c) for c in names.MERGED_ORDER]
+    comparable = [f"coalesce({v}, CAST('-Infinity' AS DOUBLE))" for v in values]
+    top = _top_text(comparable)
+    present = f"coalesce({', '.join(values)}) IS NOT NULL"
     nonveg = finite("NonVeg")
     return {
-        "lc_dom": F.when(present, _first_at_maximum(comparable, names.MERGED_ORDER)).otherwise("Unknown"),
-        "lc_dom_frac": F.when(present, F.greatest(*comparable)),
+        "lc_dom": F.expr(f"CASE WHEN {present} THEN {_first_at_maximum(comparable, names.MERGED_ORDER, top)} ELSE 'Unknown' END"),
+        "lc_dom_frac": F.expr(f"CASE WHEN {present} THEN {top} END"),
         "nonveg_frac": nonveg,
         "nonveg_skip": (F.coalesce(nonveg, F.lit(0.0)) >= names.NONVEG_TRAINING_MAX).cast("int"),
     }
@@ -112,11 +134,8 @@ def merged_dominant() -> dict[str, Column]:
 
 def class_of_label(label: Column | str) -> Column:
     """Class code of a land-cover label; unmapped and missing labels are ``Unknown``."""
-    chain = None
-    for text, code in names.CLASS_OF_LABEL.items():
-        hit = col(label) == text
-        chain = F.when(hit, code) if chain is None else chain.when(hit, code)
-    return chain.otherwise("Unknown")
+    table = F.create_map(*[F.lit(part) for pair in names.CLASS_OF_LABEL.items() for part in pair])
+    return F.coalesce(F.element_at(table, col(label)), F.lit("Unknown"))
 
 
 def _lookup(text: Column, table: dict[str, list[str]], default: str) -> Column:

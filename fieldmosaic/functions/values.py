@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,28 +42,35 @@ def fill_missing(c: Column | str, constant: float | None) -> Column:
     return col(c) if constant is None else F.coalesce(finite(c), F.lit(float(constant)))
 
 
-def total(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def quoted(name: str) -> str:
+    return f"`{name}`"
 
 
-def sum_present(columns: Iterable[Column | str]) -> Column:
-    """Sum over the values that are present; NULL when none is."""
-    values = [finite(c) for c in columns]
-    return F.when(F.coalesce(*values).isNotNull(), total([F.coalesce(v, F.lit(0.0)) for v in values]))
+def finite_text(name: str) -> str:
+    """SQL text of ``finite`` for a column name: wide row sums are parsed once, in the JVM."""
+    number = f"CAST({quoted(name)} AS DOUBLE)"
+    return f"CASE WHEN abs({number}) < CAST('Infinity' AS DOUBLE) THEN {number} END"
 
 
-def mean_present(columns: Iterable[Column | str]) -> Column:
-    values = [finite(c) for c in columns]
-    present = total([v.isNotNull().cast("int") for v in values])
-    return F.try_divide(sum_present(values), present.cast("double"))
+def sum_present(names: Iterable[str]) -> Column:
+    """Sum over the columns that are present; NULL when none is."""
+    values = [finite_text(n) for n in names]
+    whole = " + ".join(f"coalesce({v}, 0D)" for v in values)
+    return F.expr(f"CASE WHEN coalesce({', '.join(values)}) IS NOT NULL THEN {whole} END")
 
 
-def any_present(columns: Iterable[Column | str]) -> Column:
-    return F.coalesce(*[col(c) for c in columns]).isNotNull()
+def mean_present(names: Iterable[str]) -> Column:
+    values = [finite_text(n) for n in names]
+    present = " + ".join(f"CAST(({v}) IS NOT NULL AS DOUBLE)" for v in values)
+    return F.try_divide(sum_present(names), F.expr(present))
 
 
-def all_present(columns: Iterable[Column | str]) -> Column:
-    return reduce(lambda a, b: a & b, [col(c).isNotNull() for c in columns])
+def any_present(names: Iterable[str]) -> Column:
+    return F.expr(f"coalesce({', '.join(quoted(n) for n in names)}) IS NOT NULL")
+
+
+def all_present(names: Iterable[str]) -> Column:
+    return F.expr(" AND ".join(f"{quoted(n)} IS NOT NULL" for n in names))
 
 
 def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:

@@ -46,32 +46,31 @@ def training_base(df: DataFrame, core: Sequence[str] = tuple(names.CORE_FEATURES
     """
     require_columns(df, [*KEYS[1:], label, *names.BANDS, *core, *names.VEGETATION_CLASSES])
     numbers = [c for c in [*names.BANDS, *core, *names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES] if c in df.columns]
-    df = df.withColumns({c: values.finite(c) for c in ["lfmc_pct", "lat", "lon", *numbers]})
+    df = df.withColumns({c: F.expr(values.finite_text(c)) for c in ["lfmc_pct", "lat", "lon", *numbers]})
     out = base_filter(df, core).withColumns(season_terms())
     props, labels = proportion_columns(df.columns)
-    if props:
-        share = landcover.dominant_share(props)
-        terms = {
-            "igbp_dom": landcover.dominant_class(props, labels),
-            "igbp_dom_frac": share,
-            "igbp_entropy": landcover.entropy(props),
-            "igbp_weight": landcover.purity_weight(share),
-        }
-    else:
-        terms = landcover.single_label_terms(label)
     classes = names.VEGETATION_CLASSES
     other = [c for c in names.NONVEGETATION_CLASSES if c in df.columns]
+    out = dominance_terms(out, classes, classes, "lc_dom")
+    out = dominance_terms(out, props, labels, "igbp_dom") if props else out.withColumns(landcover.single_label_terms(label))
     return out.withColumns(
+        {"nonveg_frac": landcover.nonvegetation_share(other), "igbp_to_lc_dom": landcover.class_of_label(label)}
+    )
+
+
+def dominance_terms(df: DataFrame, classes: Sequence[str], labels: Sequence[str], out: str) -> DataFrame:
+    """Dominant class, its share, entropy and weight; sum and maximum are computed once."""
+    stem = out.removesuffix("_dom")
+    totals = landcover.fraction_totals(classes)
+    staged = df.withColumns({"__whole": totals["whole"], "__top": totals["top"]})
+    staged = staged.withColumns(
         {
-            **terms,
-            "lc_dom": landcover.dominant_class(classes),
-            "lc_dom_frac": landcover.dominant_share(classes),
-            "lc_entropy": landcover.entropy(classes),
-            "lc_weight": landcover.purity_weight(landcover.dominant_share(classes)),
-            "nonveg_frac": landcover.nonvegetation_share(other),
-            "igbp_to_lc_dom": landcover.class_of_label(label),
+            out: landcover.dominant_class(classes, labels, whole="__whole", top="__top"),
+            f"{out}_frac": landcover.dominant_share(classes, "__whole", "__top"),
+            f"{stem}_entropy": landcover.entropy(classes, "__whole"),
         }
     )
+    return staged.withColumn(f"{stem}_weight", landcover.purity_weight(f"{out}_frac")).drop("__whole", "__top")
 
 
 @dataclass(frozen=True)
@@ -182,11 +181,8 @@ def transfer_frame(df: DataFrame, country: str = "country", region: str = "state
 def aligned_for_scoring(df: DataFrame, label: str | None = "igbp_label") -> DataFrame:
     """Season and class columns recomputed the training way on raw product columns."""
     classes = names.VEGETATION_CLASSES
-    made = {
-        **season_terms(),
-        "lc_dom": landcover.dominant_class(classes),
-        "lc_dom_frac": landcover.dominant_share(classes),
-    }
+    made = dominance_terms(df.drop("lc_dom", "lc_dom_frac"), classes, classes, "lc_dom").drop("lc_entropy", "lc_weight")
+    made = made.withColumns(season_terms())
     if label and label in df.columns:
-        made["igbp_to_lc_dom"] = landcover.class_of_label(label)
-    return df.withColumns(made)
+        made = made.withColumn("igbp_to_lc_dom", landcover.class_of_label(label))
+    return made

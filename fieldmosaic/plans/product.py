@@ -43,7 +43,7 @@ def daily_features(
     out = align.interpolated_values(out, lai, "LAI")
     out = align.static_values(out, static)
     out = align.annual_values(out.withColumn("year", F.year("date")), annual).drop("year")
-    present = {c: values.finite(c) if c in out.columns else F.lit(None).cast("double") for c in [*names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES]}
+    present = {c: F.expr(values.finite_text(c)) if c in out.columns else F.lit(None).cast("double") for c in [*names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES]}
     out = out.withColumns(present).withColumns(landcover.merged_groups()).withColumns(landcover.merged_dominant())
     return out.withColumns(
         {

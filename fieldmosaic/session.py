@@ -19,6 +19,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Wide feature expressions make thousands of Column calls; without the
+    # per-call stack capture a plan is built several times faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
