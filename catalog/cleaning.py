@@ -294,16 +294,16 @@ def _(x):
 
 @query(
     "ag27_combined_kind",
-    """SELECT user_id, CASE WHEN count(kind) = count(*) AND min(kind) = max(kind) THEN min(kind) ELSE 'Mix' END AS FT FROM (
-         SELECT user_id, CASE lower(ft) WHEN 'tree' THEN 'Tree' WHEN 'small tree' THEN 'Tree' WHEN 'large shrub' THEN 'Shrub' WHEN 'graminoid' THEN 'Herb' END AS kind
-         FROM (SELECT event_id % 500 AS user_id, CASE event_type WHEN 'click' THEN 'Small tree' WHEN 'view' THEN 'Tree' WHEN 'error' THEN 'Large shrub'
-                      WHEN 'signup' THEN 'Graminoid' ELSE 'Liana' END AS ft FROM events WHERE value > 60)) GROUP BY user_id""",
+    """SELECT cell, CASE WHEN count(kind) = count(*) AND min(kind) = max(kind) THEN min(kind) ELSE 'Mix' END AS FT FROM (
+         SELECT cell, CASE lower(ft) WHEN 'tree' THEN 'Tree' WHEN 'small tree' THEN 'Tree' WHEN 'large shrub' THEN 'Shrub' WHEN 'graminoid' THEN 'Herb' END AS kind
+         FROM (SELECT event_id // 2 AS cell, CASE event_type WHEN 'click' THEN 'Small tree' WHEN 'view' THEN 'Tree' WHEN 'error' THEN 'Large shrub'
+                      WHEN 'signup' THEN 'Graminoid' ELSE 'Liana' END AS ft FROM events)) GROUP BY cell""",
 )
 def _(x):
     kind = F.when(F.col("event_type") == "click", "Small tree").when(F.col("event_type") == "view", "Tree")
     kind = kind.when(F.col("event_type") == "error", "Large shrub").when(F.col("event_type") == "signup", "Graminoid").otherwise("Liana")
-    members = x.table("events").where(F.col("value") > 60).select((F.col("event_id") % 500).alias("user_id"), kind.alias("ft"))
-    return dedup.combined_kind(members, ["user_id"], "ft")
+    members = x.table("events").select(F.floor(F.col("event_id") / 2).alias("cell"), kind.alias("ft"))
+    return dedup.combined_kind(members, ["cell"], "ft")
 
 
 @query(

@@ -1 +1,236 @@
-"""Placeholder."""
+"""Whole workflows: cleaning, alignment, experiment frames, daily product, comparison."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldmosaic import names
+from fieldmosaic.operators import metrics
+from fieldmosaic.plans import alignment, cleaning, experiments, frames, product
+
+from . import twins
+from .registry import query, rounded, rounded_doubles
+
+_HEADERS = {"date": "date_raw", "lfmc_pct": "lfmc_raw", "isolated_iforest_raw": "isolated_raw"}
+
+
+def _cleaned(x):
+    return cleaning.clean(x.fx_obs, cleaning.CleaningOptions(land_cover_column="igbp_label"), _HEADERS)
+
+
+@query(
+    "cp1_clean_grid_day",
+    "WITH " + twins.GRID_DAY + " SELECT date, row, col, grid_lat, grid_lon, veg_type, round(lfmc_pct, 6) AS lfmc_pct, n_obs_sum, n_records, n_sites FROM grid_day",
+    ["fx_obs"],
+)
+def _(x):
+    return rounded(_cleaned(x).grid_day, "lfmc_pct")
+
+
+@query(
+    "cp1_clean_point_with_cell",
+    "WITH " + twins.GRID_DAY + """ SELECT site_loc_id, date, veg_type, round(lfmc_pct, 6) AS lfmc_pct, n_obs, site_id, igbp_500m, row, col,
+       count(*) OVER (PARTITION BY date, row, col, veg_type) AS n_site_samples_in_pixel_day FROM celled""",
+    ["fx_obs"],
+)
+def _(x):
+    made = _cleaned(x).point_with_cell.select(
+        "site_loc_id", "date", "veg_type", "lfmc_pct", "n_obs", "site_id", "igbp_500m", "row", "col", "n_site_samples_in_pixel_day"
+    )
+    return rounded(made, "lfmc_pct")
+
+
+@query(
+    "cp1_full_report",
+    "WITH " + twins.GRID_DAY + """ SELECT (SELECT count(*) FROM flagged) AS n_std, (SELECT count(*) FROM strict) AS n_strict, (SELECT count(*) FROM site_day) AS n_site_day,
+       (SELECT count(*) FROM celled) AS n_scheme_a, (SELECT count(*) FROM grid_day) AS n_scheme_b, (SELECT count(DISTINCT site_id) FROM strict) AS n_sites,
+       (SELECT max(date) FROM grid_day) AS last_day, (SELECT CAST(sum(dead_protocol) AS BIGINT) FROM flagged) AS n_dead_protocol""",
+    ["fx_obs"],
+)
+def _(x):
+    return cleaning.full_report(_cleaned(x)).select(
+        F.col("std_summary.n_rows").alias("n_std"), F.col("strict_summary.n_rows").alias("n_strict"),
+        F.col("site_day_summary.n_rows").alias("n_site_day"), F.col("scheme_a_summary.n_rows").alias("n_scheme_a"),
+        F.col("scheme_b_summary.n_rows").alias("n_scheme_b"), F.col("strict_summary.n_sites").alias("n_sites"),
+        F.col("scheme_b_summary.date_max").alias("last_day"), F.col("qc_report.n_dead_protocol").alias("n_dead_protocol"),
+    )
+
+
+_FLAG = """CASE WHEN qc_raw & 255 = 255 THEN 6 WHEN qc_raw & 16 <> 0 THEN 5 WHEN (qc_raw >> 2) & 3 = 2 THEN 4 WHEN (qc_raw >> 2) & 3 = 1 THEN 3
+                WHEN qc_raw & 2 <> 0 THEN 2 WHEN qc_raw & 1 <> 0 THEN 1 ELSE 0 END"""
+
+
+@query(
+    "cp2_aligned_training_base",
+    "WITH " + twins.GRID_DAY + f""", g AS (SELECT *, {_FLAG} AS vod_qc FROM fx_grid_daily),
+    a AS (SELECT d.date, d.row, d.col, d.veg_type, round(d.lfmc_pct, 6) AS lfmc_pct, CASE WHEN g.vod_qc = 0 THEN g.tau_ku_h END AS tau_ku_h, CASE WHEN g.vod_qc = 0 THEN g.tau_x_h END AS tau_x_h,
+                 g.vod_qc, s.canopy_height, s.agb, l.lai, CAST(date_trunc('year', d.date) AS DATE) + CAST((dayofyear(d.date) - 1) // 8 * 8 AS INT) AS start, c.GRA
+          FROM grid_day d LEFT JOIN g ON g.date = d.date AND g.row = d.row AND g.col = d.col LEFT JOIN fx_static s ON s.row = d.row AND s.col = d.col
+          LEFT JOIN fx_lai8 l ON l.index_date = CAST(date_trunc('year', d.date) AS DATE) + CAST((dayofyear(d.date) - 1) // 8 * 8 AS INT) AND l.row = d.row AND l.col = d.col
+          LEFT JOIN fx_classes c ON c.year + 1 = year(d.date) AND c.row = d.row AND c.col = d.col)
+    SELECT * EXCLUDE (start), CASE WHEN start IN (SELECT index_date FROM fx_lai8) THEN start END AS lai_index_date FROM a""",
+    ["fx_obs", "fx_grid_daily", "fx_static", "fx_lai8", "fx_classes"],
+)
+def _(x):
+    placed = alignment.place_on_grid(_cleaned(x).grid_day.select("date", "grid_lat", "grid_lon", "veg_type", "lfmc_pct"))
+    annual = x.fx_classes.select((F.col("year") + 1).alias("year"), "row", "col", "GRA")
+    made = alignment.align_all(
+        placed, x.fx_grid_daily, ["tau_ku_h", "tau_x_h"], x.fx_static, annual, eight_day={"lai": x.fx_lai8}
+    )
+    picked = made.select("date", "row", "col", "veg_type", "lfmc_pct", "tau_ku_h", "tau_x_h", "vod_qc", "canopy_height", "agb", "lai", "lai_index_date", "GRA")
+    return rounded(picked, "lfmc_pct")
+
+
+def _spec_sql(index: int, spec: frames.FrameSpec) -> tuple[str, str]:
+    """CTEs and final select of one experiment frame."""
+    keep = ["lfmc_pct IS NOT NULL", f"{spec.category} IS NOT NULL"]
+    if spec.consistent_only:
+        keep.append("igbp_to_lc_dom = lc_dom")
+    if spec.vegetated_only:
+        keep.append("nonveg_frac < 0.05")
+    if spec.bands:
+        keep.append(f"coalesce({', '.join(names.BANDS)}) IS NOT NULL")
+    season = names.SEASON_FEATURES if spec.season else []
+    keep += [f"{c} IS NOT NULL" for c in [*spec.core, *season, *spec.extra] if c not in spec.without]
+    weight = f"greatest(coalesce({spec.weight}, 0.2), 0.2)" if spec.weight else "1.0"
+    source = f"x{index} AS (SELECT sample_id, {spec.category} AS category, {weight} AS sample_weight, {twins.BLOCK} AS block_id FROM base WHERE {' AND '.join(keep)})"
+    pick = f"SELECT '{spec.code}' AS code, sample_id, category, round(sample_weight, 6) AS sample_weight, block_id, split FROM x{index} JOIN x{index}_blocks USING (block_id)"
+    return f"{source}, {twins.split_of(f'x{index}', f'x{index}')}", pick
+
+
+def _specs_sql(specs, core=names.CORE_FEATURES) -> str:
+    parts = [_spec_sql(i, spec) for i, spec in enumerate(specs)]
+    return f"WITH {twins.base(core)}, " + ", ".join(p[0] for p in parts) + " " + " UNION ALL ".join(p[1] for p in parts)
+
+
+def _frames(x, specs, core=tuple(names.CORE_FEATURES)) -> DataFrame:
+    base = frames.training_base(x.fx_predictors, core)
+    made = [
+        frames.experiment_frame(base, spec).select(
+            F.lit(spec.code).alias("code"), "sample_id", F.col(spec.category).alias("category"), "sample_weight", "block_id", "split"
+        )
+        for spec in specs
+    ]
+    return rounded(reduce(DataFrame.unionByName, made), "sample_weight")
+
+
+@query("cp3_scheme_frames", _specs_sql(frames.SCHEMES), ["fx_predictors"])
+def _(x):
+    return _frames(x, frames.SCHEMES)
+
+
+@query("cp4_ablation_frames", _specs_sql(frames.ABLATIONS), ["fx_predictors"])
+def _(x):
+    return _frames(x, frames.ABLATIONS)
+
+
+@query("cp5_fine_ablation_frames", _specs_sql(frames.FINE_ABLATIONS), ["fx_predictors"])
+def _(x):
+    return _frames(x, frames.FINE_ABLATIONS)
+
+
+_FINAL_COLUMNS = ["LAI", "Hveg", "LST", "VOD_X_Vpol_Asc", "doy_sin", "lat_norm"]
+
+
+@query(
+    "cp6_final_frame",
+    f"""WITH {twins.base(names.CORE_FEATURES_LITE)}, k AS (SELECT *, {twins.BLOCK} AS block_id FROM base WHERE igbp_to_lc_dom = lc_dom), {twins.split_of('k', 's')}
+        SELECT sample_id, date, lfmc_pct, lc_dom, 1.0 AS sample_weight, split, {', '.join(f'round({c}, 9) AS {c}' for c in _FINAL_COLUMNS)} FROM k JOIN s_blocks USING (block_id)""",
+    ["fx_predictors"],
+)
+def _(x):
+    made = frames.final_frame(x.fx_predictors).select("sample_id", "date", "lfmc_pct", "lc_dom", "sample_weight", "split", *_FINAL_COLUMNS)
+    return rounded(made, *_FINAL_COLUMNS, digits=9)
+
+
+@query(
+    "cp6_transfer_frame",
+    f"""WITH {twins.base(names.CORE_FEATURES_LITE)}, k AS (SELECT *, {twins.BLOCK} AS block_id,
+          lower(trim(country)) IN ('usa', 'united states') AND NOT contains(lower(state_region), 'hawai') AS home FROM base WHERE igbp_to_lc_dom = lc_dom)
+        SELECT sample_id, country, state_region, block_id, CASE WHEN home THEN 'train_us' ELSE 'test_external' END AS split FROM k""",
+    ["fx_predictors"],
+)
+def _(x):
+    made = frames.transfer_frame(x.fx_predictors, train_years=(2020, 2025), future_years=(2026, 2030))
+    return made.select("sample_id", "country", "state_region", "block_id", "split")
+
+
+_VEG = names.VEGETATION_CLASSES
+
+
+@query(
+    "cp7_scoring_alignment",
+    f"""SELECT sample_id, round(sin(2 * pi() * dayofyear(date) / 365.25), 9) AS doy_sin, round(lat / 90, 9) AS lat_norm, CASE WHEN {twins.total(_VEG)} > 0 THEN {twins.argmax(_VEG)} END AS lc_dom,
+               {twins.LABEL_CLASS} AS igbp_to_lc_dom FROM fx_predictors""",
+    ["fx_predictors"],
+)
+def _(x):
+    made = frames.aligned_for_scoring(x.fx_predictors).select("sample_id", "doy_sin", "lat_norm", "lc_dom", "igbp_to_lc_dom")
+    return rounded(made, "doy_sin", "lat_norm", digits=9)
+
+
+_NEWEST = "(SELECT max(date) FROM fx_grid_daily)"
+
+
+@query(
+    "cp8_daily_feature_table",
+    f"""WITH g AS (SELECT * FROM fx_grid_daily WHERE date = {_NEWEST}),
+        r AS (SELECT row, col, sum(rain) AS r7, count(rain) AS n7 FROM fx_grid_daily WHERE date > {_NEWEST} - 7 GROUP BY row, col),
+        br AS (SELECT (SELECT max(index_date) FROM fx_lai8 WHERE index_date <= {_NEWEST} - 5) AS lo, (SELECT min(index_date) FROM fx_lai8 WHERE index_date >= {_NEWEST} - 5) AS hi),
+        w AS (SELECT lo, hi, CASE WHEN lo = hi THEN 0 ELSE ({_NEWEST} - 5 - lo) / (hi - lo) END AS w FROM br),
+        la AS (SELECT a.row, a.col, a.lai * (1 - w.w) + b.lai * w.w AS lai FROM w JOIN fx_lai8 a ON a.index_date = w.lo JOIN fx_lai8 b ON b.index_date = w.hi AND b.row = a.row AND b.col = a.col),
+        cells AS (SELECT row, col FROM (SELECT DISTINCT row, col FROM r UNION SELECT row, col FROM la UNION SELECT row, col FROM fx_static UNION SELECT row, col FROM fx_classes)),
+        f AS (SELECT c.row, c.col, CASE WHEN g.qc_raw & 255 = 0 THEN g.tau_ku_h END AS tau_ku_h, g.qc_raw AS VOD_QC, g.tau_x_h AS LST, r.r7, coalesce(r.n7, 0) AS n7, la.lai, s.canopy_height,
+                     k.GRA, k.BAR, {', '.join(f"{' + '.join(m)} AS m_{n}" for n, m in names.MERGED_CLASSES.items())}
+              FROM cells c LEFT JOIN g USING (row, col) LEFT JOIN r USING (row, col) LEFT JOIN la USING (row, col) LEFT JOIN fx_static s USING (row, col) LEFT JOIN fx_classes k USING (row, col))
+        SELECT CAST(row // 300 AS INT) AS band, 300 * 3600 AS n_cells, count(tau_ku_h) AS n_bands, round(sum(tau_ku_h), 4) AS sum_bands, count(LST) AS n_lst, round(sum(r7), 4) AS sum_rain_7day,
+               CAST(sum(n7) AS BIGINT) AS sum_rain_days, count(lai) AS n_lai, round(sum(lai), 4) AS sum_lai, round(sum(canopy_height), 4) AS sum_height, count(GRA) AS n_classes, round(sum(m_Herb), 4) AS sum_herb,
+               count(*) FILTER (tau_ku_h IS NOT NULL OR lai IS NOT NULL OR LST IS NOT NULL) AS n_valid FROM f GROUP BY 1""",
+    ["fx_grid_daily", "fx_lai8", "fx_static", "fx_classes"],
+)
+def _(x):
+    """Feature table of the newest day over all 6.48 million cells, summed per strip of cells that have data."""
+    grid = x.fx_grid_daily
+    newest = grid.agg(F.max("date").alias("date"))
+    shifted = x.fx_lai8.select(F.date_add("index_date", 5).alias("date"), "row", "col", F.col("lai").alias("LAI"))
+    table = product.daily_features(
+        newest,
+        grid.withColumnRenamed("qc_raw", "VOD_QC").select("date", "row", "col", "VOD_QC", "tau_ku_h"),
+        shifted,
+        grid.select("date", "row", "col", F.col("tau_x_h").alias("LST")),
+        grid.select("date", "row", "col", "rain"),
+        x.fx_static.select("row", "col", F.col("canopy_height").alias("Hveg")),
+        x.fx_classes.drop("cell").withColumn("year", F.col("year") + 1),
+        bands=["tau_ku_h"],
+    )
+    made = table.groupBy(F.floor(F.col("row") / 300).cast("int").alias("band")).agg(
+        F.count(F.lit(1)).cast("int").alias("n_cells"), F.count("tau_ku_h").alias("n_bands"), F.sum("tau_ku_h").alias("sum_bands"),
+        F.count("LST").alias("n_lst"), F.sum("rain_7day").alias("sum_rain_7day"), F.sum("rain_7day_valid_days").alias("sum_rain_days"),
+        F.count("LAI").alias("n_lai"), F.sum("LAI").alias("sum_lai"), F.sum("Hveg").alias("sum_height"), F.count("GRA").alias("n_classes"),
+        F.sum("Herb").alias("sum_herb"), F.sum("valid_for_inference").alias("n_valid"),
+    )
+    return rounded_doubles(made.where("n_classes > 0"), 4)
+
+
+@query("cp9_experiment_runs")
+def _(x):
+    """Two schemes with small boosted trees: metric rows per split."""
+    base = frames.training_base(x.fx_predictors).persist()
+    trainers = {"trees": experiments.tree_trainer(iterations=3, rate=0.3, depth=3)}
+    return experiments.run_experiments(base, [frames.SCHEMES[0], frames.SCHEMES[4]], trainers)
+
+
+@query(
+    "cp10_model_comparison",
+    """SELECT scheme, model, split, round(avg(rmse), 6) AS rmse_mean, round(stddev_samp(rmse), 6) AS rmse_std, max(repeat_no) AS n_samples FROM fx_runs GROUP BY ALL ORDER BY 1, 2, 3""",
+    ["fx_runs"],
+)
+def _(x):
+    families = []
+    for model in ("M0", "M1"):
+        raw = x.fx_runs.where(F.col("model") == model).withColumnRenamed("repeat_no", "n")
+        families.append((metrics.repeat_summary(raw, measures=["rmse"]), raw))
+    return rounded_doubles(metrics.model_comparison(families))

@@ -200,13 +200,12 @@ def _(x):
 @query(
     "jn16_stacked_days",
     """SELECT t.target_date, g.date, g.row, g.col, CAST(3 - (t.target_date - g.date) AS INT) AS step, g.tau_x_h FROM fx_grid_daily g
-       JOIN (SELECT DISTINCT date AS target_date FROM fx_grid_daily WHERE day(date) > 20) t ON g.date BETWEEN t.target_date - 3 AND t.target_date""",
+       JOIN (SELECT DISTINCT date AS target_date FROM fx_grid_daily) t ON g.date BETWEEN t.target_date - 3 AND t.target_date""",
     ["fx_grid_daily"],
 )
 def _(x):
     grid = x.fx_grid_daily
-    targets = grid.where(F.dayofmonth("date") > 20).select("date")
-    return align.stack_days(grid, targets, 4).select("target_date", "date", "row", "col", "step", "tau_x_h")
+    return align.stack_days(grid, grid.select("date"), 4).select("target_date", "date", "row", "col", "step", "tau_x_h")
 
 
 _PRED_A = "a AS (SELECT date, row, col, tau_x_h AS p FROM fx_grid_daily WHERE cell % 3 <> 0)"

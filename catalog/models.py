@@ -1 +1,176 @@
-"""Placeholder."""
+"""Preprocessing and model operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldmosaic import names
+from fieldmosaic.operators import align, calibration, metrics, modeling, splits
+from fieldmosaic.plans import frames
+from fieldmosaic.session import scratch_path
+
+from .aggregates import _SEQUENCES, _SPLIT, sequences
+from .registry import query, rounded, rounded_doubles
+from .splits import _long
+
+
+def _split(x):
+    return splits.spatial_split(x.fx_predictors)
+
+
+def _scaled(c: str, band: bool) -> str:
+    value = f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END"
+    return f"round(coalesce({value}, 0), 6) AS {c}" if band else f"round({value}, 6) AS {c}"
+
+
+_STATS = "st AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in ("LAI", "LST", "VOD_Ku_Hpol_Asc")
+) + " FROM f WHERE split = 'train')"
+
+
+@query(
+    "ml1_standardise",
+    f"WITH {_SPLIT}, {_STATS} SELECT sample_id, split, {_scaled('LAI', False)}, {_scaled('LST', False)}, {_scaled('VOD_Ku_Hpol_Asc', True)} FROM f, st",
+    ["fx_predictors"],
+)
+def _(x):
+    frame = _split(x).select("sample_id", "split", "LAI", "LST", "VOD_Ku_Hpol_Asc")
+    columns = ["LAI", "LST", "VOD_Ku_Hpol_Asc"]
+    return rounded_doubles(modeling.standardise(frame, columns, modeling.feature_statistics(frame.where("split = 'train'"), columns)))
+
+
+@query(
+    "ml2_standardise_sequences",
+    f"""WITH {_SEQUENCES}, st AS (SELECT avg(step[1]) AS m1, stddev_pop(step[1]) AS s1, avg(step[2]) AS m2, stddev_pop(step[2]) AS s2 FROM steps)
+        SELECT sample_id, list_transform(dyn_seq, lambda q: [round(coalesce((q[1] - m1) / s1, 0), 5), round((q[2] - m2) / s2, 5)]) AS dyn_seq FROM s, st""",
+    ["fx_predictors"],
+)
+def _(x):
+    made = sequences(x).select("sample_id", "dyn_seq")
+    columns = ["VOD_Ku_Hpol_Asc", "LST"]
+    scaled = modeling.standardise_sequences(made, columns, modeling.sequence_statistics(made, columns))
+    return scaled.withColumn("dyn_seq", F.transform("dyn_seq", lambda step: F.transform(step, lambda v: F.round(v, 5))))
+
+
+@query(
+    "ml3_train_label_ids",
+    f"""WITH {_SPLIT}, kinds AS (SELECT sample_id, split, CASE WHEN split <> 'train' AND sample_id % 5 = 0 THEN 'unseen' ELSE coalesce(FT, 'none') END AS kind FROM f),
+        ids AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS id FROM (SELECT DISTINCT kind FROM kinds WHERE split = 'train'))
+        SELECT sample_id, split, kind, coalesce(id, (SELECT count(*) FROM ids)) AS label_id FROM kinds LEFT JOIN ids USING (kind)""",
+    ["fx_predictors"],
+)
+def _(x):
+    unseen = (F.col("split") != "train") & (F.col("sample_id") % 5 == 0)
+    kinds = _split(x).select("sample_id", "split", F.when(unseen, "unseen").otherwise(F.coalesce("FT", F.lit("none"))).alias("kind"))
+    ids = modeling.label_ids(kinds.where("split = 'train'"), "kind")
+    return modeling.encode_labels(kinds, "kind", ids)
+
+
+@query(
+    "ml4_all_label_ids",
+    """SELECT sample_id, igbp_label, id AS label_id FROM fx_predictors JOIN (SELECT igbp_label, row_number() OVER (ORDER BY igbp_label) - 1 AS id FROM (SELECT DISTINCT igbp_label FROM fx_predictors)) USING (igbp_label)""",
+    ["fx_predictors"],
+)
+def _(x):
+    rows = x.fx_predictors.select("sample_id", "igbp_label")
+    return modeling.encode_labels(rows, "igbp_label", modeling.label_ids(rows, "igbp_label"))
+
+
+@query("ml5_zero_filled_bands", f"SELECT sample_id, LAI, {', '.join(f'coalesce({b}, 0) AS {b}' for b in names.BANDS)} FROM fx_predictors", ["fx_predictors"])
+def _(x):
+    return modeling.fill_bands(x.fx_predictors.select("sample_id", "LAI", *names.BANDS))
+
+
+@query(
+    "ml9_ensemble_mean",
+    """SELECT date, row, col, round(coalesce((a.p + b.p) / 2, a.p, b.p), 9) AS lfmc_pred
+       FROM (SELECT date, row, col, CASE WHEN qc_raw = 0 THEN tau_x_h END AS p FROM fx_grid_daily) a JOIN (SELECT date, row, col, tau_ku_h AS p FROM fx_grid_daily) b USING (date, row, col)""",
+    ["fx_grid_daily"],
+)
+def _(x):
+    grid = x.fx_grid_daily
+    a = grid.select("date", "row", "col", F.when(F.col("qc_raw") == 0, F.col("tau_x_h")).alias("lfmc_pred"))
+    return rounded(align.mean_of_two(a, grid.select("date", "row", "col", F.col("tau_ku_h").alias("lfmc_pred"))), "lfmc_pred", digits=9)
+
+
+_CHAIN = """j AS (
+  SELECT p.sample_id, p.lfmc_pct, s.canopy_height AS h, g.tau_c_h, g.tau_x_h, g.tau_ku_h, ((p.sample_id % 9) + 1) / 10.0 AS v,
+         CASE p.sample_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split
+  FROM fx_points p JOIN fx_static s ON s.row = p.row AND s.col = p.col JOIN fx_grid_daily g ON g.date = p.date AND g.row = p.row AND g.col = p.col
+  WHERE s.canopy_height IS NOT NULL AND p.sample_id % 29 <> 0),
+l AS (SELECT sample_id, split, lfmc_pct, h, v, band, vod_obs, hz, hz / 1e9 AS f FROM (
+  SELECT *, 'C' AS band, tau_c_h AS vod_obs, 6.9e9 AS hz FROM j UNION ALL SELECT *, 'X', tau_x_h, 10.65e9 FROM j UNION ALL SELECT *, 'Ku', tau_ku_h, 18.7e9 FROM j) WHERE vod_obs IS NOT NULL),
+w AS (SELECT *, 4.9 + 75 / (1 + (f / 18) * (f / 18)) AS fr, -75 * (f / 18) / (1 + (f / 18) * (f / 18)) AS fi, sqrt(f / 0.36) AS q,
+             least(greatest(lfmc_pct / (lfmc_pct + 100), 0), 0.999999) AS m FROM l),
+b AS (SELECT *, 2.9 + 55 * (1 + q) / ((1 + q) * (1 + q) + q * q) AS br, -55 * q / ((1 + q) * (1 + q) + q * q) AS bi FROM w),
+e AS (SELECT *, 1.7 - 0.74 * m + 6.16 * m * m + greatest(m * (0.55 * m - 0.076), 0) * fr + 4.64 * m * m / (1 + 7.36 * m * m) * br AS vr,
+             least(greatest(m * (0.55 * m - 0.076), 0) * fi + 4.64 * m * m / (1 + 7.36 * m * m) * bi, 0) AS vi FROM b),
+t AS (SELECT *, 1 + v * (pow(sqrt(vr * vr + vi * vi), 1.0 / 3) * cos(atan2(vi, vr) / 3) - 1) AS tr, v * pow(sqrt(vr * vr + vi * vi), 1.0 / 3) * sin(atan2(vi, vr) / 3) AS ti FROM e),
+c AS (SELECT *, tr * tr * tr - 3 * tr * ti * ti AS cr, 3 * tr * tr * ti - ti * ti * ti AS ci FROM t),
+d AS (SELECT *, 4 * pi() * h / (299792458.0 / hz) * (-sqrt(sqrt(cr * cr + ci * ci)) * sin(atan2(ci, cr) / 2)) AS base FROM c),
+eta AS (SELECT band, median(vod_obs / base) AS eta FROM d WHERE split = 'train' AND base > 1e-8 GROUP BY band),
+p AS (SELECT d.*, greatest(greatest(eta.eta, 1e-6) * base, 0) AS vod_hat FROM d LEFT JOIN eta USING (band))"""
+
+
+@query(
+    "ml10_physics_fit_and_errors",
+    f"""WITH {_CHAIN} SELECT split, band, count(*) AS n, round(avg(abs(vod_hat - vod_obs)), 4) AS MAE, round(sqrt(avg((vod_hat - vod_obs) * (vod_hat - vod_obs))), 4) AS RMSE, round(corr(vod_obs, vod_hat), 6) AS R
+        FROM p GROUP BY split, band""",
+    ["fx_points", "fx_grid_daily", "fx_static"],
+)
+def _(x):
+    k = F.col("sample_id")
+    split = F.when(k % 5 == 0, "test").when(k % 5 == 1, "val").otherwise("train")
+    long = _long(x).withColumns({"vegf": (k % 9 + 1) / 10, "split": split})
+    made = calibration.fit_and_score(long)
+    return made.withColumns({"MAE": F.round("MAE", 4), "RMSE": F.round("RMSE", 4), "R": F.round("R", 6)})
+
+
+_TREES = {"iterations": 5, "rate": 0.3, "depth": 4}
+
+
+def _final(x):
+    return frames.final_frame(x.fx_predictors)
+
+
+_NUMERIC = names.BANDS + names.CORE_FEATURES_LITE + names.SEASON_FEATURES
+
+
+@query("ml6_absolute_loss_trees")
+def _(x):
+    """Boosted trees with absolute loss, weights and early stopping; errors per split."""
+    frame = _final(x).withColumn("sample_weight", F.col("lat_norm") * 0 + 1)
+    model = modeling.fit_trees(frame, _NUMERIC, "lc_dom", weight="sample_weight", **_TREES)
+    return metrics.regression_metrics(model.transform(modeling.fill_bands(frame)), ["split"], "lfmc_pct", "lfmc_pred")
+
+
+@query("ml7_squared_loss_trees")
+def _(x):
+    """Boosted trees with squared loss as baseline; errors per split."""
+    frame = _final(x)
+    model = modeling.fit_trees(frame, _NUMERIC, None, loss="squared", **_TREES)
+    return metrics.regression_metrics(model.transform(modeling.fill_bands(frame)), ["split"], "lfmc_pct", "lfmc_pred")
+
+
+def _mask():
+    return F.col("LAI").isNotNull() & F.col("LST").isNotNull() & F.col("Hveg").isNotNull() & F.col("lc_dom").isNotNull()
+
+
+@query("ml8_batch_scoring")
+def _(x):
+    """Predictions on every predictor row that passes the mask, NULL on the others."""
+    model = modeling.fit_trees(_final(x), _NUMERIC, "lc_dom", **_TREES)
+    ready = frames.aligned_for_scoring(x.fx_predictors)
+    return modeling.score(model, ready, _mask()).select("sample_id", "lc_dom", "lfmc_pred")
+
+
+@query("ml11_saved_model_scoring")
+def _(x):
+    """The same through a saved and reloaded model."""
+    path = scratch_path(x.spark, "model")
+    modeling.save_artifact(modeling.fit_trees(_final(x), _NUMERIC, "lc_dom", **_TREES), path, "trees", _NUMERIC, "lc_dom")
+    model, about = modeling.load_artifact(x.spark, path, "trees")
+    ready = frames.aligned_for_scoring(x.fx_predictors)
+    return modeling.score(model, ready, _mask()).select("sample_id", "lfmc_pred", F.lit(about["category"]).alias("category"))
+
+

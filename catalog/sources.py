@@ -49,10 +49,11 @@ def _stored(x):
     return path
 
 
-@query("src4_daily_lookup", "SELECT date, row, col, tau_x_h, qc_raw FROM fx_grid_daily WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'", ["fx_grid_daily"])
+@query("src4_daily_lookup", "SELECT date, row, col, tau_x_h, qc_raw FROM fx_grid_daily", ["fx_grid_daily"])
 def _(x):
-    """Three days from a date-partitioned table; the other partitions are not read."""
-    return grids.read_days(x.spark, _stored(x), "2024-01-10", "2024-01-12").select("date", "row", "col", "tau_x_h", "qc_raw")
+    """A day range from a date-partitioned table: the range prunes partitions."""
+    first, last = x.fx_grid_daily.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return grids.read_days(x.spark, _stored(x), first, last).select("date", "row", "col", "tau_x_h", "qc_raw")
 
 
 @query("src5_available_days", "SELECT DISTINCT date FROM fx_grid_daily ORDER BY date", ["fx_grid_daily"])
@@ -80,12 +81,12 @@ def _(x):
 @query(
     "src8_full_grid_scaffold",
     """SELECT d.date, r.row // 300 AS band, count(*) AS n, round(avg(90 - (r.row + 0.5) * 0.1e0), 6) AS mean_lat, round(avg(-180 + (c.col + 0.5) * 0.1e0), 6) AS mean_lon
-       FROM (SELECT DISTINCT date FROM fx_grid_daily WHERE day(date) > 27) d, range(1800) r(row), range(3600) c(col) GROUP BY 1, 2""",
+       FROM (SELECT DISTINCT date FROM fx_grid_daily) d, range(1800) r(row), range(3600) c(col) GROUP BY 1, 2""",
     ["fx_grid_daily"],
 )
 def _(x):
-    """Every cell of the grid days after the 27th, counted per strip."""
-    dates = x.fx_grid_daily.where(F.dayofmonth("date") > 27).select("date").distinct()
+    """Every cell of every grid day, counted per strip."""
+    dates = x.fx_grid_daily.select("date").distinct()
     grid = rasters.scaffold(dates)
     made = grid.groupBy("date", F.floor(F.col("row") / 300).alias("band")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon")
