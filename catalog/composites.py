@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,15 +104,9 @@ def _specs_sql(specs, core=names.CORE_FEATURES) -> str:
     return f"WITH {twins.base(core)}, " + ", ".join(p[0] for p in parts) + " " + " UNION ALL ".join(p[1] for p in parts)
 
 
-def _frames(x, specs, core=tuple(names.CORE_FEATURES)) -> DataFrame:
-    base = frames.training_base(x.fx_predictors, core)
-    made = [
-        frames.experiment_frame(base, spec).select(
-            F.lit(spec.code).alias("code"), "sample_id", F.col(spec.category).alias("category"), "sample_weight", "block_id", "split"
-        )
-        for spec in specs
-    ]
-    return rounded(reduce(DataFrame.unionByName, made), "sample_weight")
+def _frames(x, specs) -> DataFrame:
+    made = frames.experiment_matrix(frames.training_base(x.fx_predictors), specs)
+    return rounded(made.select("code", "sample_id", "category", "sample_weight", "block_id", "split"), "sample_weight")
 
 
 @query("cp3_scheme_frames", _specs_sql(frames.SCHEMES), ["fx_predictors"])

@@ -1,9 +1,10 @@
 """Land-cover fractions, labels, vegetation kinds and sample weights.
 
-Arg-max, sum and entropy are ``greatest``/``CASE``/arithmetic over the class
-columns: they stay inside whole-stage code generation and allocate no arrays.
-They are built as SQL text because a row of seventeen classes would otherwise
-take hundreds of calls into the JVM per expression.
+Arg-max, sum and entropy are built-in expressions whose size is linear in the
+number of classes: filters on them are pushed below projections, which copies
+the whole expression, so a form that names every class once per term would grow
+with the square. They are written as SQL text because a row of seventeen classes
+would otherwise take hundreds of calls into the JVM per expression.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import names
-from .values import clip, col, finite, finite_text, quoted, sum_present
+from .values import clip, col, finite, quoted, sum_present
 
 
 def safe_fraction(c: Column | str) -> Column:
@@ -23,7 +24,8 @@ def safe_fraction(c: Column | str) -> Column:
 
 
 def _safe_text(name: str) -> str:
-    return f"greatest(coalesce({finite_text(name)}, 0D), 0D)"
+    """``safe_fraction`` of a column that already went through the NaN policy of the readers."""
+    return f"greatest(coalesce({quoted(name)}, 0D), 0D)"
 
 
 def _total_text(classes: Sequence[str]) -> str:
@@ -35,50 +37,39 @@ def _top_text(values: Sequence[str]) -> str:
 
 
 def _first_at_maximum(values: Sequence[str], labels: Sequence[str], top: str) -> str:
-    arms = " ".join(f"WHEN {value} = {top} THEN '{label}'" for value, label in zip(values, labels))
-    return f"CASE {arms} END"
-
-
-def fraction_totals(classes: Sequence[str]) -> dict[str, Column]:
-    """Sum and maximum of the safe fractions: compute once, then pass to the functions below."""
-    return {
-        "whole": F.expr(_total_text(classes)),
-        "top": F.expr(_top_text([_safe_text(c) for c in classes])),
-    }
+    texts = ", ".join(f"'{label}'" for label in labels)
+    return f"element_at(array({texts}), CAST(array_position(array({', '.join(values)}), {top}) AS INT))"
 
 
 def dominant_class(
-    classes: Sequence[str],
-    labels: Sequence[str] | None = None,
-    legacy_first_class: bool = False,
-    whole: str | None = None,
-    top: str | None = None,
+    classes: Sequence[str], labels: Sequence[str] | None = None, legacy_first_class: bool = False
 ) -> Column:
     """Class with the largest fraction, the first one on ties.
 
     Without any positive fraction the class is NULL; ``legacy_first_class``
-    returns the first class instead, as an arg-max over zeros would. ``whole``
-    and ``top`` name columns that already hold sum and maximum.
+    returns the first class instead, as an arg-max over zeros would.
     """
     values = [_safe_text(c) for c in classes]
-    best = _first_at_maximum(values, list(labels or classes), quoted(top) if top else _top_text(values))
-    if legacy_first_class:
-        return F.expr(best)
-    return F.expr(f"CASE WHEN {quoted(whole) if whole else _total_text(classes)} > 0 THEN {best} END")
+    top = _top_text(values)
+    best = _first_at_maximum(values, list(labels or classes), top)
+    return F.expr(best if legacy_first_class else f"CASE WHEN {top} > 0 THEN {best} END")
 
 
-def dominant_share(classes: Sequence[str], whole: str | None = None, top: str | None = None) -> Column:
-    totals = fraction_totals(classes) if not (whole and top) else {}
-    return F.try_divide(F.col(top) if top else totals["top"], F.col(whole) if whole else totals["whole"])
+def dominant_share(classes: Sequence[str]) -> Column:
+    values = [_safe_text(c) for c in classes]
+    return F.expr(f"try_divide({_top_text(values)}, {_total_text(classes)})")
+
 
+def entropy(classes: Sequence[str]) -> Column:
+    """Shannon entropy of the normalised fractions; 0 for a row without fractions.
 
-def entropy(classes: Sequence[str], whole: str | None = None) -> Column:
-    """Shannon entropy of the normalised fractions; 0 for a row without fractions."""
-    total = quoted(whole) if whole else _total_text(classes)
-    terms = " + ".join(
-        f"{_safe_text(c)} / {total} * ln(least(greatest({_safe_text(c)} / {total}, 1e-12D), 1D))" for c in classes
-    )
-    return F.expr(f"CASE WHEN {total} > 0 THEN -({terms}) ELSE 0D END")
+    ``ln S - sum(v ln v) / S`` equals ``-sum(p ln p)`` with ``p = v / S`` and
+    names each class twice instead of once per term of the sum.
+    """
+    values = [_safe_text(c) for c in classes]
+    whole = _total_text(classes)
+    terms = " + ".join(f"{v} * ln(greatest({v}, 1e-300D))" for v in values)
+    return F.expr(f"CASE WHEN {whole} > 0 THEN greatest(ln({whole}) - ({terms}) / {whole}, 0D) + 0D ELSE 0D END")
 
 
 def purity_weight(
@@ -119,7 +110,7 @@ def merged_groups(with_mixed_herb: bool = False) -> dict[str, Column]:
 
 def merged_dominant() -> dict[str, Column]:
     """Dominant of the nine merged classes, over columns made by ``merged_groups``."""
-    values = [finite_text(c) for c in names.MERGED_ORDER]
+    values = [quoted(c) for c in names.MERGED_ORDER]
     comparable = [f"coalesce({v}, CAST('-Infinity' AS DOUBLE))" for v in values]
     top = _top_text(comparable)
     present = f"coalesce({', '.join(values)}) IS NOT NULL"

@@ -53,14 +53,14 @@ def finite_text(name: str) -> str:
 
 
 def sum_present(names: Iterable[str]) -> Column:
-    """Sum over the columns that are present; NULL when none is."""
-    values = [finite_text(n) for n in names]
+    """Sum over the columns that are present; NULL when none is. Expects finite or NULL values."""
+    values = [quoted(n) for n in names]
     whole = " + ".join(f"coalesce({v}, 0D)" for v in values)
     return F.expr(f"CASE WHEN coalesce({', '.join(values)}) IS NOT NULL THEN {whole} END")
 
 
 def mean_present(names: Iterable[str]) -> Column:
-    values = [finite_text(n) for n in names]
+    values = [quoted(n) for n in names]
     present = " + ".join(f"CAST(({v}) IS NOT NULL AS DOUBLE)" for v in values)
     return F.try_divide(sum_present(names), F.expr(present))
 

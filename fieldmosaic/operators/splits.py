@@ -24,17 +24,19 @@ def assign_blocks(
     seed: int = names.SPLIT_SEED,
     train: float = names.TRAIN_SHARE,
     val: float = names.VAL_SHARE,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Split of each distinct block; counts are ``rint(n * share)``, the rest is test.
 
     There are at most 360 x 720 blocks of half a degree on the globe, which
-    bounds the ranking window whatever the number of samples.
+    bounds the ranking window whatever the number of samples. ``by`` splits
+    the blocks of several experiments independently.
     """
-    distinct = blocks.select(block).where(F.col(block).isNotNull()).distinct()
+    distinct = blocks.select(*by, block).where(F.col(block).isNotNull()).distinct()
     ranked = distinct.withColumns(
         {
-            "__rn": F.row_number().over(Window.orderBy(seeded_hash(seed, block), F.col(block))),
-            "__n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))),
+            "__rn": F.row_number().over(Window.partitionBy(*by).orderBy(seeded_hash(seed, block), F.col(block))),
+            "__n": F.count(F.lit(1)).over(Window.partitionBy(*by)),
         }
     )
     n_train = F.rint(F.col("__n") * F.lit(train))
@@ -42,7 +44,7 @@ def assign_blocks(
     split = (
         F.when(F.col("__rn") <= n_train, "train").when(F.col("__rn") <= n_train + n_val, "val").otherwise("test")
     )
-    return ranked.select(block, split.alias("split"))
+    return ranked.select(*by, block, split.alias("split"))
 
 
 def with_blocks(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

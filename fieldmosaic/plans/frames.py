@@ -51,26 +51,27 @@ def training_base(df: DataFrame, core: Sequence[str] = tuple(names.CORE_FEATURES
     props, labels = proportion_columns(df.columns)
     classes = names.VEGETATION_CLASSES
     other = [c for c in names.NONVEGETATION_CLASSES if c in df.columns]
-    out = dominance_terms(out, classes, classes, "lc_dom")
-    out = dominance_terms(out, props, labels, "igbp_dom") if props else out.withColumns(landcover.single_label_terms(label))
+    labelled = dominance_terms(props, labels, "igbp_dom") if props else landcover.single_label_terms(label)
     return out.withColumns(
-        {"nonveg_frac": landcover.nonvegetation_share(other), "igbp_to_lc_dom": landcover.class_of_label(label)}
+        {
+            **labelled,
+            **dominance_terms(classes, classes, "lc_dom"),
+            "nonveg_frac": landcover.nonvegetation_share(other),
+            "igbp_to_lc_dom": landcover.class_of_label(label),
+        }
     )
 
 
-def dominance_terms(df: DataFrame, classes: Sequence[str], labels: Sequence[str], out: str) -> DataFrame:
-    """Dominant class, its share, entropy and weight; sum and maximum are computed once."""
+def dominance_terms(classes: Sequence[str], labels: Sequence[str], out: str) -> dict[str, Column]:
+    """Dominant class, its share, entropy and weight."""
     stem = out.removesuffix("_dom")
-    totals = landcover.fraction_totals(classes)
-    staged = df.withColumns({"__whole": totals["whole"], "__top": totals["top"]})
-    staged = staged.withColumns(
-        {
-            out: landcover.dominant_class(classes, labels, whole="__whole", top="__top"),
-            f"{out}_frac": landcover.dominant_share(classes, "__whole", "__top"),
-            f"{stem}_entropy": landcover.entropy(classes, "__whole"),
-        }
-    )
-    return staged.withColumn(f"{stem}_weight", landcover.purity_weight(f"{out}_frac")).drop("__whole", "__top")
+    share = landcover.dominant_share(classes)
+    return {
+        out: landcover.dominant_class(classes, labels),
+        f"{out}_frac": share,
+        f"{stem}_entropy": landcover.entropy(classes),
+        f"{stem}_weight": landcover.purity_weight(share),
+    }
 
 
 @dataclass(frozen=True)
@@ -140,8 +141,12 @@ def numeric_columns(base: DataFrame, spec: FrameSpec) -> list[str]:
     return [c for c in dict.fromkeys(picked) if c not in spec.without]
 
 
-def experiment_rows(base: DataFrame, spec: FrameSpec, carry: Sequence[str] = ()) -> DataFrame:
-    """Filtered and projected rows of one experiment with their weight; still no shuffle."""
+def _kept(base: DataFrame, spec: FrameSpec) -> Column:
+    """Row filter of one experiment.
+
+    Season terms and class entropy are present on every base row, so they are
+    not tested: a test would copy their expressions into the pushed filter.
+    """
     keep = values.all_present(["lfmc_pct", spec.category])
     if spec.consistent_only:
         keep = keep & (F.col("igbp_to_lc_dom") == F.col("lc_dom"))
@@ -149,15 +154,42 @@ def experiment_rows(base: DataFrame, spec: FrameSpec, carry: Sequence[str] = ())
         keep = keep & (F.col("nonveg_frac") < names.NONVEG_TRAINING_MAX)
     if spec.bands:
         keep = keep & values.any_present(names.BANDS)
-    numeric = numeric_columns(base, spec)
-    strict = [c for c in numeric if c not in names.BANDS]
-    if strict:
-        keep = keep & values.all_present(strict)
-    weight = F.lit(1.0)
-    if spec.weight:
-        weight = F.greatest(F.coalesce(values.finite(spec.weight), F.lit(names.WEIGHT_MIN)), F.lit(names.WEIGHT_MIN))
+    certain = [*names.BANDS, *names.SEASON_FEATURES, "lc_entropy"]
+    strict = [c for c in numeric_columns(base, spec) if c not in certain]
+    return keep & values.all_present(strict) if strict else keep
+
+
+def _weight(spec: FrameSpec) -> Column:
+    if not spec.weight:
+        return F.lit(1.0)
+    floor = F.lit(names.WEIGHT_MIN)
+    return F.greatest(F.coalesce(F.col(spec.weight), floor), floor)
+
+
+def experiment_rows(base: DataFrame, spec: FrameSpec, carry: Sequence[str] = ()) -> DataFrame:
+    """Filtered and projected rows of one experiment with their weight; still no shuffle."""
+    keys = [c for c in KEYS if c in base.columns]
+    kept = base.where(_kept(base, spec))
+    return kept.select(*keys, spec.category, *numeric_columns(base, spec), *carry, _weight(spec).alias("sample_weight"))
+
+
+def experiment_matrix(base: DataFrame, specs: Sequence[FrameSpec], seed: int = names.SPLIT_SEED) -> DataFrame:
+    """Rows of many experiments at once: code, keys, category, weight, block and split.
+
+    The base is read once; each row is expanded to the experiments that keep
+    it, and blocks are split per experiment.
+    """
     keys = [c for c in KEYS if c in base.columns]
-    return base.where(keep).select(*keys, spec.category, *numeric, *carry, weight.alias("sample_weight"))
+    entries = [
+        F.when(
+            _kept(base, spec),
+            F.struct(F.lit(spec.code).alias("code"), F.col(spec.category).alias("category"), _weight(spec).alias("sample_weight")),
+        )
+        for spec in specs
+    ]
+    expanded = base.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("__e")).select(*keys, "__e.*")
+    placed = splits.with_blocks(expanded)
+    return placed.join(splits.assign_blocks(placed, "block_id", seed, by=["code"]), ["code", "block_id"], "inner")
 
 
 def experiment_frame(base: DataFrame, spec: FrameSpec, seed: int = names.SPLIT_SEED) -> DataFrame:
@@ -181,8 +213,11 @@ def transfer_frame(df: DataFrame, country: str = "country", region: str = "state
 def aligned_for_scoring(df: DataFrame, label: str | None = "igbp_label") -> DataFrame:
     """Season and class columns recomputed the training way on raw product columns."""
     classes = names.VEGETATION_CLASSES
-    made = dominance_terms(df.drop("lc_dom", "lc_dom_frac"), classes, classes, "lc_dom").drop("lc_entropy", "lc_weight")
-    made = made.withColumns(season_terms())
+    made = {
+        **season_terms(),
+        "lc_dom": landcover.dominant_class(classes),
+        "lc_dom_frac": landcover.dominant_share(classes),
+    }
     if label and label in df.columns:
-        made = made.withColumn("igbp_to_lc_dom", landcover.class_of_label(label))
-    return made
+        made["igbp_to_lc_dom"] = landcover.class_of_label(label)
+    return df.withColumns(made)
