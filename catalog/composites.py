@@ -178,8 +178,8 @@ _NEWEST = "(SELECT max(date) FROM fx_grid_daily)"
         f AS (SELECT c.row, c.col, CASE WHEN g.qc_raw & 255 = 0 THEN g.tau_ku_h END AS tau_ku_h, g.qc_raw AS VOD_QC, g.tau_x_h AS LST, r.r7, coalesce(r.n7, 0) AS n7, la.lai, s.canopy_height,
                      k.GRA, k.BAR, {', '.join(f"{' + '.join(m)} AS m_{n}" for n, m in names.MERGED_CLASSES.items())}
               FROM cells c LEFT JOIN g USING (row, col) LEFT JOIN r USING (row, col) LEFT JOIN la USING (row, col) LEFT JOIN fx_static s USING (row, col) LEFT JOIN fx_classes k USING (row, col))
-        SELECT CAST(row // 300 AS INT) AS band, 300 * 3600 AS n_cells, count(tau_ku_h) AS n_bands, round(sum(tau_ku_h), 4) AS sum_bands, count(LST) AS n_lst, round(sum(r7), 4) AS sum_rain_7day,
-               CAST(sum(n7) AS BIGINT) AS sum_rain_days, count(lai) AS n_lai, round(sum(lai), 4) AS sum_lai, round(sum(canopy_height), 4) AS sum_height, count(GRA) AS n_classes, round(sum(m_Herb), 4) AS sum_herb,
+        SELECT CAST(row // 300 AS INT) AS band, 300 * 3600 AS n_cells, count(tau_ku_h) AS n_bands, round(sum(tau_ku_h), 6) AS sum_bands, count(LST) AS n_lst, round(sum(r7), 6) AS sum_rain_7day,
+               CAST(sum(n7) AS BIGINT) AS sum_rain_days, count(lai) AS n_lai, round(sum(lai), 6) AS sum_lai, round(sum(canopy_height), 6) AS sum_height, count(GRA) AS n_classes, round(sum(m_Herb), 6) AS sum_herb,
                count(*) FILTER (tau_ku_h IS NOT NULL OR lai IS NOT NULL OR LST IS NOT NULL) AS n_valid FROM f GROUP BY 1""",
     ["fx_grid_daily", "fx_lai8", "fx_static", "fx_classes"],
 )
@@ -204,7 +204,7 @@ def _(x):
         F.count("LAI").alias("n_lai"), F.sum("LAI").alias("sum_lai"), F.sum("Hveg").alias("sum_height"), F.count("GRA").alias("n_classes"),
         F.sum("Herb").alias("sum_herb"), F.sum("valid_for_inference").alias("n_valid"),
     )
-    return rounded_doubles(made.where("n_classes > 0"), 4)
+    return rounded_doubles(made.where("n_classes > 0"), 6)
 
 
 @query("cp9_experiment_runs")

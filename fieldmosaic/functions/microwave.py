@@ -54,10 +54,10 @@ def free_water(
     eps_inf: float = 4.9,
 ) -> Column:
     """Debye water with conductivity; without temperature 4.9 + 75 / (1 + j f / 18)."""
-    f = clip(col(f_ghz), 1e-6)
+    f = F.greatest(col(f_ghz), F.lit(1e-6))
     sigma = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
     eps_s = F.lit(eps_inf + 75.0) if temp_c is None else static_permittivity(temp_c)
-    f0 = F.lit(18.0) if temp_c is None else clip(relaxation_ghz(temp_c), 1e-6)
+    f0 = F.lit(18.0) if temp_c is None else F.greatest(relaxation_ghz(temp_c), F.lit(1e-6))
     a, b = cx.inverse(F.lit(1.0), f / f0)
     span = eps_s - F.lit(eps_inf)
     loss = sigma / (F.lit(2.0 * math.pi * names.VACUUM_PERMITTIVITY) * (f * F.lit(1e9)))
@@ -66,22 +66,25 @@ def free_water(
 
 def bound_water(f_ghz: Column | str) -> Column:
     """2.9 + 55 / (1 + sqrt(j f / 0.18)), with sqrt(j x) = sqrt(x / 2) (1 + j)."""
-    half = F.sqrt(clip(col(f_ghz), 1e-6) / F.lit(0.18) / F.lit(2.0))
+    half = F.sqrt(F.greatest(col(f_ghz), F.lit(1e-6)) / F.lit(0.18) / F.lit(2.0))
     a, b = cx.inverse(F.lit(1.0) + half, half)
     return cx.make(F.lit(2.9) + F.lit(55.0) * a, F.lit(55.0) * b)
 
 
 def plant_dielectric(mg: Column | str, free: Column, bound: Column, clip_free: bool = True, clip_loss: bool = True) -> Column:
-    """Bulk dielectric from moisture and the two water phases."""
-    m = clip(col(mg), 0.0, 0.999999)
+    """Bulk dielectric from moisture in [0, 1) and the two water phases.
+
+    A missing moisture leaves the real part NULL, and with it everything after.
+    """
+    m = col(mg)
     rest = F.lit(1.7) - F.lit(0.74) * m + F.lit(6.16) * m * m
     v_free = m * (F.lit(0.55) * m - F.lit(0.076))
     if clip_free:
-        v_free = clip(v_free, 0.0)
+        v_free = F.greatest(v_free, F.lit(0.0))
     v_bound = F.lit(4.64) * m * m / (F.lit(1.0) + F.lit(7.36) * m * m)
     real = rest + v_free * cx.re(free) + v_bound * cx.re(bound)
     imag = v_free * cx.im(free) + v_bound * cx.im(bound)
-    return cx.make(real, clip(imag, None, 0.0) if clip_loss else imag)
+    return cx.make(real, F.least(imag, F.lit(0.0)) if clip_loss else imag)
 
 
 def rational_dielectric(
@@ -103,6 +106,18 @@ def mix_with_air(eps_veg: Column, cover: Column | str, beta: float = 1.0 / 3.0)
     return cx.power(term, 1.0 / beta)
 
 
+def canopy_loss(eps_veg: Column, cover: Column | str, beta: float = 1.0 / 3.0) -> Column:
+    """``-Im sqrt`` of ``mix_with_air`` in one step.
+
+    With losses the angle of the mixed term lies in (-beta pi, 0], so power and
+    root combine to one power with exponent 1 / (2 beta) on the principal branch.
+    """
+    v = F.when(col(cover).between(0.0, 1.0), col(cover))
+    powered = cx.power(eps_veg, beta)
+    term = cx.make(F.lit(1.0) + v * (cx.re(powered) - F.lit(1.0)), v * cx.im(powered))
+    return -cx.im(cx.power(term, 0.5 / beta))
+
+
 def mix_components(parts: list[tuple[Column, Column]], beta: float = 1.0 / 3.0) -> Column:
     """Power-law mixture of (dielectric, fraction) pairs; fractions are normalised."""
     if beta == 0:
@@ -135,7 +150,17 @@ def optical_depth(
     clamp_max: float | None = None,
 ) -> Column:
     """``eta 4 pi h / lambda (-Im sqrt eps)``, or ``alpha (-Im sqrt eps)`` when alpha is given."""
-    loss = -cx.sqrt_imag(eps_canopy)
+    return depth_of_loss(-cx.sqrt_imag(eps_canopy), wavelength, height_m, eta, alpha, clamp_max)
+
+
+def depth_of_loss(
+    loss: Column,
+    wavelength: Column | str,
+    height_m: Column | str,
+    eta: Column | float = 1.0,
+    alpha: Column | float | None = None,
+    clamp_max: float | None = None,
+) -> Column:
     if alpha is not None:
         depth = (alpha if isinstance(alpha, Column) else F.lit(float(alpha))) * loss
     else:
@@ -169,7 +194,7 @@ def with_forward_depth(
         .withColumn("_ghz", F.col("_hz") / F.lit(1e9))
         .withColumns({"_free": free_water("_ghz", sigma, temp_c), "_bound": bound_water("_ghz")})
         .withColumn("_veg", plant_dielectric("_mg", F.col("_free"), F.col("_bound")))
-        .withColumn("_can", mix_with_air(F.col("_veg"), cover))
-        .withColumn(out, optical_depth(F.col("_can"), wavelength_m("_hz"), height, eta))
+        .withColumn("_loss", canopy_loss(F.col("_veg"), cover))
+        .withColumn(out, depth_of_loss(F.col("_loss"), wavelength_m("_hz"), height, eta))
     )
-    return staged.drop("_mg", "_hz", "_ghz", "_free", "_bound", "_veg", "_can")
+    return staged.drop("_mg", "_hz", "_ghz", "_free", "_bound", "_veg", "_loss")

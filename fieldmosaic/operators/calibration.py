@@ -32,10 +32,14 @@ def positive_height(df: DataFrame, height: str = "canopy_height") -> DataFrame:
 
 
 def scale_targets(long: DataFrame, lfmc: str = "lfmc_pct", cover: str = "vegf", height: str = "canopy_height") -> DataFrame:
-    """Observed over modelled depth per row; rows with a vanishing model value are dropped."""
+    """Observed over modelled depth per row; NULL where the model value vanishes.
+
+    Quantiles and counts skip NULL, so the rows stay: a filter would be pushed
+    below the chain and evaluate it twice.
+    """
     modelled = microwave.with_forward_depth(long, lfmc, cover, height, "band", "base_term")
     ratio = F.when(F.col("base_term") > 1e-8, F.col("vod_obs") / F.col("base_term"))
-    return modelled.withColumn("eta_target", values.finite(ratio)).where(F.col("eta_target").isNotNull())
+    return modelled.withColumn("eta_target", ratio)
 
 
 def band_scale(targets: DataFrame, key: str = "band", hot_rows: int = scale.HOT_GROUP_ROWS) -> DataFrame:
@@ -44,7 +48,7 @@ def band_scale(targets: DataFrame, key: str = "band", hot_rows: int = scale.HOT_
     Clipping at quantiles around the middle leaves the median as it is.
     """
     wanted = {"eta_lo": ("eta_target", 0.01), "eta_hi": ("eta_target", 0.99), "eta": ("eta_target", 0.5)}
-    return scale.group_quantiles(targets, [key], wanted, [F.count(F.lit(1)).alias("n")], hot_rows)
+    return scale.group_quantiles(targets, [key], wanted, [F.count("eta_target").alias("n")], hot_rows)
 
 
 def predict_depth(
