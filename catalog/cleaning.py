@@ -23,7 +23,7 @@ def flagged(x):
 
 
 def strict(x):
-    return cleaning.strict_view(flagged(x), drop_dead=True)
+    return cleaning.strict_view(cleaning.add_flags(standard(x), conflicts=False), drop_dead=True)
 
 
 def site_days(x, **options):

@@ -31,18 +31,17 @@ def parse_day(c: Column | str) -> Column:
 def clock_seconds(c: Column | str) -> Column:
     """Seconds after midnight for ``HHMM``, ``HMM``, ``HH:MM`` and ``HH:MM:SS``; else NULL."""
     text = F.trim(col(c).cast("string"))
-    pattern = r"^(\d{1,2}):?(\d{2})(?::(\d{2}))?$"
-    parts = [F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2, 3)]
-    hours, minutes, seconds = parts[0], parts[1], F.coalesce(parts[2], F.lit(0))
-    usable = text.rlike(pattern) & (hours < 24) & (minutes < 60) & (seconds < 60)
-    return F.when(usable, hours * 3600 + minutes * 60 + seconds)
+    number = F.translate(text, ":", "").try_cast("int")
+    clock = F.when(text.rlike(r"^\d{1,2}:?\d{2}$"), number * 100).when(text.rlike(r"^\d{1,2}:\d{2}:\d{2}$|^\d{6}$"), number)
+    return F.when(
+        (clock < 240000) & (clock % 10000 < 6000) & (clock % 100 < 60),
+        F.floor(clock / 10000) * 3600 + F.floor(clock % 10000 / 100) * 60 + clock % 100,
+    )
 
 
 def add_seconds(day: Column, seconds: Column) -> Column:
     """Day plus seconds as a timestamp without zone; missing seconds keep the day."""
-    start = day.cast("timestamp_ntz")
-    interval = F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    return F.when(seconds.isNull(), start).otherwise(start + interval)
+    return F.timestamp_add("SECOND", F.coalesce(seconds, F.lit(0)), day.cast("timestamp_ntz"))
 
 
 def sampling_moment(day: Column | str, clock: Column | str) -> Column:

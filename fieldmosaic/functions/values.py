@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import names
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Plain decimal numbers that cannot overflow a double.
+_NUMBER = r"^[+-]?(\d{1,200}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
 
 
 def col(c: Column | str) -> Column:
@@ -25,7 +26,7 @@ def finite(c: Column | str) -> Column:
 def to_number(c: Column | str) -> Column:
     """Text to double; anything that is not a plain decimal number is NULL."""
     text = F.trim(col(c).cast("string"))
-    return F.when(text.rlike(_NUMBER), finite(text.try_cast("double")))
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def truthy(c: Column | str) -> Column:
@@ -73,6 +74,19 @@ def all_present(names: Iterable[str]) -> Column:
     return F.expr(" AND ".join(f"{quoted(n)} IS NOT NULL" for n in names))
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns so that each is computed once per row.
+
+    Filters on a projected column are pushed below the projection and repeat
+    its expression there. They are not pushed below a generated column, so
+    costly expressions are emitted as one generated row per input row.
+    """
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    rest = [F.col(quoted(c)) for c in df.columns if c not in columns]
+    out = df.select(*rest, F.inline(F.array(made)))
+    return out.select(*[F.col(quoted(c)) for c in [*df.columns, *[n for n in columns if n not in df.columns]]])
+
+
 def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Bounded value; NULL stays NULL (``greatest`` alone would skip it)."""
     out = c

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,9 +39,12 @@ def standardise(df: DataFrame, configured: dict[str, str] | None = None) -> Data
     if "date" not in found:
         raise KeyError("no sampling date column")
     df = df.withColumnsRenamed({header: core for core, header in found.items()})
-    typed: dict[str, Column] = {c: values.to_number(c) for c in ("lat", "lon", "lfmc_pct") if c in found}
+    stored = dict(df.dtypes)
+    typed: dict[str, Column] = {
+        c: values.to_number(c) if stored[c] == "string" else values.finite(c) for c in ("lat", "lon", "lfmc_pct") if c in found
+    }
     typed["date"] = calendar.parse_day("date")
-    df = df.withColumns(typed)
+    df = values.compute_once(df, typed)
     clock = "sampling_time_raw" in found
     return df.withColumns(
         {
@@ -83,11 +87,10 @@ def dead_protocol(protocol: Column | str, codes: Sequence[str] = tuple(names.DEA
 
 
 def provider_suspect(text: Column | str, words: Sequence[str] = tuple(names.SUSPECT_WORDS)) -> Column:
-    lowered = F.lower(F.coalesce(values.col(text), F.lit("")))
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | lowered.contains(word.lower())
-    return hit.cast("int")
+    if not words:
+        return F.lit(0)
+    pattern = "|".join(re.escape(word.lower()) for word in words)
+    return F.coalesce(F.lower(values.col(text)).rlike(pattern), F.lit(False)).cast("int")
 
 
 def _conflicting(df: DataFrame, keys: list[str], members: list[str], out: str) -> DataFrame:

@@ -38,11 +38,16 @@ class CleaningResult:
 
 def clean(raw: DataFrame, options: CleaningOptions = CleaningOptions(), configured: dict[str, str] | None = None) -> CleaningResult:
     """All tables of the cleaning workflow as lazy DataFrames."""
-    flagged = cleaning.add_flags(cleaning.standardise(raw, configured), options.low, options.high)
-    strict = cleaning.strict_view(flagged, options.drop_isolated, options.drop_suspect, options.drop_dead)
-    land_cover = options.land_cover_column if options.land_cover_column in flagged.columns else None
+    standard = cleaning.standardise(raw, configured)
+    flagged = cleaning.add_flags(standard, options.low, options.high)
+    drops = (options.drop_isolated, options.drop_suspect, options.drop_dead)
+    strict = cleaning.strict_view(flagged, *drops)
+    # The conflict flags take two aggregates and joins and drop no row, so the
+    # site-day table is built from rows flagged without them.
+    usable = cleaning.strict_view(cleaning.add_flags(standard, options.low, options.high, conflicts=False), *drops)
+    land_cover = options.land_cover_column if options.land_cover_column in standard.columns else None
     site_day = dedup.site_day(
-        strict, options.site_strategy, by_location=options.by_location, precision=options.precision, land_cover_column=land_cover
+        usable, options.site_strategy, by_location=options.by_location, precision=options.precision, land_cover_column=land_cover
     )
     return CleaningResult(
         flagged,
