@@ -16,7 +16,11 @@ def finite_pairs(df: DataFrame, y: str = "y", y_hat: str = "y_hat") -> DataFrame
 
 
 def error_aggregates(y: str = "y", y_hat: str = "y_hat") -> dict[str, Column]:
-    """n, MAE, RMSE, Pearson R and R2 over pairs with both sides present."""
+    """n, MAE, RMSE, Pearson R and R2 over pairs with both sides present.
+
+    R is built from the covariance because ``corr`` divides by zero for a
+    constant side; here, as for fewer than two pairs, it is NULL.
+    """
     pair = F.col(y).isNotNull() & F.col(y_hat).isNotNull()
     obs = F.when(pair, F.col(y).cast("double"))
     hat = F.when(pair, F.col(y_hat).cast("double"))
@@ -27,7 +31,7 @@ def error_aggregates(y: str = "y", y_hat: str = "y_hat") -> dict[str, Column]:
         "n": n,
         "MAE": F.avg(F.abs(error)),
         "RMSE": F.sqrt(F.avg(error * error)),
-        "R": F.when(n >= 2, F.corr(obs, hat)),
+        "R": F.try_divide(F.covar_pop(obs, hat), F.stddev_pop(obs) * F.stddev_pop(hat)),
         "R2": r2,
     }
 
