@@ -30,14 +30,14 @@ def _(x):
     return tables.read_predictors(x.spark, path, ["sample_id", "FT", "LAI", "LST"], ["LAI", "LST"])
 
 
-@query("src3_read_by_suffix", "SELECT 'csv' AS form, count(*) AS n, round(sum(y), 4) AS total FROM fx_pred UNION ALL SELECT 'parquet', count(*), round(sum(y), 4) FROM fx_pred", ["fx_pred"])
+@query("src3_read_by_suffix", "SELECT 'csv' AS form, count(*) AS n, round(sum(y), 6) AS total FROM fx_pred UNION ALL SELECT 'parquet', count(*), round(sum(y), 4) FROM fx_pred", ["fx_pred"])
 def _(x):
     base = scratch_path(x.spark, "pairs")
     x.fx_pred.write.option("header", True).csv(f"{base}.csv")
     x.fx_pred.write.parquet(f"{base}.parquet")
     out = None
     for form in ("csv", "parquet"):
-        part = tables.read_table(x.spark, f"{base}.{form}").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("y").cast("double")), 4).alias("total"))
+        part = tables.read_table(x.spark, f"{base}.{form}").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("y").cast("double")), 6).alias("total"))
         part = part.select(F.lit(form).alias("form"), "n", "total")
         out = part if out is None else out.unionByName(part)
     return out
@@ -169,12 +169,12 @@ def _(x):
     return rounded(read, "rmse_mean", digits=4)
 
 
-@query("snk6_split_tables", "SELECT split, grp, count(*) AS n, round(sum(y), 4) AS total FROM fx_pred GROUP BY ALL", ["fx_pred"])
+@query("snk6_split_tables", "SELECT split, grp, count(*) AS n, round(sum(y), 6) AS total FROM fx_pred GROUP BY ALL", ["fx_pred"])
 def _(x):
     path = scratch_path(x.spark, "splits")
     sinks.write_splits(x.fx_pred, path, order=["l_orderkey"])
     made = x.spark.read.parquet(path).groupBy("split", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
-    return rounded(made, "total", digits=4)
+    return rounded(made, "total", digits=6)
 
 
 @query("sch2_required_columns", "SELECT sample_id, LAI FROM fx_predictors", ["fx_predictors"])

@@ -79,10 +79,13 @@ def scaffold(dates: DataFrame, rows: int = names.GRID_ROWS, columns: int = names
     """Every grid cell of every date with centre coordinates.
 
     The cells of a date are generated row by row on the executors: the date
-    list is spread, then each date is expanded to grid rows and these to cells.
+    list is expanded to grid rows, these are spread, then expanded to cells.
+    The number of partitions is given because the strips themselves are tiny
+    and would otherwise be coalesced into one task before they are expanded.
     """
     strips = dates.select("date").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    spread = strips.repartition(F.col("date"), F.col("row"))
+    count = int(dates.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spread = strips.repartition(count, F.col("date"), F.col("row"))
     grid = spread.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     return grid.select(
         "date",

@@ -162,8 +162,18 @@ def group_quantiles(
     small, large = split_hot_groups(df, keys, hot_rows)
     parts = []
     if small is not None:
-        exact = [F.percentile(c, F.lit(float(q))).alias(name) for name, (c, q) in quantiles.items()]
-        parts.append(small.groupBy(*keys).agg(*exact, *aggregates))
+        # One value buffer per column, whatever the number of its quantiles.
+        wanted: dict[str, list[str]] = {}
+        for name, (column, _) in quantiles.items():
+            wanted.setdefault(column, []).append(name)
+        buffers = [
+            F.percentile(column, F.array(*[F.lit(float(quantiles[n][1])) for n in found])).alias(f"__q_{column}")
+            for column, found in wanted.items()
+        ]
+        grouped = small.groupBy(*keys).agg(*buffers, *aggregates)
+        plain = [c for c in grouped.columns if c not in keys and not c.startswith("__q_")]
+        picks = [F.col(f"__q_{column}").getItem(i).alias(n) for column, found in wanted.items() for i, n in enumerate(found)]
+        parts.append(grouped.select(*keys, *picks, *plain))
     if large is not None:
         parts.append(large_group_quantiles(large, keys, quantiles, aggregates, slices))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

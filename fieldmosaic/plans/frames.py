@@ -52,7 +52,7 @@ def training_base(df: DataFrame, core: Sequence[str] = tuple(names.CORE_FEATURES
     classes = names.VEGETATION_CLASSES
     other = [c for c in names.NONVEGETATION_CLASSES if c in df.columns]
     labelled = dominance_terms(props, labels, "igbp_dom") if props else landcover.single_label_terms(label)
-    return out.withColumns(
+    out = out.withColumns(
         {
             **labelled,
             **dominance_terms(classes, classes, "lc_dom"),
@@ -60,17 +60,16 @@ def training_base(df: DataFrame, core: Sequence[str] = tuple(names.CORE_FEATURES
             "igbp_to_lc_dom": landcover.class_of_label(label),
         }
     )
+    # A projection of its own: the weights name the shares several times.
+    return out.withColumns({f"{k}_weight": landcover.purity_weight(f"{k}_dom_frac") for k in ("lc", "igbp")})
 
 
 def dominance_terms(classes: Sequence[str], labels: Sequence[str], out: str) -> dict[str, Column]:
-    """Dominant class, its share, entropy and weight."""
-    stem = out.removesuffix("_dom")
-    share = landcover.dominant_share(classes)
+    """Dominant class, its share and entropy."""
     return {
         out: landcover.dominant_class(classes, labels),
-        f"{out}_frac": share,
-        f"{stem}_entropy": landcover.entropy(classes),
-        f"{stem}_weight": landcover.purity_weight(share),
+        f"{out}_frac": landcover.dominant_share(classes),
+        f"{out.removesuffix('_dom')}_entropy": landcover.entropy(classes),
     }
 
 
