@@ -30,7 +30,7 @@ def _(x):
     return tables.read_predictors(x.spark, path, ["sample_id", "FT", "LAI", "LST"], ["LAI", "LST"])
 
 
-@query("src3_read_by_suffix", "SELECT 'csv' AS form, count(*) AS n, round(sum(y), 6) AS total FROM fx_pred UNION ALL SELECT 'parquet', count(*), round(sum(y), 4) FROM fx_pred", ["fx_pred"])
+@query("src3_read_by_suffix", "SELECT 'csv' AS form, count(*) AS n, round(sum(y), 6) AS total FROM fx_pred UNION ALL SELECT 'parquet', count(*), round(sum(y), 6) FROM fx_pred", ["fx_pred"])
 def _(x):
     base = scratch_path(x.spark, "pairs")
     x.fx_pred.write.option("header", True).csv(f"{base}.csv")

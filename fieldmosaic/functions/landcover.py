@@ -1,10 +1,10 @@
 """Land-cover fractions, labels, vegetation kinds and sample weights.
 
-Arg-max, sum and entropy are built-in expressions whose size is linear in the
-number of classes: filters on them are pushed below projections, which copies
-the whole expression, so a form that names every class once per term would grow
-with the square. They are written as SQL text because a row of seventeen classes
-would otherwise take hundreds of calls into the JVM per expression.
+Arg-max, share and entropy work on one array of the class fractions. Written out
+per class they grow past the size the JVM compiles, and filters on them, which
+are pushed below projections, copy the whole expression. They are SQL text
+because a row of seventeen classes would otherwise take hundreds of calls into
+the JVM per expression.
 """
 
 from __future__ import annotations
@@ -28,48 +28,53 @@ def _safe_text(name: str) -> str:
     return f"greatest(coalesce({quoted(name)}, 0D), 0D)"
 
 
-def _total_text(classes: Sequence[str]) -> str:
-    return "(" + " + ".join(_safe_text(c) for c in classes) + ")"
+def _array_text(classes: Sequence[str], values: str | None = None) -> str:
+    return quoted(values) if values else f"array({', '.join(_safe_text(c) for c in classes)})"
 
 
-def _top_text(values: Sequence[str]) -> str:
-    return f"greatest({', '.join(values)})"
+def _total_text(classes: Sequence[str]) -> str:
+    return "(" + " + ".join(_safe_text(c) for c in classes) + ")"
 
 
-def _first_at_maximum(values: Sequence[str], labels: Sequence[str], top: str) -> str:
-    texts = ", ".join(f"'{label}'" for label in labels)
-    return f"element_at(array({texts}), CAST(array_position(array({', '.join(values)}), {top}) AS INT))"
+def fractions(classes: Sequence[str]) -> Column:
+    """Safe fractions as an array: store it once, then name it as ``values`` below."""
+    return F.expr(_array_text(classes))
 
 
 def dominant_class(
-    classes: Sequence[str], labels: Sequence[str] | None = None, legacy_first_class: bool = False
+    classes: Sequence[str],
+    labels: Sequence[str] | None = None,
+    legacy_first_class: bool = False,
+    values: str | None = None,
 ) -> Column:
     """Class with the largest fraction, the first one on ties.
 
     Without any positive fraction the class is NULL; ``legacy_first_class``
-    returns the first class instead, as an arg-max over zeros would.
+    returns the first class instead, as an arg-max over zeros would. ``values``
+    names a column that holds ``fractions(classes)``.
     """
-    values = [_safe_text(c) for c in classes]
-    top = _top_text(values)
-    best = _first_at_maximum(values, list(labels or classes), top)
-    return F.expr(best if legacy_first_class else f"CASE WHEN {top} > 0 THEN {best} END")
+    array = _array_text(classes, values)
+    texts = ", ".join(f"'{label}'" for label in (labels or classes))
+    place = f"CAST(array_position({array}, array_max({array})) AS INT)"
+    best = f"element_at(array({texts}), {place})"
+    return F.expr(best if legacy_first_class else f"CASE WHEN array_max({array}) > 0 THEN {best} END")
 
 
-def dominant_share(classes: Sequence[str]) -> Column:
-    values = [_safe_text(c) for c in classes]
-    return F.expr(f"try_divide({_top_text(values)}, {_total_text(classes)})")
+def dominant_share(classes: Sequence[str], values: str | None = None) -> Column:
+    array = _array_text(classes, values)
+    return F.expr(f"try_divide(array_max({array}), aggregate({array}, 0D, (total, v) -> total + v))")
 
 
-def entropy(classes: Sequence[str]) -> Column:
+def entropy(classes: Sequence[str], values: str | None = None) -> Column:
     """Shannon entropy of the normalised fractions; 0 for a row without fractions.
 
     ``ln S - sum(v ln v) / S`` equals ``-sum(p ln p)`` with ``p = v / S`` and
-    names each class twice instead of once per term of the sum.
+    takes one pass over the classes.
     """
-    values = [_safe_text(c) for c in classes]
-    whole = _total_text(classes)
-    terms = " + ".join(f"{v} * ln(greatest({v}, 1e-300D))" for v in values)
-    return F.expr(f"CASE WHEN {whole} > 0 THEN greatest(ln({whole}) - ({terms}) / {whole}, 0D) + 0D ELSE 0D END")
+    step = "struct(acc.total + v AS total, acc.logs + v * ln(greatest(v, 1e-300D)) AS logs)"
+    done = "CASE WHEN acc.total > 0 THEN greatest(ln(acc.total) - acc.logs / acc.total, 0D) + 0D ELSE 0D END"
+    start = "struct(0D AS total, 0D AS logs)"
+    return F.expr(f"aggregate({_array_text(classes, values)}, {start}, (acc, v) -> {step}, acc -> {done})")
 
 
 def purity_weight(
@@ -110,14 +115,12 @@ def merged_groups(with_mixed_herb: bool = False) -> dict[str, Column]:
 
 def merged_dominant() -> dict[str, Column]:
     """Dominant of the nine merged classes, over columns made by ``merged_groups``."""
-    values = [quoted(c) for c in names.MERGED_ORDER]
-    comparable = [f"coalesce({v}, CAST('-Infinity' AS DOUBLE))" for v in values]
-    top = _top_text(comparable)
-    present = f"coalesce({', '.join(values)}) IS NOT NULL"
+    members = ", ".join(quoted(c) for c in names.MERGED_ORDER)
+    texts = ", ".join(f"'{c}'" for c in names.MERGED_ORDER)
     nonveg = finite("NonVeg")
     return {
-        "lc_dom": F.expr(f"CASE WHEN {present} THEN {_first_at_maximum(comparable, names.MERGED_ORDER, top)} ELSE 'Unknown' END"),
-        "lc_dom_frac": F.expr(f"CASE WHEN {present} THEN {top} END"),
+        "lc_dom": F.expr(f"coalesce(element_at(array({texts}), CAST(array_position(array({members}), greatest({members})) AS INT)), 'Unknown')"),
+        "lc_dom_frac": F.expr(f"greatest({members})"),
         "nonveg_frac": nonveg,
         "nonveg_skip": (F.coalesce(nonveg, F.lit(0.0)) >= names.NONVEG_TRAINING_MAX).cast("int"),
     }

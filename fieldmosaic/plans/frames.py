@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import names
-from ..functions import calendar, landcover, values
+from ..functions import calendar, landcover
+from ..functions import values as cols
 from ..operators import splits
 from ..sources.tables import require_columns
 
@@ -28,9 +29,9 @@ def proportion_columns(columns: Sequence[str]) -> tuple[list[str], list[str]]:
 def base_filter(df: DataFrame, core: Sequence[str]) -> DataFrame:
     """Target, place and day present, target not 0, some band present, core features present."""
     return df.where(
-        values.all_present(["lfmc_pct", "lat", "lon", "date", *core])
+        cols.all_present(["lfmc_pct", "lat", "lon", "date", *core])
         & (F.col("lfmc_pct") != 0)
-        & values.any_present(names.BANDS)
+        & cols.any_present(names.BANDS)
     )
 
 
@@ -46,30 +47,32 @@ def training_base(df: DataFrame, core: Sequence[str] = tuple(names.CORE_FEATURES
     """
     require_columns(df, [*KEYS[1:], label, *names.BANDS, *core, *names.VEGETATION_CLASSES])
     numbers = [c for c in [*names.BANDS, *core, *names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES] if c in df.columns]
-    df = df.withColumns({c: F.expr(values.finite_text(c)) for c in ["lfmc_pct", "lat", "lon", *numbers]})
+    df = df.withColumns({c: F.expr(cols.finite_text(c)) for c in ["lfmc_pct", "lat", "lon", *numbers]})
     out = base_filter(df, core).withColumns(season_terms())
     props, labels = proportion_columns(df.columns)
     classes = names.VEGETATION_CLASSES
     other = [c for c in names.NONVEGETATION_CLASSES if c in df.columns]
-    labelled = dominance_terms(props, labels, "igbp_dom") if props else landcover.single_label_terms(label)
+    out = out.withColumns({"__lc": landcover.fractions(classes), **({"__props": landcover.fractions(props)} if props else {})})
+    labelled = dominance_terms(props, labels, "igbp_dom", "__props") if props else landcover.single_label_terms(label)
     out = out.withColumns(
         {
             **labelled,
-            **dominance_terms(classes, classes, "lc_dom"),
+            **dominance_terms(classes, classes, "lc_dom", "__lc"),
             "nonveg_frac": landcover.nonvegetation_share(other),
             "igbp_to_lc_dom": landcover.class_of_label(label),
         }
     )
     # A projection of its own: the weights name the shares several times.
-    return out.withColumns({f"{k}_weight": landcover.purity_weight(f"{k}_dom_frac") for k in ("lc", "igbp")})
+    weights = {f"{k}_weight": landcover.purity_weight(f"{k}_dom_frac") for k in ("lc", "igbp")}
+    return out.withColumns(weights).drop("__lc", "__props")
 
 
-def dominance_terms(classes: Sequence[str], labels: Sequence[str], out: str) -> dict[str, Column]:
-    """Dominant class, its share and entropy."""
+def dominance_terms(classes: Sequence[str], labels: Sequence[str], out: str, values: str | None = None) -> dict[str, Column]:
+    """Dominant class, its share and entropy; ``values`` names a stored array of the fractions."""
     return {
-        out: landcover.dominant_class(classes, labels),
-        f"{out}_frac": landcover.dominant_share(classes),
-        f"{out.removesuffix('_dom')}_entropy": landcover.entropy(classes),
+        out: landcover.dominant_class(classes, labels, values=values),
+        f"{out}_frac": landcover.dominant_share(classes, values),
+        f"{out.removesuffix('_dom')}_entropy": landcover.entropy(classes, values),
     }
 
 
@@ -146,16 +149,16 @@ def _kept(base: DataFrame, spec: FrameSpec) -> Column:
     Season terms and class entropy are present on every base row, so they are
     not tested: a test would copy their expressions into the pushed filter.
     """
-    keep = values.all_present(["lfmc_pct", spec.category])
+    keep = cols.all_present(["lfmc_pct", spec.category])
     if spec.consistent_only:
         keep = keep & (F.col("igbp_to_lc_dom") == F.col("lc_dom"))
     if spec.vegetated_only:
         keep = keep & (F.col("nonveg_frac") < names.NONVEG_TRAINING_MAX)
     if spec.bands:
-        keep = keep & values.any_present(names.BANDS)
+        keep = keep & cols.any_present(names.BANDS)
     certain = [*names.BANDS, *names.SEASON_FEATURES, "lc_entropy"]
     strict = [c for c in numeric_columns(base, spec) if c not in certain]
-    return keep & values.all_present(strict) if strict else keep
+    return keep & cols.all_present(strict) if strict else keep
 
 
 def _weight(spec: FrameSpec) -> Column:

@@ -19,6 +19,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # HotSpot does not compile methods above 8000 bytes of bytecode. Stages with
+    # dozens of class columns exceed that when fused and then run interpreted;
+    # with this limit they fall back to split, compiled projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Wide feature expressions make thousands of Column calls; without the
     # per-call stack capture a plan is built several times faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
