@@ -117,9 +117,10 @@ def merged_dominant() -> dict[str, Column]:
     """Dominant of the nine merged classes, over columns made by ``merged_groups``."""
     members = ", ".join(quoted(c) for c in names.MERGED_ORDER)
     texts = ", ".join(f"'{c}'" for c in names.MERGED_ORDER)
+    best = f"element_at(array({texts}), CAST(array_position(array({members}), greatest({members})) AS INT))"
     nonveg = finite("NonVeg")
     return {
-        "lc_dom": F.expr(f"coalesce(element_at(array({texts}), CAST(array_position(array({members}), greatest({members})) AS INT)), 'Unknown')"),
+        "lc_dom": F.expr(f"CASE WHEN greatest({members}) IS NULL THEN 'Unknown' ELSE {best} END"),
         "lc_dom_frac": F.expr(f"greatest({members})"),
         "nonveg_frac": nonveg,
         "nonveg_skip": (F.coalesce(nonveg, F.lit(0.0)) >= names.NONVEG_TRAINING_MAX).cast("int"),
