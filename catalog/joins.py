@@ -96,8 +96,7 @@ def _(x):
 )
 def _(x):
     lai = x.fx_lai8.withColumnRenamed("index_date", "date")
-    first = lai.agg(F.min("date").alias("first"))
-    later = lai.join(first, F.col("date") > F.col("first")).drop("first")
+    later = lai.where(F.col("date") > F.lit(lai.agg(F.min("date")).first()[0]))
     return align.as_of_date(x.fx_points, later, ["lai"]).select("sample_id", "date", "date_used", "lai")
 
 

@@ -71,8 +71,8 @@ def _(x):
 )
 def _(x):
     frame = splits.spatial_split(x.fx_predictors)
-    overlap = splits.split_overlaps(frame).agg(F.count(F.lit(1)).alias("n_overlapping"))
-    return frame.agg(F.count_distinct("block_id").alias("n_blocks")).join(overlap, F.lit(True))
+    per_block = frame.groupBy("block_id").agg(F.count_distinct("split").alias("n_splits"))
+    return per_block.agg(F.count(F.lit(1)).alias("n_blocks"), F.count(F.when(F.col("n_splits") > 1, 1)).alias("n_overlapping"))
 
 
 _YEARS = "SELECT * REPLACE (date - CAST(365 * (sample_id % 12) AS INT) AS date) FROM fx_predictors"
