@@ -135,3 +135,12 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 def owners(starts: np.ndarray) -> np.ndarray:
     """Number of the text that each word belongs to."""
     return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+
+def strings(column: pa.Array) -> list[str]:
+    """Texts of a column; null is empty, and bytes that are no UTF-8 are replaced."""
+    column = column.fill_null("")
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
