@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, packing, quality, url_filter  # noqa: F401
+from . import decontaminate, edit_embedding, language_id, packing, quality, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
