@@ -195,6 +195,13 @@ def contamination(
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of documents that are not contaminated, with all their columns."""
+    dirty = written(contamination(docs, items).where("contaminated").select(F.col("row_key").alias("__dirty")).distinct(), "dirty")
+    marked = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    return marked.join(dirty, F.col("__key") == F.col("__dirty"), "left_anti").select(*docs.columns)
+
+
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SQL = f"""

@@ -335,6 +335,22 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     )
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The row of the smallest id (then of the smallest hash) of each component, with all its columns.
+
+    Rows of equal id and text are one; documents without text are kept.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    rows = docs.select(key.alias("row_key"), F.col("doc_id").alias("row_id"), "text")
+    found = similar_documents(rows.select(F.col("row_key").alias("doc_id"), "text"), size, percent)
+    ids = rows.select("row_key", F.col("row_id").cast("long").alias("row_id")).distinct()
+    placed = found.select(F.col("doc_id").alias("row_key"), F.col("component_id")).distinct().join(ids, "row_key")
+    first = placed.groupBy("component_id").agg(F.min_by("row_key", F.struct(F.col("row_id").isNull(), "row_id", "row_key")).alias("__kept"))
+    first = written(first.select("__kept"), "kept")
+    kept = docs.withColumn("__key", key).join(first, F.col("__key") == F.col("__kept"), "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+
+
 @query("op1_jaccard_join")
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(table(spark, folder, "documents"), size=4, percent=85)

@@ -248,16 +248,31 @@ def _confidence(entropy: np.ndarray, temperature: float) -> np.ndarray:
 
 
 def sample(docs: DataFrame, usable: Column, per_language: int, sample_bytes: int) -> list:
-    """The lowest texts by hash of their id, for each language; bounded by both parameters."""
-    narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    """The lowest texts by hash of their id, for each language; bounded by both parameters.
+
+    A hash threshold from each language's count leaves a few times the wanted ids,
+    and only these are ranked; texts are read for the chosen ids alone.
+    """
+    place = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    fit_for_use = (
+        usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes)
+    )
+    narrow = docs.where(fit_for_use).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), place.alias("place")
+    )
+    counts = narrow.groupBy("lang").agg(F.count("*").alias("texts")).withColumnRenamed("lang", "counted")
+    few = narrow.join(counts, F.col("lang") == F.col("counted")).where(F.col("place") * F.col("texts") <= 4 * per_language + 16)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = (
+        few.select("lang", "place", "doc_id").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language)
+        .select(F.col("doc_id").alias("chosen"), F.col("lang").alias("counted"))
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    # at most per_language ids for each language: small enough to send everywhere
     return (
-        narrow.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= per_language)
-        .select("lang", "text")
+        docs.where(fit_for_use)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+        .join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("counted")))
+        .select("lang", "text").distinct()
         .orderBy("lang", "text")
         .collect()
     )

@@ -240,6 +240,20 @@ def classify(docs: DataFrame, net: Network, held_out: Column, threshold: float =
     return arrow_map(id_and_text(docs, held_out.alias("held_out")), work, SCHEMA)
 
 
+def accepted(docs: DataFrame, net: Network, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows whose text scores ``threshold`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            parts = [scores(shared.value, piece) for piece in text_slices(rows.column(place))]
+            if parts:
+                yield rows.filter(pa.array(np.concatenate(parts) >= threshold))
+
+    return arrow_map(docs, work, docs.schema)
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
