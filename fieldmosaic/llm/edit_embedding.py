@@ -60,13 +60,13 @@ def embed(texts: Sequence[str]) -> np.ndarray:
     out = np.zeros((SLOTS, len(texts)), dtype=np.uint8)
     if not len(texts):
         return out.T
-    codes = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    # 255 character classes; 0 stands for the end, where the pointer stays
-    kinds = ((codes * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(255) + np.uint32(1)
-    kinds = kinds.astype(np.uint8)
-    kinds[ends] = 0
-    sizes = np.diff(np.concatenate([[-1], ends])) - 1
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes + 1) - 1
+    kinds = np.zeros(int(ends[-1]) + 1, dtype=np.uint8)
+    for text, end in zip(texts, ends.tolist()):
+        # 255 character classes; 0 stands for the end, where the pointer stays
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds[end - len(text) : end] = ((codes * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(255) + np.uint32(1)
     order = np.argsort(-sizes, kind="stable")
     pointer = (ends - sizes)[order]
     steps = 2 * sizes[order]

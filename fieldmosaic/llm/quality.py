@@ -162,9 +162,9 @@ def _gradients(net: Network, piece: Slice, target: np.ndarray, weight: np.ndarra
 
 
 def fit(
-    texts: Sequence[str], labels: Sequence[int], share: float = 0.5, seed: int = 7, epochs: int = 6, size: int = 48
+    texts: Sequence[str], labels: Sequence[int], share: float = 0.5, seed: int = 7, steps: int = 400, size: int = 48
 ) -> Network:
-    """Adam on the cross-entropy; label 1 weighs ``share`` in sum, as it does among all labels."""
+    """About ``steps`` steps of Adam on the cross-entropy; label 1 weighs ``share`` in sum, as it does among all labels."""
     net = Network.fresh(seed)
     if not len(texts):
         return net
@@ -173,6 +173,7 @@ def fit(
     positive = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     weight = np.where(target > 0, share / positive, (1 - share) / (1 - positive)).astype(np.float32)
     first, second, turn = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
+    epochs = -(-steps // -(-len(texts) // size))
     rounds = epochs * -(-len(texts) // size)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
