@@ -209,7 +209,7 @@ def op6_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and of its text with the second half taken from the next one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _pairs(batches, 6 << 20):
+        for some in _pairs(batches, 3 << 20):
             ids, texts, following = (list(x) for x in zip(*some))
             edited = [edited_text(t, n) for t, n in zip(texts, following)]
             prints = embed([*texts, *edited, following[-1]])
