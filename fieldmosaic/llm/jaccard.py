@@ -9,10 +9,13 @@ more required matches save verifications.
 
 Links are found in two steps, so that a large group of near copies costs little:
 
-1. per shared shingle, every class is paired with the lowest and the highest class that
-   hold it; pairs with enough matches are verified and linked into components;
-2. pairs of classes in different components, per shared shingle. Classes whose shared
-   prefix shingles cannot reach the matches that a pair needs are left out beforehand.
+1. per shared shingle, every class is paired with the class that shares most of its own
+   prefix, which in a group of copies is the one least edited; pairs with enough
+   matches are verified and linked into components;
+2. pairs of classes in different components. A class keeps the prefix shingles that other
+   components hold, ordered by their exact number of holders. A pair that needs m matches
+   has one among the rarest r - m + 1 of the r shingles that either side keeps, so
+   only there it is looked for.
 
 Every link between classes either is verified or joins classes already connected, so
 components are exact.
@@ -24,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, gram_hashes, mixed, text_slices, words
 from .components import components
-from .frames import KeyFilter, arrow_map, batch, buckets_for, id_and_text, table, written
+from .frames import KeyFilter, arrow_map, batch, buckets_for, id_and_text, table, unused, written
 from .registry import query
 
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SKETCH_PARTS = 64
 LONGEST = 8  # of l
 VERIFY_COST = 4  # of one candidate, in scanned postings
@@ -85,32 +88,32 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             none = [None] * SKETCH_PARTS
             yield batch(
                 {"doc_id": none, "n": none, "class": none, "part": np.arange(SKETCH_PARTS, dtype=np.int32),
-                 "counts": [p.tobytes() for p in sketch.reshape(SKETCH_PARTS, -1)]},
+                 "counts": [p.tobytes() for p in np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(SKETCH_PARTS, -1)]},
                 doc_id=pa.int64(), n=pa.int32(), **{"class": pa.int64()},
             )
 
     return arrow_map(id_and_text(docs), work, "doc_id long, n int, class long, part int, counts binary")
 
 
-def _levels(profile: DataFrame) -> np.ndarray:
+def _levels(profile: DataFrame, shingles: int) -> np.ndarray:
     """Per sketch slot: 0 for the usual, else how many doublings its count lies above it."""
+    usual = 2 * max(shingles / (1 << SKETCH_BITS), 1.0)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for rows in batches:
             for part, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+                counts = np.frombuffer(counts, np.uint16).astype(np.int64)
                 found[part] = found[part] + counts if part in found else counts
+        levels = [np.maximum(np.floor(np.log2(np.maximum(c, 1) / usual)), 0).astype(np.uint8).tobytes() for c in found.values()]
         if found:
-            yield batch({"part": np.array(list(found), np.int32), "counts": [c.tobytes() for c in found.values()]})
+            yield batch({"part": np.array(list(found), np.int32), "levels": levels})
 
     parts = profile.where(F.col("part").isNotNull()).select("part", "counts").repartition("part")
-    total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
-    for row in arrow_map(parts, add, "part int, counts binary").collect():  # 8 MB whatever the input
-        total[row["part"]] += np.frombuffer(row["counts"], np.int64)
-    total = total.reshape(-1)
-    usual = 2 * max(total.mean(), 1.0)
-    return np.maximum(np.floor(np.log2(np.maximum(total, 1) / usual)), 0).astype(np.uint8)
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
+    for row in arrow_map(parts, add, "part int, levels binary").collect():  # 2 MB whatever the input
+        out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -226,64 +229,67 @@ _A = {"n": "n", "l": "l"}
 _B = {"n": "other_n", "l": "other_l"}
 
 
-def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs with as many matches as they need."""
+def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    kept = F.ceil(F.lit(100 - percent) * F.col("n") / F.lit(100)) + F.col("l")
+    shares = postings.groupBy("class").agg((F.count("*") / F.first(kept)).alias("share"))
+    known = postings.join(shares, "class")
+    heads = known.groupBy("token").agg(F.max(F.struct("share", "class", "n", "l")).alias("head"))
+    met = known.join(heads, "token").select(
+        "class", "n", "l", F.col("head.class").alias("other"), F.col("head.n").alias("other_n"), F.col("head.l").alias("other_l")
+    )
+    met = met.where((F.col("class") != F.col("other")) & _sized("n", "other_n", percent))
     return (
-        pairs.groupBy("class", "other", "n", "l", "other_n", "other_l").agg(F.count("*").alias("matches"))
+        met.groupBy("class", "other", "n", "l", "other_n", "other_l").agg(F.count("*").alias("matches"))
         .where(F.col("matches") >= _matches(_A, _B, percent))
-        .select(F.col("class").alias("a"), F.col("other").alias("b"))
+        .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         .distinct()
     )
 
 
-def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    head = F.struct("class", "n", "l")
-    heads = postings.groupBy("token").agg(F.min(head).alias("low"), F.max(head).alias("high"))
-    met = postings.join(heads, "token")
-    sides = [
-        met.select("class", "n", "l", F.col(f"{side}.class").alias("other"), F.col(f"{side}.n").alias("other_n"), F.col(f"{side}.l").alias("other_l"))
-        for side in ("low", "high")
-    ]
-    return _enough(sides[0].unionByName(sides[1]).where((F.col("class") != F.col("other")) & _sized("n", "other_n", percent)), percent)
-
-
 def _cross_pairs(postings: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components with enough matches."""
     placed = postings.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn(
         "component", F.coalesce("component", "class")
     )
-    mixed_tokens = (
-        placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    tokens = placed.groupBy("token").agg(F.count("*").alias("holders"), F.min("component").alias("x"), F.max("component").alias("y"))
+    placed = placed.join(tokens.where("x <> y").select("token", "holders"), "token")
+    one = Window.partitionBy("class")
+    placed = placed.withColumn("rank", F.row_number().over(one.orderBy("holders", "token"))).withColumn("reach", F.count("*").over(one).cast("int"))
+    # shingles behind this one, itself included: what a match here may still be part of
+    placed = written(placed.select("token", "class", "n", "l", "component", (F.col("reach") - F.col("rank") + 1).alias("ahead")), "cross-postings")
+    other = placed.select("token", *[F.col(c).alias(f"other_{c}" if c != "class" else "other") for c in ("class", "n", "l", "component", "ahead")])
+    pairs = (
+        placed.join(other, "token")
+        .where(
+            (F.col("class") < F.col("other")) & (F.col("component") != F.col("other_component")) & _sized("n", "other_n", percent)
+            & (F.least("ahead", "other_ahead") >= _matches(_A, _B, percent))
+        )
+        .select("class", "n", "l", "other", "other_n", "other_l")
+        .distinct()
     )
-    placed = placed.join(mixed_tokens, "token", "left_semi")
-    reach = placed.groupBy("class").agg(F.count("*").cast("int").alias("reach"))
-    # at most reach matches: what a class needs of a partner of any allowed size tells whether it can have one
-    placed = written(placed.join(reach, "class"), "cross-postings")
-    other = placed.select("token", *[F.col(c).alias(o) for c, o in (("class", "other"), ("n", "other_n"), ("l", "other_l"), ("component", "other_component"), ("reach", "other_reach"))])
-    pairs = placed.join(other, "token").where(
-        (F.col("class") < F.col("other")) & (F.col("component") != F.col("other_component")) & _sized("n", "other_n", percent)
-        & (F.least("reach", "other_reach") >= _matches(_A, _B, percent))
+    lists = placed.groupBy("class").agg(F.collect_list("token").alias("tokens"))
+    both = pairs.join(lists, "class").join(lists.select(F.col("class").alias("other"), F.col("tokens").alias("other_tokens")), "other")
+    return both.where(F.size(F.array_intersect("tokens", "other_tokens")) >= _matches(_A, _B, percent)).select(
+        F.col("class").alias("a"), F.col("other").alias("b")
     )
-    return _enough(pairs, percent)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar."""
+def _verified(docs: DataFrame, pairs: DataFrame, shown: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets are similar. ``shown`` has for each class the document that shows its set."""
     pairs = written(pairs, "candidates")
-    wanted = KeyFilter.of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = KeyFilter.of(asked.join(shown, "class").select(F.col("class").bitwiseXOR(F.col("shown"))))
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            seen: set[int] = set()
-            for piece in text_slices(rows.column(0)):
-                some = [s for s in shingle_sets(words(piece, SPACED), size) if len(s)]
-                keys = np.array([class_key(s) for s in some], np.int64)
-                hit = [i for i in np.flatnonzero(shared.value.holds(keys.view(np.uint64))).tolist() if keys[i] not in seen]
-                fresh = {int(keys[i]): i for i in hit}
-                seen.update(fresh)
-                if fresh:
-                    yield batch({"class": list(fresh), "shingles": [some[i].tobytes() for i in fresh.values()]}, **{"class": pa.int64()})
+            ids = rows.column(0).fill_null(0).to_numpy()
+            for piece in text_slices(rows.column(1)):
+                some = list(shingle_sets(words(piece, SPACED), size))
+                keys = np.array([class_key(s) if len(s) else 0 for s in some], np.int64)
+                hit = shared.value.holds((keys ^ ids[piece.first : piece.last]).view(np.uint64)) & (keys != 0)
+                if hit.any():
+                    yield batch({"class": keys[hit], "shingles": [some[i].tobytes() for i in np.flatnonzero(hit)]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -296,8 +302,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
             picked = pa.array(keep, pa.int64())
             yield batch({"a": rows.column("a").take(picked), "b": rows.column("b").take(picked)})
 
-    found = arrow_map(docs.select(F.col("text").cast("string").alias("text")), sets, "class long, shingles binary")
-    found = written(found.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets", "uncompressed")
+    found = written(arrow_map(id_and_text(docs), sets, "class long, shingles binary"), "sets", "uncompressed")
     whole = pairs.join(found.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(
         found.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b"
     )
@@ -318,9 +323,10 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     sets = profile.where(F.col("part").isNull()).select("doc_id", F.col("n"), "class")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     buckets = buckets_for(spark, total * (100 - percent) // 100, 1 << 20)
-    postings = written(_postings(docs, _levels(profile), size, percent, buckets), "postings")
-    near = _verified(docs, _hub_pairs(postings, percent), size, percent)
-    far = _verified(docs, _cross_pairs(postings, components(near), percent), size, percent)
+    postings = written(_postings(docs, _levels(profile, total), size, percent, buckets), "postings")
+    shown = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("shown"))
+    near = _verified(docs, _hub_pairs(postings, percent), shown, size, percent)
+    far = _verified(docs, _cross_pairs(postings, components(near), percent), shown, size, percent)
     joined = components(near.unionByName(far))
     classes = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_id"))
     placed = classes.join(joined, F.col("class") == F.col("node"), "left").select(
@@ -347,8 +353,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     placed = found.select(F.col("doc_id").alias("row_key"), F.col("component_id")).distinct().join(ids, "row_key")
     first = placed.groupBy("component_id").agg(F.min_by("row_key", F.struct(F.col("row_id").isNull(), "row_id", "row_key")).alias("__kept"))
     first = written(first.select("__kept"), "kept")
-    kept = docs.withColumn("__key", key).join(first, F.col("__key") == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    name = unused(docs, "__key")
+    first = first.withColumnRenamed("__kept", kept := unused(docs, "__kept"))
+    rows = docs.withColumn(name, key).join(first, F.col(name) == F.col(kept), "left_semi")
+    return rows.dropDuplicates([name]).select(*docs.columns)
 
 
 @query("op1_jaccard_join")
