@@ -225,7 +225,7 @@ def _(x):
     targets = x.table("lineitem").select(
         F.col("l_returnflag").alias("band"), (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("eta_target")
     )
-    return rounded_doubles(calibration.band_scale(targets, hot_rows=100))
+    return rounded_doubles(calibration.band_scale(targets, large_groups=True))
 
 
 @query(
@@ -257,5 +257,5 @@ def _(x):
 
 @query("ag26_describe_by_group_sliced", f"SELECT o_orderstatus, {_DESCRIBE} GROUP BY o_orderstatus")
 def _(x):
-    made = metrics.describe(x.table("orders"), "o_totalprice", ["o_orderstatus"], hot_rows=100)
+    made = metrics.describe(x.table("orders"), "o_totalprice", ["o_orderstatus"], large_groups=True)
     return rounded_doubles(rounded(made, "std", digits=5))

@@ -151,8 +151,8 @@ def _(x):
     ["fx_obs"],
 )
 def _(x):
-    """The same groups with every group of more than ten rows taken through ordered slices."""
-    made = site_days(x, hot_rows=10)
+    """The same groups taken through ordered slices."""
+    made = site_days(x, large_groups=True)
     picked = made.select("site_loc_id", "date", "veg_type", "lfmc_pct", "lat", "lon", "n_obs", "igbp_500m", "igbp_500m_nunique", "site_id", "site_id_nunique")
     return rounded(picked, "lfmc_pct")
 

@@ -198,7 +198,7 @@ def _(x):
 def _(x):
     """The same with every site above a hundred rows cut into ordered slices."""
     keyed = x.fx_predictors.select("sample_id", "date", "lat", "lon", "lfmc_pct", "VOD_Ku_Hpol_Asc", "LST").withColumn("site_key", windows.site_key())
-    made = windows.observation_windows(keyed, ["VOD_Ku_Hpol_Asc", "LST"], 4, hot_rows=100)
+    made = windows.observation_windows(keyed, ["VOD_Ku_Hpol_Asc", "LST"], 4, large_groups=True)
     return made.select("sample_id", "site_key", "date", "lfmc_pct", "dyn_seq")
 
 

@@ -42,13 +42,13 @@ def scale_targets(long: DataFrame, lfmc: str = "lfmc_pct", cover: str = "vegf",
     return modelled.withColumn("eta_target", ratio)
 
 
-def band_scale(targets: DataFrame, key: str = "band", hot_rows: int = scale.HOT_GROUP_ROWS) -> DataFrame:
+def band_scale(targets: DataFrame, key: str = "band", large_groups: bool = False) -> DataFrame:
     """Per band: 1 % and 99 % quantile of the ratio and the median of the clipped ratio.
 
     Clipping at quantiles around the middle leaves the median as it is.
     """
     wanted = {"eta_lo": ("eta_target", 0.01), "eta_hi": ("eta_target", 0.99), "eta": ("eta_target", 0.5)}
-    return scale.group_quantiles(targets, [key], wanted, [F.count("eta_target").alias("n")], hot_rows)
+    return scale.group_quantiles(targets, [key], wanted, [F.count("eta_target").alias("n")], large_groups)
 
 
 def predict_depth(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import names
 from ..functions import cells, landcover
+from ..sources.tables import require_columns
 from . import scale
 
 DESCRIPTORS = ["site_name", "source", "protocol", "species", "individual_or_mean"]
@@ -47,18 +48,15 @@ def site_day(
     precision: float = names.LOCATION_PRECISION,
     land_cover_column: str | None = None,
     tie: Sequence[str] = ("sorting_id",),
-    hot_rows: int = scale.HOT_GROUP_ROWS,
+    large_groups: bool = False,
 ) -> DataFrame:
     """One row per site (or quantised location), day and vegetation kind.
 
     Medians, counts, descriptors, the most frequent site id and land cover come
-    from a single aggregation while groups are small. Groups above ``hot_rows``
-    rows get the same values from ordered slices and pre-counted values.
+    from a single aggregation. With ``large_groups`` the same values come from
+    ordered slices and pre-counted values.
     """
-    required = {"date", "lfmc_pct", "lat", "lon"} | (set() if by_location else {"site_id"})
-    missing = required - set(df.columns)
-    if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
+    require_columns(df, ["date", "lfmc_pct", "lat", "lon", *([] if by_location else ["site_id"])])
     work = df.dropna(subset=["date", "lfmc_pct", "lat", "lon"])
     if by_vegetation:
         source = vegetation_column or next((c for c in ("species_functional_type", "functional_type") if c in df.columns), None)
@@ -81,21 +79,17 @@ def site_day(
     if by_location and "site_id" in work.columns:
         modes.append(("site_id", "site_id", "site_id_nunique"))
 
-    small, large = scale.split_hot_groups(work, keys, hot_rows)
-    compact = [F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in quantiles.items()]
-    for column, out, distinct_out in modes:
-        compact.append(F.mode(column, True).alias(out))
-        compact.append(F.size(F.collect_set(column)).cast("bigint").alias(distinct_out))
-    parts = []
-    if small is not None:
-        parts.append(small.groupBy(*keys).agg(*compact, *plain))
-    if large is not None:
-        part = scale.large_group_quantiles(large, keys, quantiles, plain)
-        for column, out, distinct_out in modes:
-            part = scale.match_on(part, scale.smallest_mode(large, keys, column, out, distinct_out), keys, "left")
-            part = part.fillna(0, subset=[distinct_out])
-        parts.append(part)
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if large_groups:
+        out = scale.large_group_quantiles(work, keys, quantiles, plain)
+        for column, name, distinct_out in modes:
+            out = scale.match_on(out, scale.smallest_mode(work, keys, column, name, distinct_out), keys, "left")
+            out = out.fillna(0, subset=[distinct_out])
+    else:
+        compact = [F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in quantiles.items()]
+        for column, name, distinct_out in modes:
+            compact.append(F.mode(column, True).alias(name))
+            compact.append(F.size(F.collect_set(column)).cast("bigint").alias(distinct_out))
+        out = work.groupBy(*keys).agg(*compact, *plain)
     unknown = (F.col("veg_type") == "Unknown").cast("int") if by_vegetation else F.lit(0)
     return out.withColumn("veg_type_unknown_flag", unknown)
 
@@ -117,7 +111,7 @@ def grid_day(
     strategy: str = "mean",
     keep: Sequence[str] = ("source",),
     tie: Sequence[str] = ("site_loc_id", "site_id"),
-    hot_rows: int = scale.HOT_GROUP_ROWS,
+    large_groups: bool = False,
 ) -> DataFrame:
     """Scheme B: one row per cell, day and vegetation kind, from one aggregation."""
     work = site_days if "veg_type" in site_days.columns else site_days.withColumn("veg_type", F.lit("All"))
@@ -134,7 +128,7 @@ def grid_day(
     plain.append(sites.alias("n_sites"))
     plain += [first_present(c, order) for c in keep if c in work.columns and order]
     if quantiles:
-        return scale.group_quantiles(work, keys, quantiles, plain, hot_rows)
+        return scale.group_quantiles(work, keys, quantiles, plain, large_groups)
     return work.groupBy(*keys).agg(*plain)
 
 

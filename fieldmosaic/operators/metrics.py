@@ -143,7 +143,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return inside.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def describe(df: DataFrame, column: str, keys: Sequence[str] = (), hot_rows: int = scale.HOT_GROUP_ROWS) -> DataFrame:
+def describe(df: DataFrame, column: str, keys: Sequence[str] = (), large_groups: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles and max; exact for groups of any size."""
     plain = [
         F.count(column).alias("count"),
@@ -153,17 +153,17 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = (), hot_rows: int
         F.max(column).alias("max"),
     ]
     quartiles = {"p25": (column, 0.25), "p50": (column, 0.5), "p75": (column, 0.75)}
-    return scale.group_quantiles(df, keys, quartiles, plain, hot_rows)
+    return scale.group_quantiles(df, keys, quartiles, plain, large_groups)
 
 
-def raster_statistics(df: DataFrame, band: str, keys: Sequence[str] = (), hot_rows: int = scale.HOT_GROUP_ROWS) -> DataFrame:
+def raster_statistics(df: DataFrame, band: str, keys: Sequence[str] = (), large_groups: bool = False) -> DataFrame:
     """Share of missing cells, min, median and max of a band."""
     plain = [
         F.avg(F.col(band).isNull().cast("double")).alias("missing_ratio"),
         F.min(band).alias("min_value"),
         F.max(band).alias("max_value"),
     ]
-    return scale.group_quantiles(df, keys, {"median_value": (band, 0.5)}, plain, hot_rows)
+    return scale.group_quantiles(df, keys, {"median_value": (band, 0.5)}, plain, large_groups)
 
 
 def split_counts(df: DataFrame, block: str = "block_id") -> DataFrame:

@@ -2,10 +2,11 @@
 
 A group may hold a third of all rows. Sums, counts and extrema are combined on
 the map side and need no care. Exact quantiles, row numbers and last-n windows do:
-they are computed per group only while every group is provably small, and over
-*ordered slices* otherwise. Slices are contiguous ranges of the sort order, so a
-large group is spread over many tasks and only per-slice totals travel between
-them.
+by default one task holds the distinct values (or the rows) of a group; a caller who
+knows of larger groups passes ``large_groups=True``, and the operator works over
+*ordered slices*. Slices are contiguous ranges of the sort order, so a large group is
+spread over many tasks and only per-slice totals travel between them. Both ways give
+the same bits; the default builds its plan without running a job.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-# Rows of one group that one task may hold (a quantile buffer of about 50 MB).
-HOT_GROUP_ROWS = 500_000
-
 SLICE = "__slice"
+PLACE = "__at"
 
 
 def match_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -36,32 +35,18 @@ def match_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def split_hot_groups(
-    df: DataFrame, keys: Sequence[str], limit: int = HOT_GROUP_ROWS
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Rows of groups up to ``limit`` rows, and rows of larger groups (None when there are none).
-
-    The check is one pre-aggregated count over the key columns only. There are
-    at most ``rows / limit`` large groups.
-    """
-    if not keys:
-        return (df, None) if df.limit(limit + 1).count() <= limit else (None, df)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(*keys)
-    if large.isEmpty():
-        return df, None
-    large = durable(large)
-    return match_on(df, large, keys, "left_anti"), match_on(df, large, keys, "left_semi")
-
-
 def ordered_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
     """Rows with ``__slice``: the number of their contiguous range of the sort order.
 
-    Equal sort keys share a slice. The result is a checkpoint, so the slice
-    numbers stay the same whatever is recomputed later.
+    Equal sort keys share a slice. Without ``slices`` adaptive execution sizes them by
+    bytes. The result is a checkpoint, so the slice numbers stay the same whatever is
+    recomputed later; rows are sorted within a slice and ``__at`` counts them from 0.
     """
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cut = df.repartitionByRange(count, *[F.col(c) for c in order])
-    return durable(cut.withColumn(SLICE, F.spark_partition_id()))
+    columns = [F.col(c) for c in order]
+    cut = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
+    # the low 33 bits of the id number the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return durable(cut.sortWithinPartitions(*columns).withColumn(SLICE, F.spark_partition_id()).withColumn(PLACE, place))
 
 
 def slice_offsets(sliced: DataFrame, keys: Sequence[str], measure: Column) -> DataFrame:
@@ -81,18 +66,13 @@ def slice_offsets(sliced: DataFrame, keys: Sequence[str], measure: Column) -> Da
 
 
 def row_index(df: DataFrame, order: Sequence[str], out: str = "sample_id", slices: int | None = None) -> DataFrame:
-    """Dense 0-based row number in sort order without a single-task window.
+    """Dense 0-based row number in sort order: one shuffle, and no single-task window.
 
     ``order`` has to identify rows; ties get an arbitrary order among themselves.
     """
     sliced = ordered_slices(df, order, slices)
     offsets = slice_offsets(sliced, [], F.lit(1)).select(SLICE, "__before")
-    within = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order))
-    return (
-        match_on(sliced.withColumn("__rn", within), offsets, [SLICE])
-        .withColumn(out, F.col("__before") + F.col("__rn") - F.lit(1))
-        .drop(SLICE, "__rn", "__before")
-    )
+    return match_on(sliced, offsets, [SLICE]).withColumn(out, F.col("__before") + F.col(PLACE)).drop(SLICE, PLACE, "__before")
 
 
 def sliced_quantiles(
@@ -118,8 +98,10 @@ def sliced_quantiles(
         for side, rank in (("f", F.floor(position)), ("g", F.ceil(position))):
             here = (F.col("__lo") <= rank) & (rank < F.col("__hi"))
             aggregates.append(F.max(F.when(here, F.col(value))).alias(f"__{side}_{name}"))
+        # the arithmetic of Spark's own percentile, so that both ways agree to the last bit
         low, high = F.col(f"__f_{name}"), F.col(f"__g_{name}")
-        outputs.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+        outputs.append(F.when(low == high, low).otherwise(between).alias(name))
     return ranked.groupBy(*keys).agg(*aggregates).select(*keys, *outputs)
 
 
@@ -150,33 +132,29 @@ def group_quantiles(
     keys: Sequence[str],
     quantiles: dict[str, tuple[str, float]],
     aggregates: Sequence[Column] = (),
-    hot_rows: int = HOT_GROUP_ROWS,
+    large_groups: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
     """One row per group with exact quantiles and further aggregates.
 
-    ``quantiles`` maps an output name to (column, probability). Groups up to
-    ``hot_rows`` rows take one shuffle with ``percentile``; larger ones go
-    through ordered slices. Both give the same values.
+    ``quantiles`` maps an output name to (column, probability). By default one shuffle:
+    values are counted on the map side, and a task holds the distinct values of its
+    groups. ``large_groups`` is for groups with more distinct values than that allows.
     """
-    small, large = split_hot_groups(df, keys, hot_rows)
-    parts = []
-    if small is not None:
-        # One value buffer per column, whatever the number of its quantiles.
-        wanted: dict[str, list[str]] = {}
-        for name, (column, _) in quantiles.items():
-            wanted.setdefault(column, []).append(name)
-        buffers = [
-            F.percentile(column, F.array(*[F.lit(float(quantiles[n][1])) for n in found])).alias(f"__q_{column}")
-            for column, found in wanted.items()
-        ]
-        grouped = small.groupBy(*keys).agg(*buffers, *aggregates)
-        plain = [c for c in grouped.columns if c not in keys and not c.startswith("__q_")]
-        picks = [F.col(f"__q_{column}").getItem(i).alias(n) for column, found in wanted.items() for i, n in enumerate(found)]
-        parts.append(grouped.select(*keys, *picks, *plain))
-    if large is not None:
-        parts.append(large_group_quantiles(large, keys, quantiles, aggregates, slices))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if large_groups:
+        return large_group_quantiles(df, keys, quantiles, aggregates, slices)
+    # One value buffer per column, whatever the number of its quantiles.
+    wanted: dict[str, list[str]] = {}
+    for name, (column, _) in quantiles.items():
+        wanted.setdefault(column, []).append(name)
+    buffers = [
+        F.percentile(column, F.array(*[F.lit(float(quantiles[n][1])) for n in found])).alias(f"__q_{column}")
+        for column, found in wanted.items()
+    ]
+    grouped = df.groupBy(*keys).agg(*buffers, *aggregates)
+    plain = [c for c in grouped.columns if c not in keys and not c.startswith("__q_")]
+    picks = [F.col(f"__q_{column}").getItem(i).alias(n) for column, found in wanted.items() for i, n in enumerate(found)]
+    return grouped.select(*keys, *picks, *plain)
 
 
 def smallest_mode(df: DataFrame, keys: Sequence[str], value: str, out: str, distinct_out: str | None = None) -> DataFrame:
@@ -204,13 +182,14 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return picked.select(*keys, *[F.col("__row").getField(c).alias(c) for c in rest]).select(*df.columns)
 
 
-def lowest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32) -> DataFrame:
+def lowest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int | None = None) -> DataFrame:
     """The n lowest rows per group by an order that has no ties.
 
     Ranked per salted part of the group first, so the final window sees at most
-    ``salts * n`` rows of any group.
+    ``salts * n`` rows of any group. By default there are as many parts as shuffle partitions.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    parts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(parts)))
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     kept = salted.withColumn("__rn", F.row_number().over(part)).where(F.col("__rn") <= n).drop("__rn")

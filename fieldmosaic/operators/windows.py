@@ -95,27 +95,24 @@ def observation_windows(
     steps: int = 4,
     keys: Sequence[str] = ("site_key",),
     order: Sequence[str] = ("date", "sample_id"),
-    hot_rows: int = scale.HOT_GROUP_ROWS,
+    large_groups: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
     """Sequences over the last ``steps`` observations of a site, full windows only.
 
     Counts rows, not days: gaps are allowed. All other columns come from the
-    last row. Sites above ``hot_rows`` rows are cut into ordered slices; each
+    last row. With ``large_groups`` sites are cut into ordered slices, and each
     slice receives the last ``steps - 1`` rows before it.
     """
-    small, large = scale.split_hot_groups(df, keys, hot_rows)
-    parts = []
-    if small is not None:
-        parts.append(_last_steps(small, keys, order, columns, steps))
-    if large is not None:
-        parts.append(_sliced_steps(large, list(keys), list(order), columns, steps, slices))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if large_groups:
+        out = _sliced_steps(df, list(keys), list(order), columns, steps, slices)
+    else:
+        out = _last_steps(df, keys, order, columns, steps)
     return out.where(F.size("dyn_seq") == steps)
 
 
 def _sliced_steps(df: DataFrame, keys: list[str], order: list[str], columns: Sequence[str], steps: int, slices: int | None) -> DataFrame:
-    sliced = scale.ordered_slices(df, [*keys, *order], slices)
+    sliced = scale.ordered_slices(df, [*keys, *order], slices).drop(scale.PLACE)
     part = [*keys, scale.SLICE]
     backward = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
     tails = sliced.withColumn("__back", F.row_number().over(backward)).where(F.col("__back") <= max(steps - 1, 1))

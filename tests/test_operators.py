@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import ENTRIES
 from fieldmosaic.operators import align, cleaning, dedup, metrics, modeling, rasters, scale, splits, windows
 from fieldmosaic.sources import rasters as grids
 from fieldmosaic.sources import tables
@@ -24,19 +25,28 @@ def skewed(spark, n=4000):
 def test_sliced_quantiles_equal_plain_ones(spark):
     df = skewed(spark)
     wanted = {"lo": ("v", 0.1), "mid": ("v", 0.5), "hi": ("v", 0.99)}
-    plain = {tuple(r) for r in rounded(scale.group_quantiles(df, ["g"], wanted)).collect()}
-    sliced = {tuple(r) for r in rounded(scale.group_quantiles(df, ["g"], wanted, hot_rows=20)).collect()}
+    plain = {tuple(r) for r in scale.group_quantiles(df, ["g"], wanted).collect()}
+    sliced = {tuple(r) for r in scale.group_quantiles(df, ["g"], wanted, large_groups=True).collect()}
     assert plain == sliced and len(plain) == 50
 
 
-def rounded(df):
-    return df.select("g", *[F.round(c, 9).alias(c) for c in df.columns if c != "g"])
+@pytest.mark.parametrize("name", ["ag1_site_day_median", "ag22_band_scale", "ag26_describe", "wn2_observation_windows", "cp1_clean_grid_day", "cp11_temporal_coverage"])
+def test_plans_are_built_without_jobs(spark, name):
+    context = spark.sparkContext
+    query = next(item.run for key, item in ENTRIES.items() if key.startswith(name.partition("_")[0] + "_"))
+    query(spark, "/root/testdata/sf0.001")  # file listing and schemas
+    context.setJobGroup("plan", name)
+    query(spark, "/root/testdata/sf0.001")
+    jobs = [j for j in context.statusTracker().getJobIdsForGroup("plan")]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds]
+    assert all("parquet" in (context.statusTracker().getStageInfo(s).name or "") for s in stages if context.statusTracker().getStageInfo(s))
 
 
 def test_global_quantiles_of_a_large_table(spark):
     df = skewed(spark)
     values = [r.v for r in df.collect()]
-    row = scale.group_quantiles(df, [], {"mid": ("v", 0.5)}, [F.count(F.lit(1)).alias("n")], hot_rows=100).first()
+    row = scale.group_quantiles(df, [], {"mid": ("v", 0.5)}, [F.count(F.lit(1)).alias("n")], large_groups=True).first()
     assert row.mid == pytest.approx(statistics.median(values)) and row.n == len(values)
 
 
@@ -67,7 +77,7 @@ def test_sliced_observation_windows(spark, steps):
     df = skewed(spark, 1500).withColumnRenamed("g", "site_key").withColumn("date", F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 40).cast("int")))
     df = df.withColumnRenamed("id", "sample_id")
     plain = {(r.sample_id, str(r.dyn_seq)) for r in windows.observation_windows(df, ["v"], steps).collect()}
-    sliced = {(r.sample_id, str(r.dyn_seq)) for r in windows.observation_windows(df, ["v"], steps, hot_rows=30, slices=16).collect()}
+    sliced = {(r.sample_id, str(r.dyn_seq)) for r in windows.observation_windows(df, ["v"], steps, large_groups=True, slices=16).collect()}
     assert plain == sliced and plain
 
 
