@@ -37,7 +37,7 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates; ``n_chars`` follows the text."""
-    replaced = pii.pseudonymise(docs, pii.DEMO_KEY).drop("__pii_count")
+    replaced = pii.pseudonymise(docs, pii.DEMO_KEY)
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else replaced
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import ALPHANUMERIC, Words, gram_hashes, mixed, owners, text_slices, words
-from .frames import KeyFilter, arrow_map, batch, id_and_text, table, written
+from .frames import KeyFilter, arrow_map, batch, id_and_text, table, unused, written
 from .registry import query
 
 WINDOW = 13
@@ -197,9 +197,10 @@ def contamination(
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns."""
-    dirty = written(contamination(docs, items).where("contaminated").select(F.col("row_key").alias("__dirty")).distinct(), "dirty")
-    marked = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    return marked.join(dirty, F.col("__key") == F.col("__dirty"), "left_anti").select(*docs.columns)
+    key, bad = unused(docs, "__key"), unused(docs, "__dirty")
+    dirty = written(contamination(docs, items).where("contaminated").select(F.col("row_key").alias(bad)).distinct(), "dirty")
+    marked = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return marked.join(dirty, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

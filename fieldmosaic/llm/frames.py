@@ -44,6 +44,14 @@ def id_and_text(docs: DataFrame, *more: Column, id_column: str = "doc_id", text_
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that no column of the frame has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write rows to the shared folder and read them back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)

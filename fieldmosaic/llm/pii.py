@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import strings
-from .frames import arrow_map, batch, id_and_text, table, written
+from .frames import arrow_map, batch, id_and_text, table, unused, written
 from .registry import query
 
 MOST_ROUNDS = 60
@@ -284,8 +284,8 @@ def surrogates(originals: DataFrame, key: bytes) -> DataFrame:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The input rows with entities replaced, and ``__pii_count``, the number of replacements.
+def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text", id_column: str = "doc_id", count: str | None = None) -> DataFrame:
+    """The input rows with entities replaced, and ``count``, the number of replacements.
 
     All other columns stay as they are. Null and empty texts stay; repeated rows are
     all returned. A table without entities, or without rows, is returned unchanged.
@@ -293,21 +293,21 @@ def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text", id_colu
     spans = written(entities(docs, text_column, id_column), "spans")
     chosen = spans.join(surrogates(spans, key), ["kind", "original"])
     rendered = _mapped(chosen.select("row_key", "begin", "end", "kind", "surface", "surrogate"), render, ["kind", "surface", "surrogate"], "put")
-    per_row = rendered.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "put"))).alias("__pii_spans"))
-    per_row = per_row.withColumnRenamed("row_key", "__pii_row")
+    row, mine, put = (unused(docs, name) for name in ("__row", "__key", "__spans"))
+    per_row = rendered.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "put"))).alias(put))
     text = F.col(text_column)
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-    parts = F.aggregate(
-        "__pii_spans", start,
+    replaced = F.aggregate(
+        put, start,
         lambda acc, s: F.struct(
             F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), s["put"])).alias("parts"), s["end"].alias("at")
         ),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    joined = docs.withColumn("__pii_key", F.xxhash64(F.col(id_column), text)).join(per_row, F.col("__pii_key") == F.col("__pii_row"), "left")
-    replaced = joined.withColumn("__pii_count", F.coalesce(F.size("__pii_spans"), F.lit(0)))
-    replaced = replaced.withColumn("__pii_count", F.when(F.col("__pii_spans").isNull(), 0).otherwise(F.col("__pii_count")))
-    return replaced.withColumn(text_column, F.when(F.col("__pii_spans").isNull(), text).otherwise(parts)).select(*docs.columns, "__pii_count")
+    joined = docs.withColumn(mine, F.xxhash64(F.col(id_column), text)).join(per_row.withColumnRenamed("row_key", row), F.col(mine) == F.col(row), "left")
+    found = F.col(put).isNotNull()
+    columns = [F.when(found, replaced).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns]
+    return joined.select(*columns, *([F.when(found, F.size(put)).otherwise(0).cast("long").alias(count)] if count else []))
 
 
 #: The key of the registered query and the pipeline; a deployment passes its own.
@@ -317,6 +317,4 @@ DEMO_KEY = b"public example key"
 @query("op9_pii_surrogates")
 def op9_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with surrogates in place of its entities."""
-    return pseudonymise(table(spark, folder, "documents"), DEMO_KEY).select(
-        F.col("doc_id"), F.col("text"), F.col("__pii_count").cast("long").alias("n_entities")
-    )
+    return pseudonymise(table(spark, folder, "documents"), DEMO_KEY, count="n_entities").select("doc_id", "text", "n_entities")

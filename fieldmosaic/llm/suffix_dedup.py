@@ -161,7 +161,7 @@ def _repeats(blocks: DataFrame, buckets: int) -> DataFrame:
                         out["block"].append(block), out["bucket"].append(b)
                         out["anchors"].append(lists[0][0][spans[0]].tobytes()), out["contexts"].append(lists[1][0][spans[1]].tobytes())
                         out["many"].append(np.packbits(np.concatenate([c[s] > 1 for (_, c), s in zip(lists, spans)])).tobytes())
-                yield batch(out, block=pa.int64(), bucket=pa.int32())
+                yield batch(out, block=pa.int64(), bucket=pa.int32(), anchors=pa.binary(), contexts=pa.binary(), many=pa.binary())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
