@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmosaic import names
 from fieldmosaic.operators import metrics
 from fieldmosaic.plans import alignment, cleaning, experiments, frames, product
+from fieldmosaic.session import durable
 
 from . import twins
 from .registry import query, rounded, rounded_doubles
@@ -82,46 +83,125 @@ def _(x):
     return rounded(picked, "lfmc_pct")
 
 
-def _spec_sql(index: int, spec: frames.FrameSpec) -> tuple[str, str]:
-    """CTEs and final select of one experiment frame."""
-    keep = ["lfmc_pct IS NOT NULL", f"{spec.category} IS NOT NULL"]
-    if spec.consistent_only:
-        keep.append("igbp_to_lc_dom = lc_dom")
-    if spec.vegetated_only:
-        keep.append("nonveg_frac < 0.05")
-    if spec.bands:
-        keep.append(f"coalesce({', '.join(names.BANDS)}) IS NOT NULL")
-    season = names.SEASON_FEATURES if spec.season else []
-    keep += [f"{c} IS NOT NULL" for c in [*spec.core, *season, *spec.extra] if c not in spec.without]
-    weight = f"greatest(coalesce({spec.weight}, 0.2), 0.2)" if spec.weight else "1.0"
-    source = f"x{index} AS (SELECT sample_id, {spec.category} AS category, {weight} AS sample_weight, {twins.BLOCK} AS block_id FROM base WHERE {' AND '.join(keep)})"
-    pick = f"SELECT '{spec.code}' AS code, sample_id, category, round(sample_weight, 6) AS sample_weight, block_id, split FROM x{index} JOIN x{index}_blocks USING (block_id)"
-    return f"{source}, {twins.split_of(f'x{index}', f'x{index}')}", pick
-
-
-def _specs_sql(specs, core=names.CORE_FEATURES) -> str:
-    parts = [_spec_sql(i, spec) for i, spec in enumerate(specs)]
-    return f"WITH {twins.base(core)}, " + ", ".join(p[0] for p in parts) + " " + " UNION ALL ".join(p[1] for p in parts)
+# What each experiment keeps, written out for the twins: category, features, weight, further row filters.
+_VOD = "VOD_Ku_Hpol_Asc VOD_Ku_Vpol_Asc VOD_X_Hpol_Asc VOD_X_Vpol_Asc VOD_C_Hpol_Asc VOD_C_Vpol_Asc"
+_ANY_VOD = f"coalesce({_VOD.replace(' ', ', ')}) IS NOT NULL"
+_SAME = "igbp_to_lc_dom = lc_dom"
+_FULL = f"{_VOD} LAI Hveg SM LST doy_sin doy_cos lat_norm"
+_LC = "greatest(coalesce(lc_weight, 0.2), 0.2)"
+_LABEL = "greatest(coalesce(igbp_weight, 0.2), 0.2)"
+_TWIN_SCHEMES = {
+    "S1_FT": ("FT", f"{_FULL}", "1.0", [_ANY_VOD]),
+    "S2_IGBP_DOM": ("igbp_dom", f"{_FULL}", "1.0", [_ANY_VOD]),
+    "S3_IGBP_DOM_FE": ("igbp_dom", f"{_FULL} igbp_dom_frac igbp_entropy", "1.0", [_ANY_VOD]),
+    "S4_IGBP_DOM_FE_W": ("igbp_dom", f"{_FULL} igbp_dom_frac igbp_entropy", _LABEL, [_ANY_VOD]),
+    "S5_LC_DOM_FE_W": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD]),
+    "S6_LC_DOM_FE_W_CONS": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+    "S7_LC_DOM_FE_W_CONS_NV": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME, "nonveg_frac < 0.05"]),
+}
+_TWIN_ABLATIONS = {
+    "A0_FULL_S6": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+    "A1_NO_CONS": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD]),
+    "A2_NO_WEIGHT": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", "1.0", [_ANY_VOD, _SAME]),
+    "A3_NO_FRAC_ENTROPY": ("lc_dom", _FULL, _LC, [_ANY_VOD, _SAME]),
+    "A4_NO_FRAC": ("lc_dom", f"{_FULL} lc_entropy", _LC, [_ANY_VOD, _SAME]),
+    "A5_NO_ENTROPY": ("lc_dom", f"{_FULL} lc_dom_frac", _LC, [_ANY_VOD, _SAME]),
+    "A6_NO_VOD": ("lc_dom", "LAI Hveg SM LST doy_sin doy_cos lat_norm lc_dom_frac lc_entropy", _LC, [_SAME]),
+    "A7_NO_CORE": ("lc_dom", f"{_VOD} doy_sin doy_cos lat_norm lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+    "A8_NO_SEASON": ("lc_dom", f"{_VOD} LAI Hveg SM LST lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+    "A9_NO_IGBP_PROPS": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+}
+_LEFT_OUT = {"B1_NO_DOY_SIN": "doy_sin", "B2_NO_DOY_COS": "doy_cos", "B3_NO_LAT_NORM": "lat_norm", "B4_NO_LAI": "LAI", "B5_NO_SM": "SM", "B6_NO_LST": "LST", "B7_NO_HVEG": "Hveg"}
+_TWIN_FINE = {
+    "FULL_S6": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+    **{code: ("lc_dom", " ".join(c for c in f"{_FULL} lc_dom_frac lc_entropy".split() if c != gone), _LC, [_ANY_VOD, _SAME]) for code, gone in _LEFT_OUT.items()},
+    "NO_CONS": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD]),
+}
+# A label mixture: three vegetation labels with gaps, negative and infinite entries, and one label that is none.
+_PROPS = "IGBP_prop_Grasslands IGBP_prop_Savannas IGBP_prop_Open_Shrublands"
+_TWIN_MIXED = {
+    "S2_IGBP_DOM": ("igbp_dom", f"{_FULL} {_PROPS}", "1.0", [_ANY_VOD]),
+    "S4_IGBP_DOM_FE_W": ("igbp_dom", f"{_FULL} {_PROPS} igbp_dom_frac igbp_entropy", _LABEL, [_ANY_VOD]),
+    "A9_NO_IGBP_PROPS": ("lc_dom", f"{_FULL} lc_dom_frac lc_entropy", _LC, [_ANY_VOD, _SAME]),
+}
+
+
+def _features(experiments: dict) -> list[str]:
+    return list(dict.fromkeys(c for _, some, _, _ in experiments.values() for c in some.split()))
+
+
+def _experiments_sql(experiments: dict, base: str) -> str:
+    parts, picks = [], []
+    every = _features(experiments)
+    for i, (code, (category, some, weight, filters)) in enumerate(experiments.items()):
+        mine = some.split()
+        strict = [c for c in mine if not c.startswith("VOD_")]
+        keep = " AND ".join(["lfmc_pct IS NOT NULL", f"{category} IS NOT NULL", *filters, *[f"{c} IS NOT NULL" for c in strict]])
+        shown = ", ".join(f"round(CAST({c if c in mine else 'NULL'} AS DOUBLE), 6) AS {c}" for c in every)
+        parts.append(
+            f"x{i} AS (SELECT sample_id, {category} AS category, {weight} AS sample_weight, {twins.BLOCK} AS block_id, {shown} FROM base WHERE {keep}), {twins.split_of(f'x{i}', f'x{i}')}"
+        )
+        picks.append(
+            f"SELECT '{code}' AS code, sample_id, category, round(sample_weight, 6) AS sample_weight, '{','.join(mine)}' AS feature_names, block_id, split, {', '.join(every)} FROM x{i} JOIN x{i}_blocks USING (block_id)"
+        )
+    return f"WITH {base}, " + ", ".join(parts) + " " + " UNION ALL ".join(picks)
+
+
+def _frames(predictors: DataFrame, specs, experiments: dict) -> DataFrame:
+    made = frames.experiment_matrix(frames.training_base(predictors), specs)
+    every = _features(experiments)
+    # feature order is not part of the comparison
+    ordered = F.lit(None).cast("string")
+    for code, (_, some, _, _) in experiments.items():
+        same = F.array_sort(F.split("feature_names", ",")) == F.array_sort(F.array(*[F.lit(c) for c in some.split()]))
+        ordered = F.when((F.col("code") == code) & same, ",".join(some.split())).otherwise(ordered)
+    picked = made.select("code", "sample_id", "category", "sample_weight", ordered.alias("feature_names"), "block_id", "split", *every)
+    return rounded(picked, "sample_weight", *every)
+
+
+@query("cp3_scheme_frames", _experiments_sql(_TWIN_SCHEMES, twins.base(names.CORE_FEATURES)), ["fx_predictors"])
+def _(x):
+    return _frames(x.fx_predictors, frames.SCHEMES, _TWIN_SCHEMES)
 
 
-def _frames(x, specs) -> DataFrame:
-    made = frames.experiment_matrix(frames.training_base(x.fx_predictors), specs)
-    return rounded(made.select("code", "sample_id", "category", "sample_weight", "block_id", "split"), "sample_weight")
+@query("cp4_ablation_frames", _experiments_sql(_TWIN_ABLATIONS, twins.base(names.CORE_FEATURES)), ["fx_predictors"])
+def _(x):
+    return _frames(x.fx_predictors, frames.ABLATIONS, _TWIN_ABLATIONS)
 
 
-@query("cp3_scheme_frames", _specs_sql(frames.SCHEMES), ["fx_predictors"])
+@query("cp5_fine_ablation_frames", _experiments_sql(_TWIN_FINE, twins.base(names.CORE_FEATURES)), ["fx_predictors"])
 def _(x):
-    return _frames(x, frames.SCHEMES)
+    return _frames(x.fx_predictors, frames.FINE_ABLATIONS, _TWIN_FINE)
 
 
-@query("cp4_ablation_frames", _specs_sql(frames.ABLATIONS), ["fx_predictors"])
-def _(x):
-    return _frames(x, frames.ABLATIONS)
+_MIXED_BASE = twins.base(names.CORE_FEATURES) + """, plain AS (SELECT * FROM base), mix AS (
+  SELECT * EXCLUDE (igbp_dom, igbp_dom_frac, igbp_entropy, igbp_weight),
+         CASE WHEN sample_id % 7 <> 0 THEN CAST(sample_id % 5 AS DOUBLE) END AS IGBP_prop_Grasslands,
+         CASE WHEN sample_id % 11 <> 0 THEN CAST(sample_id % 3 AS DOUBLE) END AS IGBP_prop_Savannas,
+         CASE WHEN sample_id % 13 = 0 THEN -1.0 ELSE sample_id % 2 END AS IGBP_prop_Open_Shrublands FROM plain),
+shares AS (SELECT *, [coalesce(IGBP_prop_Grasslands, 0), coalesce(IGBP_prop_Savannas, 0), greatest(IGBP_prop_Open_Shrublands, 0)] AS p FROM mix),
+mixed AS (SELECT *, list_sum(p) AS whole_p, list_max(p) AS top_p FROM shares)"""
+_MIXED_BASE = _MIXED_BASE.replace("base AS (", "base0 AS (", 1).replace("SELECT * FROM base)", "SELECT * FROM base0)") + """, base AS (
+  SELECT *, CASE WHEN whole_p > 0 THEN ['Grasslands', 'Savannas', 'Open Shrublands'][list_position(p, top_p)] END AS igbp_dom, top_p / nullif(whole_p, 0) AS igbp_dom_frac,
+         CASE WHEN whole_p > 0 THEN list_sum(list_transform(p, lambda v: -(v / whole_p) * ln(least(greatest(v / whole_p, 1e-12), 1.0)))) ELSE 0.0 END AS igbp_entropy,
+         greatest(0.2, pow(least(coalesce(top_p / nullif(whole_p, 0), 0), 1), 2)) AS igbp_weight FROM mixed)"""
 
 
-@query("cp5_fine_ablation_frames", _specs_sql(frames.FINE_ABLATIONS), ["fx_predictors"])
+@query("cp3_label_mixture_frames", _experiments_sql(_TWIN_MIXED, _MIXED_BASE), ["fx_predictors"])
 def _(x):
-    return _frames(x, frames.FINE_ABLATIONS)
+    """Label proportions with NaN, infinite and negative entries: all count as 0 in shares; rows
+    where a proportion is no number leave the experiments that use it as a feature."""
+    k = F.col("sample_id")
+    mixed = x.fx_predictors.withColumns(
+        {
+            "IGBP_prop_Grasslands": F.when(k % 7 == 0, float("nan")).otherwise(k % 5),
+            "IGBP_prop_Savannas": F.when(k % 11 == 0, float("inf")).otherwise(k % 3),
+            "IGBP_prop_Open_Shrublands": F.when(k % 13 == 0, -1.0).otherwise(k % 2),
+            "IGBP_prop_Barren": F.lit(9.0),
+        }
+    )
+    specs = [s for s in [*frames.SCHEMES, *frames.ABLATIONS] if s.code in _TWIN_MIXED]
+    return _frames(mixed, specs, _TWIN_MIXED)
 
 
 _FINAL_COLUMNS = ["LAI", "Hveg", "LST", "VOD_X_Vpol_Asc", "doy_sin", "lat_norm"]
@@ -138,15 +218,23 @@ def _(x):
     return rounded(made, *_FINAL_COLUMNS, digits=9)
 
 
+_MOVED = "CASE WHEN igbp_label = 'Savannas' THEN date ELSE CAST(date - INTERVAL (sample_id % 3) YEAR AS DATE) END"
+
+
 @query(
     "cp6_transfer_frame",
-    f"""WITH {twins.base(names.CORE_FEATURES_LITE)}, k AS (SELECT *, {twins.BLOCK} AS block_id,
-          lower(trim(country)) IN ('usa', 'united states') AND NOT contains(lower(state_region), 'hawai') AS home FROM base WHERE igbp_to_lc_dom = lc_dom)
-        SELECT sample_id, country, state_region, block_id, CASE WHEN home THEN 'train_us' ELSE 'test_external' END AS split FROM k""",
+    f"""WITH {twins.base(names.CORE_FEATURES_LITE).replace("FROM fx_predictors)", f"FROM (SELECT * REPLACE ({_MOVED} AS date) FROM fx_predictors))")}, k AS (SELECT *, {twins.BLOCK} AS block_id,
+          lower(trim(country)) IN ('usa', 'united states') AND NOT contains(lower(state_region), 'hawai') AS home FROM base WHERE igbp_to_lc_dom = lc_dom),
+        seen AS (SELECT DISTINCT block_id FROM k WHERE home AND year(date) = 2022)
+        SELECT sample_id, country, state_region, block_id, CASE WHEN NOT home THEN 'test_external' WHEN year(date) = 2022 THEN 'train_us'
+               WHEN block_id IN (SELECT block_id FROM seen) THEN 'val_us_overlap' ELSE 'val_us_nonoverlap' END AS split FROM k WHERE NOT home OR year(date) IN (2022, 2024)""",
     ["fx_predictors"],
 )
 def _(x):
-    made = frames.transfer_frame(x.fx_predictors, train_years=(2020, 2025), future_years=(2026, 2030))
+    """Samples of three years, one label only in the last; the middle year is in neither period."""
+    years_back = F.when(F.col("igbp_label") == "Savannas", 0).otherwise(F.col("sample_id") % 3)
+    moved = x.fx_predictors.withColumn("date", F.add_months("date", (-12 * years_back).cast("int")))
+    made = frames.transfer_frame(moved, train_years=(2022, 2022), future_years=(2024, 2024))
     return made.select("sample_id", "country", "state_region", "block_id", "split")
 
 
@@ -207,12 +295,18 @@ def _(x):
     return rounded_doubles(made.where("n_classes > 0"), 6)
 
 
-@query("cp9_experiment_runs")
+@query(
+    "cp9_experiment_runs",
+    f"""SELECT code AS scheme, 'trees' AS model, CAST(r AS INT) AS repeat, split, count(*) AS n, true AS ordered_errors
+        FROM ({_experiments_sql(_TWIN_SCHEMES, twins.base(names.CORE_FEATURES))}), (SELECT unnest([1, 2]) AS r) GROUP BY ALL""",
+    ["fx_predictors"],
+)
 def _(x):
-    """Two schemes with small boosted trees: metric rows per split."""
-    base = frames.training_base(x.fx_predictors).persist()
-    trainers = {"trees": experiments.tree_trainer(iterations=3, rate=0.3, depth=3)}
-    return experiments.run_experiments(base, [frames.SCHEMES[0], frames.SCHEMES[4]], trainers)
+    """All schemes, two repeats, with very small boosted trees (their size is an argument): rows of each run."""
+    base = durable(frames.training_base(x.fx_predictors))
+    trainers = {"trees": experiments.tree_trainer(iterations=2, rate=0.3, depth=2)}
+    made = experiments.run_experiments(base, frames.SCHEMES, trainers, repeats=2)
+    return made.select("scheme", "model", F.col("repeat").cast("int").alias("repeat"), "split", "n", (F.col("RMSE") >= F.col("MAE")).alias("ordered_errors"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import cells
-from fieldmosaic.operators import align, metrics, splits
+from fieldmosaic.operators import align, metrics, scale, splits
 
 from . import twins
 from .registry import query, rounded
@@ -189,9 +189,12 @@ def _(x):
 )
 def _(x):
     """What takes several aggregates and merges elsewhere is one grouped aggregate here."""
-    made = x.table("events").groupBy("user_id", F.to_date("ts").alias("date")).agg(
-        F.avg("value").alias("mean_value"), F.percentile("value", F.lit(0.5)).alias("median_value"), F.count(F.lit(1)).alias("n"),
-        F.count_distinct("event_type").alias("n_types"), F.min_by("props", "event_id").alias("first_props"),
+    made = scale.group_quantiles(
+        x.table("events").withColumn("date", F.to_date("ts")), ["user_id", "date"], {"median_value": ("value", 0.5)},
+        [
+            F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("n_types"),
+            F.min_by("props", "event_id").alias("first_props"),
+        ],
     )
     return rounded(made, "mean_value")
 

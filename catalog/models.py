@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic import names
-from fieldmosaic.operators import align, calibration, metrics, modeling, splits
-from fieldmosaic.plans import frames
+from fieldmosaic.operators import align, calibration, modeling, splits, windows
+from fieldmosaic.plans import frames, product
 from fieldmosaic.session import scratch_path
 
+from . import twins
 from .aggregates import _SEQUENCES, _SPLIT, sequences
 from .registry import query, rounded, rounded_doubles
 from .splits import _long
@@ -126,7 +127,12 @@ def _(x):
     return made.withColumns({"MAE": F.round("MAE", 4), "RMSE": F.round("RMSE", 4), "R": F.round("R", 6)})
 
 
+# Tree counts are arguments; the queries fit few so that a run takes seconds.
 _TREES = {"iterations": 5, "rate": 0.3, "depth": 4}
+_FINAL_ROWS = f"""{twins.base(names.CORE_FEATURES_LITE)}, k AS (SELECT *, {twins.BLOCK} AS block_id FROM base WHERE igbp_to_lc_dom = lc_dom), {twins.split_of('k', 's')},
+    final AS (SELECT * FROM k JOIN s_blocks USING (block_id))"""
+_FINAL_MASK = "LAI IS NOT NULL AND LST IS NOT NULL AND Hveg IS NOT NULL AND lc_dom IS NOT NULL"
+_SCORED = f"""SELECT sample_id, {_FINAL_MASK} AS scored FROM (SELECT *, CASE WHEN {twins.total(names.VEGETATION_CLASSES)} > 0 THEN {twins.argmax(names.VEGETATION_CLASSES)} END AS lc_dom FROM fx_predictors)"""
 
 
 def _final(x):
@@ -136,41 +142,131 @@ def _final(x):
 _NUMERIC = names.BANDS + names.CORE_FEATURES_LITE + names.SEASON_FEATURES
 
 
-@query("ml6_absolute_loss_trees")
+def _against_constant(scored, target: str, constant: float, loss):
+    """Per split: rows, and whether the model's mean loss is below that of one constant."""
+    return scored.groupBy("split").agg(
+        F.count("lfmc_pred").alias("n"),
+        (F.avg(loss(F.col(target) - F.col("lfmc_pred"))) < F.avg(loss(F.col(target) - F.lit(constant)))).alias("better"),
+    )
+
+
+@query("ml6_absolute_loss_trees", f"WITH {_FINAL_ROWS} SELECT split, count(*) AS n, true AS better FROM final GROUP BY split", ["fx_predictors"])
 def _(x):
-    """Boosted trees with absolute loss, weights and early stopping; errors per split."""
+    """Boosted trees with absolute loss, weights and early stopping against the training median."""
     frame = _final(x).withColumn("sample_weight", F.col("lat_norm") * 0 + 1)
     model = modeling.fit_trees(frame, _NUMERIC, "lc_dom", weight="sample_weight", **_TREES)
-    return metrics.regression_metrics(model.transform(modeling.fill_bands(frame)), ["split"], "lfmc_pct", "lfmc_pred")
+    middle = frame.where("split = 'train'").agg(F.percentile("lfmc_pct", F.lit(0.5))).first()[0]
+    return _against_constant(model.transform(modeling.fill_bands(frame)), "lfmc_pct", middle, F.abs)
 
 
-@query("ml7_squared_loss_trees")
+@query(
+    "ml7_squared_loss_trees",
+    f"""WITH {_FINAL_ROWS} SELECT 'lfmc_pct' AS target, split, count(*) AS n, true AS better FROM final GROUP BY split
+        UNION ALL SELECT 'vegf', split, count(*), CASE WHEN split = 'train' THEN true END FROM final GROUP BY split
+        UNION ALL SELECT 'eta_target', split, count(*), CASE WHEN split = 'train' THEN true END FROM final WHERE VOD_Ku_Hpol_Asc IS NOT NULL AND Hveg > 0 GROUP BY split""",
+    ["fx_predictors"],
+)
 def _(x):
-    """Boosted trees with squared loss as baseline; errors per split."""
-    frame = _final(x)
-    model = modeling.fit_trees(frame, _NUMERIC, None, loss="squared", **_TREES)
-    return metrics.regression_metrics(model.transform(modeling.fill_bands(frame)), ["split"], "lfmc_pct", "lfmc_pred")
+    """Boosted trees with squared loss for moisture, vegetation cover and band scale, against the training mean.
+
+    Cover and scale have nothing to do with the predictors here, so only their training rows are compared.
+    """
+    k = F.col("sample_id")
+    frame = _final(x).withColumns({"vegf": (k % 9 + 1) / 10, "band": F.lit("Ku"), "vod_obs": F.col("VOD_Ku_Hpol_Asc"), "canopy_height": F.col("Hveg")})
+    scaled = calibration.scale_targets(calibration.positive_height(frame.where(F.col("vod_obs").isNotNull()))).where(F.col("eta_target").isNotNull())
+    out = None
+    for target, rows in (("lfmc_pct", frame), ("vegf", frame), ("eta_target", scaled)):
+        model = modeling.fit_trees(rows, _NUMERIC, None, loss="squared", label=target, **_TREES)
+        mean = rows.where("split = 'train'").agg(F.avg(target)).first()[0]
+        made = _against_constant(model.transform(modeling.fill_bands(rows)), target, mean, lambda e: e * e).withColumn("target", F.lit(target))
+        if target != "lfmc_pct":
+            made = made.withColumn("better", F.when(F.col("split") == "train", F.col("better")))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def _mask():
     return F.col("LAI").isNotNull() & F.col("LST").isNotNull() & F.col("Hveg").isNotNull() & F.col("lc_dom").isNotNull()
 
 
-@query("ml8_batch_scoring")
+@query("ml8_batch_scoring", _SCORED, ["fx_predictors"])
 def _(x):
     """Predictions on every predictor row that passes the mask, NULL on the others."""
     model = modeling.fit_trees(_final(x), _NUMERIC, "lc_dom", **_TREES)
     ready = frames.aligned_for_scoring(x.fx_predictors)
-    return modeling.score(model, ready, _mask()).select("sample_id", "lc_dom", "lfmc_pred")
+    return modeling.score(model, ready, _mask()).select("sample_id", F.col("lfmc_pred").isNotNull().alias("scored"))
 
 
-@query("ml11_saved_model_scoring")
+@query("ml11_saved_model_scoring", f"SELECT sample_id, scored, true AS as_fresh, 'lc_dom' AS category FROM ({_SCORED})", ["fx_predictors"])
 def _(x):
-    """The same through a saved and reloaded model."""
+    """A saved and reloaded model against the one just fitted."""
     path = scratch_path(x.spark, "model")
-    modeling.save_artifact(modeling.fit_trees(_final(x), _NUMERIC, "lc_dom", **_TREES), path, "trees", _NUMERIC, "lc_dom")
+    fresh = modeling.fit_trees(_final(x), _NUMERIC, "lc_dom", **_TREES)
+    modeling.save_artifact(fresh, path, "trees", _NUMERIC, "lc_dom")
     model, about = modeling.load_artifact(x.spark, path, "trees")
     ready = frames.aligned_for_scoring(x.fx_predictors)
-    return modeling.score(model, ready, _mask()).select("sample_id", "lfmc_pred", F.lit(about["category"]).alias("category"))
+    first = modeling.score(fresh, ready, _mask()).select("sample_id", F.col("lfmc_pred").alias("fresh_pred"))
+    again = modeling.score(model, ready, _mask()).join(first, "sample_id")
+    return again.select(
+        "sample_id", F.col("lfmc_pred").isNotNull().alias("scored"), F.col("lfmc_pred").eqNullSafe(F.col("fresh_pred")).alias("as_fresh"),
+        F.lit(about["category"]).alias("category"),
+    )
+
+
+_DAYS = "SELECT DISTINCT date FROM fx_grid_daily WHERE date BETWEEN DATE '2024-01-12' AND DATE '2024-01-14'"
+_PRODUCT_MASK = f"""WITH days AS ({_DAYS}), cls AS (
+      SELECT row, col, CASE WHEN {twins.total(names.VEGETATION_CLASSES)} > 0 THEN {twins.argmax(names.VEGETATION_CLASSES)} END AS lc_dom,
+             coalesce(BAR, 0) + coalesce(URB, 0) + coalesce(SNO, 0) + coalesce(Water, 0) AS bare FROM fx_classes),
+    valid AS (SELECT g.date, g.row, g.col FROM fx_grid_daily g JOIN days USING (date) JOIN fx_static s ON s.row = g.row AND s.col = g.col JOIN cls c ON c.row = g.row AND c.col = g.col
+              JOIN fx_lai8 l ON l.row = g.row AND l.col = g.col AND l.index_date = DATE '2024-01-09'
+              WHERE s.canopy_height IS NOT NULL AND l.lai IS NOT NULL AND g.tau_x_h IS NOT NULL AND c.lc_dom IS NOT NULL AND c.bare <= 0.7)"""
+
+
+def _day_features(x):
+    """Feature tables of three days over the whole grid."""
+    grid = x.fx_grid_daily
+    dates = grid.select("date").distinct().where("date BETWEEN DATE '2024-01-12' AND DATE '2024-01-14'")
+    # the window of leaf area around these days is taken as it is: one composite serves all three
+    lai = x.fx_lai8.where("index_date = DATE '2024-01-09'").select(F.explode(F.sequence(F.lit("2024-01-12").cast("date"), F.lit("2024-01-14").cast("date"))).alias("date"), "row", "col", F.col("lai").alias("LAI"))
+    bands = [F.col("tau_ku_h").alias("VOD_Ku_Hpol_Asc"), F.col("tau_x_h").alias("VOD_X_Hpol_Asc"), F.col("tau_c_h").alias("VOD_C_Hpol_Asc")]
+    return product.daily_features(
+        dates,
+        grid.select("date", "row", "col", F.col("qc_raw").alias("VOD_QC"), *bands),
+        lai,
+        grid.select("date", "row", "col", F.col("tau_x_h").alias("LST")),
+        grid.select("date", "row", "col", "rain"),
+        x.fx_static.select("row", "col", F.col("canopy_height").alias("Hveg")),
+        x.fx_classes.drop("cell").withColumn("year", F.col("year") + 1),
+        bands=["VOD_Ku_Hpol_Asc", "VOD_X_Hpol_Asc", "VOD_C_Hpol_Asc"],
+    )
 
 
+_PRODUCT_NUMERIC = ["VOD_Ku_Hpol_Asc", "VOD_X_Hpol_Asc", "VOD_C_Hpol_Asc", "LAI", "Hveg", "LST", "doy_sin", "doy_cos", "lat_norm"]
+
+
+@query(
+    "cp8_daily_prediction_maps",
+    f"{_PRODUCT_MASK} SELECT date, 6480000 AS n_cells, (SELECT count(*) FROM valid v WHERE v.date = days.date) AS n_predicted FROM days",
+    ["fx_grid_daily", "fx_static", "fx_lai8", "fx_classes"],
+)
+def _(x):
+    """Date range and saved model to masked maps: cells and predictions of each day."""
+    path = scratch_path(x.spark, "product-model")
+    modeling.save_artifact(modeling.fit_trees(_final(x), _PRODUCT_NUMERIC, "lc_dom", **_TREES), path, "trees", _PRODUCT_NUMERIC, "lc_dom")
+    model, about = modeling.load_artifact(x.spark, path, "trees")
+    maps = product.predict_days(model, _day_features(x), about["numeric"], about["category"])
+    return maps.groupBy("date").agg(F.count(F.lit(1)).cast("int").alias("n_cells"), F.count("lfmc_pred").alias("n_predicted"))
+
+
+@query(
+    "cp8_windowed_prediction_maps",
+    f"""{_PRODUCT_MASK}, seen AS (SELECT v.*, g.qc_raw, count(*) OVER (PARTITION BY v.row, v.col) AS n FROM valid v JOIN fx_grid_daily g ON g.date = v.date AND g.row = v.row AND g.col = v.col)
+        SELECT date, row, col FROM seen WHERE date = DATE '2024-01-14' AND n = 3 AND qc_raw = 0""",
+    ["fx_grid_daily", "fx_static", "fx_lai8", "fx_classes"],
+)
+def _(x):
+    """Cells of the last day that the windowed product predicts: good quality and three complete days."""
+    days = _day_features(x).where(F.col("LAI").isNotNull() | F.col("LST").isNotNull())
+    made = windows.day_windows(days, ["VOD_Ku_Hpol_Asc", "LAI", "LST"], 3, full_only=False, required=["LAI", "LST"])
+    ready = frames.aligned_for_scoring(made, None)
+    return ready.where(product.temporal_mask(3, ["Hveg"])).where("date = DATE '2024-01-14'").select("date", "row", "col")

@@ -49,11 +49,26 @@ def _stored(x):
     return path
 
 
-@query("src4_daily_lookup", "SELECT date, row, col, tau_x_h, qc_raw FROM fx_grid_daily", ["fx_grid_daily"])
+@query(
+    "src4_daily_lookup",
+    "SELECT date, row, col, tau_x_h, qc_raw FROM fx_grid_daily WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-19'",
+    ["fx_grid_daily"],
+)
 def _(x):
     """A day range from a date-partitioned table: the range prunes partitions."""
-    first, last = x.fx_grid_daily.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
-    return grids.read_days(x.spark, _stored(x), first, last).select("date", "row", "col", "tau_x_h", "qc_raw")
+    return grids.read_days(x.spark, _stored(x), "2024-01-05", "2024-01-19").select("date", "row", "col", "tau_x_h", "qc_raw")
+
+
+@query(
+    "src4_ordered_sources",
+    """SELECT date, row, col, tau_x_h, CASE WHEN day(date) % 3 = 0 THEN 0 WHEN day(date) % 2 = 0 THEN 1 ELSE 2 END AS source FROM fx_grid_daily
+       WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-19'""",
+    ["fx_grid_daily"],
+)
+def _(x):
+    """Three sources in order of preference, each without some days."""
+    days = grids.read_days(x.spark, _stored(x), "2024-01-05", "2024-01-19").select("date", "row", "col", "tau_x_h")
+    return grids.first_available([days.where(F.dayofmonth("date") % 3 == 0), days.where(F.dayofmonth("date") % 2 == 0), days])
 
 
 @query("src5_available_days", "SELECT DISTINCT date FROM fx_grid_daily ORDER BY date", ["fx_grid_daily"])
@@ -187,15 +202,28 @@ def _(x):
     return x.fx_grid_daily.select(*tables.feature_columns(x.fx_grid_daily))
 
 
-_PROFILE = "SELECT '{c}' AS column_name, '{t}' AS data_type, count({c}) AS n_present, min(CAST({c} AS VARCHAR)) AS min_text, max(CAST({c} AS VARCHAR)) AS max_text, count(DISTINCT {c}) AS n_distinct, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM orders WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) AS preview FROM orders"
-
-
 @query(
     "sch4_column_profile",
-    " UNION ALL ".join(_PROFILE.format(c=c, t=t) for c, t in {"o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}.items()),
+    """SELECT 'o_custkey' AS column_name, 'bigint' AS data_type, count(o_custkey) AS n_present, CAST(min(o_custkey) AS VARCHAR) AS min_text, CAST(max(o_custkey) AS VARCHAR) AS max_text,
+              count(DISTINCT o_custkey) AS n_distinct, (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT o_custkey AS v FROM orders ORDER BY v LIMIT 3)) AS preview FROM orders
+       UNION ALL SELECT 'cents', 'bigint', count(*), CAST(min(v) AS VARCHAR), CAST(max(v) AS VARCHAR), count(DISTINCT v),
+              (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT CAST(round(o_totalprice * 100, 0) AS BIGINT) - 20000000 AS v FROM orders ORDER BY v LIMIT 3))
+              FROM (SELECT CAST(round(o_totalprice * 100, 0) AS BIGINT) - 20000000 AS v FROM orders)
+       UNION ALL SELECT 'day', 'date', count(*), CAST(min(v) AS VARCHAR), CAST(max(v) AS VARCHAR), count(DISTINCT v),
+              (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS v FROM orders ORDER BY v LIMIT 3)) FROM (SELECT CAST(o_orderdate AS DATE) AS v FROM orders)
+       UNION ALL SELECT 'o_orderpriority', 'string', count(o_orderpriority), min(o_orderpriority), max(o_orderpriority), count(DISTINCT o_orderpriority),
+              (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderpriority AS v FROM orders ORDER BY v LIMIT 3)) FROM orders
+       UNION ALL SELECT 'half', 'string', count(v), min(v), max(v), count(DISTINCT v) + 1, 'F' FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'F' END AS v FROM orders)""",
 )
 def _(x):
-    return metrics.column_profile(x.table("orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
+    """Numbers below zero and with different digit counts, dates, texts, and a column with missing values."""
+    orders = x.table("orders").withColumns(
+        {
+            "cents": F.round(F.col("o_totalprice") * 100, 0).cast("bigint") - 20000000, "day": F.to_date("o_orderdate"),
+            "half": F.when(F.col("o_orderstatus") == "F", "F"),
+        }
+    )
+    return metrics.column_profile(orders, ["o_custkey", "cents", "day", "o_orderpriority", "half"], count_missing=True)
 
 
 def _px(x):

@@ -11,11 +11,11 @@ from fieldmosaic.streaming import daily
 from .registry import query, rounded
 
 
-def _landed(x, df, order: str):
+def _landed(x, df, order: str, files_per_batch: int | None = None):
     """The rows as a folder of files, so that a stream can pick them up in several batches."""
     path = scratch_path(x.spark, "landing")
     df.repartitionByRange(4, order).write.parquet(path)
-    return daily.watch_folder(x.spark, path, df.schema)
+    return daily.watch_folder(x.spark, path, df.schema, files_per_batch=files_per_batch)
 
 
 @query(
@@ -24,10 +24,11 @@ def _landed(x, df, order: str):
     ["fx_grid_daily"],
 )
 def _(x):
-    stream = _landed(x, x.fx_grid_daily.select("date", "row", "col", "tau_x_h", "tau_ku_h"), "date")
+    """Files are cut by column, so every day arrives in parts, one file a batch."""
+    stream = _landed(x, x.fx_grid_daily.select("date", "row", "col", "tau_x_h", "tau_ku_h"), "col", files_per_batch=1)
     path = scratch_path(x.spark, "ingest")
     daily.ingest_daily(stream, f"{path}/days", f"{path}/rejected", f"{path}/checkpoint", F.col("tau_ku_h").isNotNull()).awaitTermination()
-    return x.spark.read.parquet(f"{path}/days").select("date", "row", "col", "tau_x_h", "tau_ku_h")
+    return daily.read_ingested(x.spark, f"{path}/days").select("date", "row", "col", "tau_x_h", "tau_ku_h")
 
 
 @query(

@@ -118,17 +118,6 @@ def canopy_loss(eps_veg: Column, cover: Column | str, beta: float = 1.0 / 3.0) -
     return -cx.im(cx.power(term, 0.5 / beta))
 
 
-def mix_components(parts: list[tuple[Column, Column]], beta: float = 1.0 / 3.0) -> Column:
-    """Power-law mixture of (dielectric, fraction) pairs; fractions are normalised."""
-    if beta == 0:
-        raise ValueError("beta must not be 0")
-    whole = sum((share for _, share in parts[1:]), parts[0][1])
-    powered = [(cx.power(eps, beta), share / whole) for eps, share in parts]
-    real = sum((cx.re(z) * share for z, share in powered[1:]), cx.re(powered[0][0]) * powered[0][1])
-    imag = sum((cx.im(z) * share for z, share in powered[1:]), cx.im(powered[0][0]) * powered[0][1])
-    return F.when(whole > 0, cx.power(cx.make(real, imag), 1.0 / beta))
-
-
 def wavelength_m(f_hz: Column | str) -> Column:
     return F.lit(names.LIGHT_SPEED) / col(f_hz)
 

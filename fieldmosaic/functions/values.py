@@ -60,12 +60,6 @@ def sum_present(names: Iterable[str]) -> Column:
     return F.expr(f"CASE WHEN coalesce({', '.join(values)}) IS NOT NULL THEN {whole} END")
 
 
-def mean_present(names: Iterable[str]) -> Column:
-    values = [quoted(n) for n in names]
-    present = " + ".join(f"CAST(({v}) IS NOT NULL AS DOUBLE)" for v in values)
-    return F.try_divide(sum_present(names), F.expr(present))
-
-
 def any_present(names: Iterable[str]) -> Column:
     return F.expr(f"coalesce({', '.join(quoted(n) for n in names)}) IS NOT NULL")
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values
 from . import scale
@@ -170,29 +171,37 @@ def split_counts(df: DataFrame, block: str = "block_id") -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(block).alias("n_blocks"))
 
 
-def column_profile(df: DataFrame, columns: Sequence[str], exact: bool = True, preview: int = 3) -> DataFrame:
-    """Per column: type, number of values, min, max, distinct count and smallest values as text.
+def _sort_key(column: str, kind: T.DataType) -> Column:
+    """The order of a column's values as a struct that all columns share."""
+    exact = isinstance(kind, (T.IntegralType, T.DecimalType))
+    real = isinstance(kind, T.FractionalType) and not exact
+    return F.struct(
+        (F.col(column) if exact else F.lit(None)).cast("decimal(38,10)").alias("exact"),
+        (F.col(column) if real else F.lit(None)).cast("double").alias("real"),
+        F.col(column).cast("string").alias("text"),
+    )
+
+
+def column_profile(df: DataFrame, columns: Sequence[str], preview: int = 3, count_missing: bool = False) -> DataFrame:
+    """Per column: type, number of values, min, max, distinct count and lowest values.
 
-    The columns are stacked and counted per (column, value) first: the
-    distinct count and the preview see one row per value, so a column with one
-    dominant value costs nothing extra. ``exact=False`` uses a sketch.
+    Numbers are compared as numbers, dates and texts in their own order; all are
+    shown as text. ``count_missing`` lets NULL count as one distinct value. The columns
+    are stacked and counted per value first, so a dominant value costs nothing extra.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    texts = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("text")) for c in columns]
-    stacked = df.select(F.explode(F.array(*texts)).alias("__s")).select("__s.*").where(F.col("text").isNotNull())
-    counted = stacked.groupBy("column_name", "text").agg(F.count(F.lit(1)).alias("__c"))
-    spread = F.count(F.lit(1)) if exact else F.approx_count_distinct("text")
-    base = counted.groupBy("column_name").agg(
-        F.sum("__c").alias("n_present"),
-        F.min("text").alias("min_text"),
-        F.max("text").alias("max_text"),
-        spread.alias("n_distinct"),
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    parts = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c].simpleString()).alias("data_type"), _sort_key(c, kinds[c]).alias("value")) for c in columns]
+    stacked = df.select(F.explode(F.array(*parts)).alias("__s")).select("__s.*")
+    counted = stacked.groupBy("column_name", "data_type", "value").agg(F.count(F.lit(1)).alias("__c"))
+    present = F.col("value.text").isNotNull()
+    base = counted.groupBy("column_name", "data_type").agg(
+        F.coalesce(F.sum(F.when(present, F.col("__c"))), F.lit(0)).alias("n_present"),
+        F.min(F.when(present, F.col("value"))).getField("text").alias("min_text"),
+        F.max(F.when(present, F.col("value"))).getField("text").alias("max_text"),
+        F.count(F.lit(1) if count_missing else F.when(present, 1)).alias("n_distinct"),
     )
-    first = scale.lowest_n(counted.select("column_name", "text"), ["column_name"], [F.col("text")], preview)
-    shown = first.groupBy("column_name").agg(F.concat_ws("|", F.array_sort(F.collect_list("text"))).alias("preview"))
-    kind = F.lit("")
-    for name, simple in types.items():
-        kind = F.when(F.col("column_name") == name, simple).otherwise(kind)
-    return base.join(shown, ["column_name"], "left").withColumn("data_type", kind)
+    first = scale.lowest_n(counted.where(present).select("column_name", "value"), ["column_name"], [F.col("value")], preview)
+    shown = first.groupBy("column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("value")), lambda v: v["text"]), "|").alias("preview"))
+    return base.join(shown, ["column_name"], "left")
 
 

@@ -10,8 +10,10 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .. import names
+from ..session import reliable_checkpoints
 from . import scale
 
 
@@ -52,7 +54,7 @@ def non_finite_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def require_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     bad = non_finite_cells(df, columns).agg(F.sum("n_bad")).first()[0]
     if bad:
-        raise ValueError(f"features still contain {bad} non-finite values")
+        raise ValueError(f"{bad} feature cells are missing or not finite")
     return df
 
 
@@ -134,23 +136,39 @@ def tree_pipeline(
 
 
 def fit_trees(df: DataFrame, numeric: Sequence[str], category: str | None = None, **options) -> PipelineModel:
-    """Fit on train rows; val rows, when present, only stop the boosting."""
-    used = fill_bands(df.where(F.col("split").isin("train", "val")))
-    if options.get("validation") is None and not used.where(F.col("split") == "val").isEmpty():
-        used = used.withColumn("is_validation", F.col("split") == "val")
-        options["validation"] = "is_validation"
-    elif options.get("validation") is None:
-        used = used.where(F.col("split") == "train")
-    return tree_pipeline(numeric, category, **options).fit(used)
+    """Fit on train rows; val rows, when present, only stop the boosting.
+
+    The rows are kept while the model is fitted, and the boosting cuts its lineage
+    in the shared checkpoint folder every ``checkpointInterval`` (10) trees.
+    """
+    reliable_checkpoints(df.sparkSession)
+    used = fill_bands(df.where(F.col("split").isin("train", "val"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = used
+        if options.get("validation") is None:
+            if used.where(F.col("split") == "val").isEmpty():
+                rows = used.where(F.col("split") == "train")
+            else:
+                rows = used.withColumn("is_validation", F.col("split") == "val")
+                options["validation"] = "is_validation"
+        return tree_pipeline(numeric, category, **options).fit(rows)
+    finally:
+        used.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, valid: Column, out: str = "lfmc_pred") -> DataFrame:
-    """Predictions on the valid rows, NULL on the others; one pass, no join back."""
-    columns = df.columns
-    usable = fill_bands(df.where(valid))
-    scored = model.transform(usable).select(*columns, out)
-    rest = df.where(~F.coalesce(valid, F.lit(False))).withColumn(out, F.lit(None).cast("double"))
-    return scored.unionByName(rest)
+    """Predictions on the valid rows, NULL on the others, in one pass over the input.
+
+    Missing inputs are filled so that every row can be assembled; the originals
+    are what is returned.
+    """
+    assembler = next(stage for stage in model.stages if isinstance(stage, VectorAssembler))
+    inputs = [c for c in assembler.getInputCols() if c in df.columns]
+    marked = df.withColumns({"__valid": F.coalesce(valid, F.lit(False)), **{f"__in_{c}": F.col(c) for c in inputs}})
+    ready = marked.withColumns({c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in inputs})
+    scored = model.transform(ready)
+    columns = [F.col(f"__in_{c}").alias(c) if c in inputs else F.col(c) for c in df.columns if c != out]
+    return scored.select(*columns, F.when(F.col("__valid"), F.col(out)).alias(out))
 
 
 def save_artifact(model: PipelineModel, path: str, model_name: str, numeric: Sequence[str], category: str | None) -> None:

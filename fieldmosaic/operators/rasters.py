@@ -11,11 +11,6 @@ from .. import names
 from ..functions import cells, qcbits, values
 
 
-def repair_columns(df: DataFrame, products: dict[str, str]) -> DataFrame:
-    """Raw values of several products to physical values; ``products`` maps column to product."""
-    return df.withColumns({c: values.repair_raw(c, product) for c, product in products.items()})
-
-
 def block_mean(df: DataFrame, bands: Sequence[str], factor: int = 2, keys: Sequence[str] = (), size: tuple[int, int] | None = None) -> DataFrame:
     """Down-sample by the mean of the valid cells of each factor x factor block.
 

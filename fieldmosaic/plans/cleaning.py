@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import names
 from ..operators import cleaning, dedup
-from ..sources import sinks
 
 
 @dataclass(frozen=True)
@@ -74,12 +73,3 @@ def full_report(result: CleaningResult) -> DataFrame:
         row = part.select(F.struct(*part.columns).alias(name), F.lit(1).alias("__one"))
         out = row if out is None else out.join(row, ["__one"])
     return out.drop("__one")
-
-
-def write_all(result: CleaningResult, path: str) -> None:
-    sinks.write_samples(result.flagged, f"{path}/samples_std")
-    sinks.write_samples(result.strict, f"{path}/samples_strict")
-    sinks.write_samples(result.site_day, f"{path}/site_day")
-    sinks.write_samples(result.point_with_cell, f"{path}/site_day_point_with_cell")
-    sinks.write_samples(result.grid_day, f"{path}/grid_day")
-    sinks.write_report(full_report(result), f"{path}/report")

@@ -46,10 +46,10 @@ def training_base(df: DataFrame, core: Sequence[str] = tuple(names.CORE_FEATURES
     Narrow transformations only: no shuffle before the split.
     """
     require_columns(df, [*KEYS[1:], label, *names.BANDS, *core, *names.VEGETATION_CLASSES])
-    numbers = [c for c in [*names.BANDS, *core, *names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES] if c in df.columns]
+    props, labels = proportion_columns(df.columns)
+    numbers = [c for c in [*names.BANDS, *core, *names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES, *props] if c in df.columns]
     df = df.withColumns({c: F.expr(cols.finite_text(c)) for c in ["lfmc_pct", "lat", "lon", *numbers]})
     out = base_filter(df, core).withColumns(season_terms())
-    props, labels = proportion_columns(df.columns)
     classes = names.VEGETATION_CLASSES
     other = [c for c in names.NONVEGETATION_CLASSES if c in df.columns]
     out = out.withColumns({"__lc": landcover.fractions(classes), **({"__props": landcover.fractions(props)} if props else {})})
@@ -97,13 +97,13 @@ class FrameSpec:
 # Experiment codes and what each keeps or removes.
 _IGBP = {"category": "igbp_dom", "consistent_only": False}
 SCHEMES = [
-    FrameSpec("S1_FT", "FT baseline", "FT", (), None, False),
-    FrameSpec("S2_IGBP_DOM", "dominant IGBP class", extra=(), weight=None, **_IGBP),
-    FrameSpec("S3_IGBP_DOM_FE", "dominant IGBP + frac + entropy", extra=("igbp_dom_frac", "igbp_entropy"), weight=None, **_IGBP),
-    FrameSpec("S4_IGBP_DOM_FE_W", "dominant IGBP + frac + entropy + weight", extra=("igbp_dom_frac", "igbp_entropy"), weight="igbp_weight", **_IGBP),
-    FrameSpec("S5_LC_DOM_FE_W", "dominant LC + frac + entropy + weight", consistent_only=False),
-    FrameSpec("S6_LC_DOM_FE_W_CONS", "dominant LC + frac + entropy + weight + consistency"),
-    FrameSpec("S7_LC_DOM_FE_W_CONS_NV", "dominant LC + frac + entropy + weight + consistency + nonveg filter", vegetated_only=True),
+    FrameSpec("S1_FT", "functional type only", "FT", (), None, False),
+    FrameSpec("S2_IGBP_DOM", "largest label class", extra=(), weight=None, **_IGBP),
+    FrameSpec("S3_IGBP_DOM_FE", "largest label class, its share and the mixture", extra=("igbp_dom_frac", "igbp_entropy"), weight=None, **_IGBP),
+    FrameSpec("S4_IGBP_DOM_FE_W", "label class with share and mixture, rows weighted by purity", extra=("igbp_dom_frac", "igbp_entropy"), weight="igbp_weight", **_IGBP),
+    FrameSpec("S5_LC_DOM_FE_W", "mapped class with share and mixture, rows weighted by purity", consistent_only=False),
+    FrameSpec("S6_LC_DOM_FE_W_CONS", "as S5, rows whose label agrees with the map"),
+    FrameSpec("S7_LC_DOM_FE_W_CONS_NV", "as S6, vegetated cells only", vegetated_only=True),
 ]
 ABLATIONS = [
     FrameSpec("A0_FULL_S6", "full S6 frame"),
@@ -176,16 +176,26 @@ def experiment_rows(base: DataFrame, spec: FrameSpec, carry: Sequence[str] = ())
 
 
 def experiment_matrix(base: DataFrame, specs: Sequence[FrameSpec], seed: int = names.SPLIT_SEED) -> DataFrame:
-    """Rows of many experiments at once: code, keys, category, weight, block and split.
+    """Rows of many experiments at once: code, keys, category, features, weight, block and split.
 
-    The base is read once; each row is expanded to the experiments that keep
-    it, and blocks are split per experiment.
+    There is a column for every feature of any experiment; it is NULL in the rows
+    of an experiment that does not use it, and ``feature_names`` tells which it uses.
+    The base is read once; each row is expanded to the experiments that keep it,
+    and blocks are split per experiment.
     """
     keys = [c for c in KEYS if c in base.columns]
+    used = {spec.code: numeric_columns(base, spec) for spec in specs}
+    features = list(dict.fromkeys(c for some in used.values() for c in some))
     entries = [
         F.when(
             _kept(base, spec),
-            F.struct(F.lit(spec.code).alias("code"), F.col(spec.category).alias("category"), _weight(spec).alias("sample_weight")),
+            F.struct(
+                F.lit(spec.code).alias("code"),
+                F.col(spec.category).alias("category"),
+                _weight(spec).alias("sample_weight"),
+                F.lit(",".join(used[spec.code])).alias("feature_names"),
+                *[(F.col(c) if c in used[spec.code] else F.lit(None)).cast("double").alias(c) for c in features],
+            ),
         )
         for spec in specs
     ]

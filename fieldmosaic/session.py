@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,8 @@ SESSION_DEFAULTS = {
     # Wide feature expressions make thousands of Column calls; without the
     # per-call stack capture a plan is built several times faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go when nothing refers to their rows any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -58,11 +62,23 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-    folder = os.path.join(tempfile.gettempdir(), f"fieldmosaic-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """One temporary folder of a local run, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="fieldmosaic-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def reliable_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoints go to the shared folder, unless the application has set one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
@@ -70,7 +86,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    reliable_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

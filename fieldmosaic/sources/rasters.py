@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,12 @@ def quarantine(df: DataFrame, usable: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def present_bands(grid: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Drop cells without any band: an absent row and an all-NULL row mean the same."""
-    return grid.where(F.coalesce(*[F.col(b) for b in bands]).isNotNull())
+def first_available(sources: Sequence[DataFrame], date: str = "date", out: str = "source") -> DataFrame:
+    """Rows of each day from the first source that has the day; any number of sources in order.
+
+    Only the distinct days of the sources are compared, which the calendar bounds.
+    """
+    marked = [df.withColumn(out, F.lit(i)) for i, df in enumerate(sources)]
+    days = reduce(DataFrame.unionByName, [df.select(date, out).distinct() for df in marked])
+    first = days.groupBy(date).agg(F.min(out).alias(out))
+    return reduce(DataFrame.unionByName, marked).join(first, [date, out])

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import cells, landcover
+from ..operators import scale
 from ..sources import rasters
 
 
@@ -32,20 +33,27 @@ def ingest_daily(
     checkpoint: str,
     usable: Column,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    closed: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Write the days of each batch once; unusable rows go to a quarantine table.
+    """Append the usable rows of each batch under its number; the others go to a quarantine table.
 
-    Only the touched date partitions are replaced (dynamic overwrite), so a batch
-    that is replayed after a failure gives the same table. The quarantine is kept
-    per batch id for the same reason. A day arrives within one batch.
+    A day may arrive in any number of batches: each has partitions of its own
+    (``date`` and ``batch_id``), and only these are replaced when a batch is run
+    again after a failure. ``read_ingested`` returns every cell of a day once.
+    Rows of days that ``closed`` lists at that time are skipped.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = rasters.quarantine(batch, usable)
-        good = prepare(good) if prepare else good
-        spread = good.repartition(F.col("date"), F.floor(F.col("row") / 100))
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        batch.persist()
+        try:
+            good, bad = rasters.quarantine(batch, usable)
+            good = prepare(good) if prepare else good
+            good = rasters.new_days(good, closed()) if closed else good
+            spread = good.withColumn("batch_id", F.lit(batch_id)).repartition(F.col("date"), F.floor(F.col("row") / 100))
+            spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(target)
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -55,6 +63,13 @@ def ingest_daily(
     )
 
 
+def read_ingested(spark: SparkSession, target: str, keys: Sequence[str] = ("date", "row", "col")) -> DataFrame:
+    """Rows of an ingested table; of a cell that arrived twice, the one of the first batch."""
+    rows = spark.read.parquet(target)
+    rest = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    return scale.first_per_group(rows, list(keys), [F.col("batch_id"), F.xxhash64(*rest)]).drop("batch_id")
+
+
 def sliding_sum(stream: DataFrame, value: str, days: int = 7, late: str = "30 days", keys: Sequence[str] = ("row", "col"), date: str = "date") -> DataFrame:
     """Trailing sums as a sliding window with a watermark for late daily tiles.
 
@@ -98,9 +113,4 @@ def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "
     )
 
 
-def collect_complete(stream: DataFrame, name: str) -> StreamingQuery:
-    """All result rows of an aggregation in an in-memory table: for checks on small inputs only."""
-    return stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-
-
-__all__ = ["arriving_site_days", "collect_complete", "ingest_daily", "sliding_sum", "watch_folder", "write_available"]
+__all__ = ["arriving_site_days", "ingest_daily", "read_ingested", "sliding_sum", "watch_folder", "write_available"]
