@@ -14,12 +14,12 @@ everything that is gathered grows with the corpus.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from .registry import query
 
 #: Kinds of documents; a block holds one kind only.
 TRAIN, DELETED, TEST = 0, 1, 2
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 1 << 20
 BEGIN = np.uint64(1)  # stands before the first token of a document
 END = np.uint64(2)
 LEVELS = 24  # context buckets
@@ -66,11 +66,22 @@ _BLOCK = "block long, kind int, words binary, tokens binary, ends binary, doc_id
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.tobytes(), 1)
+    """Numbers with their first bytes, their second bytes and so on together, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _numbers(value: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(value.as_buffer()), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_py()), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _packed_sorted(hashes: np.ndarray) -> bytes:
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _sorted_numbers(value: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_numbers(value, np.uint64), dtype=np.uint64)
 
 
 def _blocks(docs: DataFrame, kind: Column) -> DataFrame:
@@ -90,7 +101,7 @@ def _blocks(docs: DataFrame, kind: Column) -> DataFrame:
             held[kind], sizes[kind] = [], 0
             number += 1
             return batch(
-                {"block": [number], "kind": np.array([kind], np.int32), "words": [names.tobytes()],
+                {"block": [number], "kind": np.array([kind], np.int32), "words": [_packed_sorted(names)],
                  "tokens": [_packed(tokens.astype(np.uint32))], "ends": [np.cumsum(lengths).astype(np.int64).tobytes()],
                  "doc_ids": pa.array([ids], pa.list_(pa.int64()))}
             )
@@ -124,7 +135,7 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], rest: bool = False) -> Itera
         for i in range(len(rows)):
             at = {name: rows.column(name)[i] for name in rows.schema.names}
             block = Block(
-                at["kind"].as_py(), np.frombuffer(at["words"].as_buffer(), np.uint64), _numbers(at["tokens"], np.uint32),
+                at["kind"].as_py(), _sorted_numbers(at["words"]), _numbers(at["tokens"], np.uint32),
                 np.frombuffer(at["ends"].as_buffer(), np.int64), at["doc_ids"].values,
             )
             yield (at["block"].as_py(), block, at["totals"]) if rest else (at["block"].as_py(), block)
@@ -159,7 +170,7 @@ def _totals(blocks: DataFrame, buckets: int) -> DataFrame:
                 spans = [slice(c[b], c[b + 1]) for c in cuts]
                 if spans[1].stop > spans[1].start or spans[0].stop > spans[0].start:
                     rows["block"].append(number), rows["kind"].append(block.kind), rows["bucket"].append(b)
-                    rows["words"].append(grams[0][spans[0]].tobytes()), rows["pairs"].append(grams[1][spans[1]].tobytes())
+                    rows["words"].append(_packed_sorted(grams[0][spans[0]])), rows["pairs"].append(_packed_sorted(grams[1][spans[1]]))
                     rows["counts"].append(_packed(np.concatenate([t[s] for t, s in zip(tallies, spans)]).astype(np.uint32)))
             yield batch(rows, block=pa.int64(), kind=pa.int32(), bucket=pa.int32())
 
@@ -171,7 +182,7 @@ def _totals(blocks: DataFrame, buckets: int) -> DataFrame:
             kinds += rows.column("kind").to_pylist()
             names += rows.column("bucket").to_pylist()
             for i in range(len(rows)):
-                w, p = (np.frombuffer(rows.column(c)[i].as_py(), np.uint64) for c in ("words", "pairs"))
+                w, p = (_sorted_numbers(rows.column(c)[i]) for c in ("words", "pairs"))
                 parts.append((w, p, _numbers(rows.column("counts")[i], np.uint32)))
         for bucket in sorted(set(names)):
             mine = [i for i, b in enumerate(names) if b == bucket]
@@ -205,7 +216,7 @@ def _found(block: Block, totals: pa.Scalar, buckets: int) -> tuple[np.ndarray, .
     word = np.zeros((2, len(block.words)), np.int64)
     pair = np.zeros((2, int(cuts[1][-1])), np.int64)
     for entry in totals.values:
-        b, values = entry["bucket"].as_py(), np.frombuffer(zlib.decompress(entry["totals"].as_buffer()), np.int64)
+        b, values = entry["bucket"].as_py(), _numbers(entry["totals"], np.int64)
         (w0, w1), (p0, p1) = ((c[b], c[b + 1]) for c in cuts)
         n, m = w1 - w0, p1 - p0
         word[0, w0:w1], word[1, w0:w1] = values[:n], values[n : 2 * n]
