@@ -1,7 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles; documents of equal sets are one
-class. Shingles are ordered rare first by a fixed-size frequency sketch. Two sets of
+class. Shingles are ordered rare first by a frequency sketch, which has a slot for every
+SHINGLES_PER_SLOT shingles up to ``1 << MOST_BITS`` slots (16 MB in a task); the order
+decides about speed only. Two sets of
 the wanted similarity share at least l shingles of their l-prefixes, and an l-prefix is
 ``n - t + l`` long, where t is the overlap that any partner needs. Every class chooses
 its l by estimated cost: where the prefix holds frequent shingles, a longer prefix and
@@ -23,6 +25,7 @@ components are exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, gram_hashes, mixed, text_slices, words
 from .components import components
-from .frames import KeyFilter, arrow_map, batch, buckets_for, id_and_text, table, unused, written
+from .frames import KeyFilter, arrow_map, batch, buckets_for, id_and_text, input_bytes, table, unused, written
 from .registry import query
 
-SKETCH_BITS = 21
+LEAST_BITS, MOST_BITS = 16, 24
+SHINGLES_PER_SLOT = 16
 SKETCH_PARTS = 64
 LONGEST = 8  # of l
 VERIFY_COST = 4  # of one candidate, in scanned postings
@@ -65,11 +69,20 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _profile(docs: DataFrame, size: int) -> DataFrame:
+def sketch_bits(text_bytes: int) -> int:
+    """Slots of the sketch as a power of two; a shingle is taken for six bytes of text."""
+    return min(max(int(text_bytes / 6 / SHINGLES_PER_SLOT).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _slots(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _profile(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Rows ``(doc_id, n, class)``, and per task the parts of its frequency sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        sketch = np.zeros(1 << bits, dtype=np.uint32)
         empty = True
         for rows in batches:
             empty = False
@@ -78,7 +91,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 for shingles in shingle_sets(words(piece, SPACED), size):
                     counts.append(len(shingles))
                     keys.append(class_key(shingles) if len(shingles) else None)
-                    np.add.at(sketch, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    np.add.at(sketch, _slots(shingles, bits), 1)
                 some = len(counts)
                 yield batch(
                     {"doc_id": rows.column(0).slice(piece.first, some), "n": counts, "class": keys, "part": [None] * some, "counts": [None] * some},
@@ -88,30 +101,30 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             none = [None] * SKETCH_PARTS
             yield batch(
                 {"doc_id": none, "n": none, "class": none, "part": np.arange(SKETCH_PARTS, dtype=np.int32),
-                 "counts": [p.tobytes() for p in np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(SKETCH_PARTS, -1)]},
+                 "counts": [zlib.compress(p.tobytes(), 1) for p in np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(SKETCH_PARTS, -1)]},
                 doc_id=pa.int64(), n=pa.int32(), **{"class": pa.int64()},
             )
 
     return arrow_map(id_and_text(docs), work, "doc_id long, n int, class long, part int, counts binary")
 
 
-def _levels(profile: DataFrame, shingles: int) -> np.ndarray:
+def _levels(profile: DataFrame, bits: int, shingles: int) -> np.ndarray:
     """Per sketch slot: 0 for the usual, else how many doublings its count lies above it."""
-    usual = 2 * max(shingles / (1 << SKETCH_BITS), 1.0)
+    usual = 2 * max(shingles / (1 << bits), 1.0)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for rows in batches:
             for part, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                counts = np.frombuffer(counts, np.uint16).astype(np.int64)
+                counts = np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
                 found[part] = found[part] + counts if part in found else counts
         levels = [np.maximum(np.floor(np.log2(np.maximum(c, 1) / usual)), 0).astype(np.uint8).tobytes() for c in found.values()]
         if found:
             yield batch({"part": np.array(list(found), np.int32), "levels": levels})
 
     parts = profile.where(F.col("part").isNotNull()).select("part", "counts").repartition("part")
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
-    for row in arrow_map(parts, add, "part int, levels binary").collect():  # 2 MB whatever the input
+    out = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
+    for row in arrow_map(parts, add, "part int, levels binary").collect():  # a byte a slot, 16 MB at most
         out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
     return out.reshape(-1)
 
@@ -119,7 +132,7 @@ def _levels(profile: DataFrame, shingles: int) -> np.ndarray:
 def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The rare-first prefix that costs least by estimate, and its l."""
     size = len(shingles)
-    level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    level = levels[_slots(shingles, len(levels).bit_length() - 1)]
     ordered = np.argsort(level, kind="stable")
     short = size - needed(size, percent)
     most = min(LONGEST, size - short)
@@ -319,11 +332,12 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     non-null id in the component. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    profile = written(_profile(docs, size), "profile")
+    bits = sketch_bits(input_bytes(id_and_text(docs)))
+    profile = written(_profile(docs, size, bits), "profile")
     sets = profile.where(F.col("part").isNull()).select("doc_id", F.col("n"), "class")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     buckets = buckets_for(spark, total * (100 - percent) // 100, 1 << 20)
-    postings = written(_postings(docs, _levels(profile, total), size, percent, buckets), "postings")
+    postings = written(_postings(docs, _levels(profile, bits, total), size, percent, buckets), "postings")
     shown = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("shown"))
     near = _verified(docs, _hub_pairs(postings, percent), shown, size, percent)
     far = _verified(docs, _cross_pairs(postings, components(near), percent), shown, size, percent)

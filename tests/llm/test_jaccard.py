@@ -62,7 +62,7 @@ def test_components_equal_brute_force(documents, seed, groups, each, edits, size
 
 def test_frequent_shingles_and_longer_prefixes(documents, monkeypatch):
     docs = copies(5, 4, 25, 8)
-    monkeypatch.setattr(J, "_levels", lambda profile, shingles: np.random.default_rng(0).integers(0, 9, 1 << J.SKETCH_BITS).astype(np.uint8))
+    monkeypatch.setattr(J, "_levels", lambda profile, bits, shingles: np.random.default_rng(0).integers(0, 9, 1 << bits).astype(np.uint8))
     assert found(documents(docs), 4, 85) == brute(docs, 4, 85)
 
 
@@ -74,7 +74,7 @@ def test_small_buffers_keep_frequent_tokens(documents, monkeypatch):
 
 def test_prefix_lemma():
     rng = np.random.default_rng(7)
-    levels = rng.integers(0, 5, 1 << J.SKETCH_BITS).astype(np.uint8)
+    levels = rng.integers(0, 5, 1 << 18).astype(np.uint8)
     for _ in range(300):
         base = rng.integers(0, 1 << 63, int(rng.integers(1, 60))).astype(np.uint64)
         one = np.unique(base)
