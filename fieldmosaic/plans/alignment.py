@@ -31,13 +31,13 @@ def align_all(
 ) -> DataFrame:
     """Masked bands, further daily grids, static, 8-day and same-year annual values.
 
-    The daily joins share the key (date, row, col), so the samples are shuffled
-    for them once.
+    The join by cell comes first: all others add a day or a year to that key, so
+    the samples are shuffled once where a session lets joins keep a coarser distribution.
     """
-    out = align.masked_daily_values(samples, daily_bands, bands)
+    out = align.static_values(samples, static)
+    out = align.masked_daily_values(out, daily_bands, bands)
     for grid in other_daily:
         out = align.daily_values(out, grid)
-    out = align.static_values(out, static)
     for value, grid in (eight_day or {}).items():
         out = align.eight_day_values(out, grid, value)
     return align.annual_values(out.withColumn("year", F.year("date")), annual)

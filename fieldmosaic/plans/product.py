@@ -38,11 +38,12 @@ def daily_features(
     today = rain.select(*keys, "rain")
     asked = rain_rows(dates, today)
     totals = windows.trailing_sum(asked, "rain", 7, out="rain_7day")
-    out = base.join(masked, keys, "left").join(lst, keys, "left").join(totals, keys, "left")
+    # By cell first: the joins that follow add a day or a year to that key and keep its distribution.
+    out = align.static_values(base, static)
+    out = align.annual_values(out.withColumn("year", F.year("date")), annual).drop("year")
+    out = out.join(masked, keys, "left").join(lst, keys, "left").join(totals, keys, "left")
     out = out.withColumn("rain_7day_valid_days", F.coalesce("rain_7day_valid_days", F.lit(0)))
     out = align.interpolated_values(out, lai, "LAI")
-    out = align.static_values(out, static)
-    out = align.annual_values(out.withColumn("year", F.year("date")), annual).drop("year")
     present = {c: F.expr(values.finite_text(c)) if c in out.columns else F.lit(None).cast("double") for c in [*names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES]}
     out = out.withColumns(present).withColumns(landcover.merged_groups()).withColumns(landcover.merged_dominant())
     return out.withColumns(

@@ -19,6 +19,8 @@ SESSION_DEFAULTS = {
     # always worth the extra exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Joins by (date, row, col) may stay distributed by (row, col).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     # HotSpot does not compile methods above 8000 bytes of bytecode. Stages with

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -40,3 +44,13 @@ def test_no_python_workers(spark, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).columns[:3] == ["date", "row", "col"]
+
+
+def test_entry_points_work_without_the_training_data_operators():
+    code = (
+        "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['fieldmosaic.llm'] = None\n"
+        "import __spark_entry__ as e; names = set(e.queries())\n"
+        "assert 'cp1_clean_grid_day' in names and 'pipeline' not in names and not any(n.startswith('op') for n in names)\n"
+        "assert set(e.oracle_sql()) <= names"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True, timeout=120)

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import ENTRIES
+from catalog.registry import Inputs
 from fieldmosaic.operators import align, cleaning, dedup, metrics, modeling, rasters, scale, splits, windows
+from fieldmosaic.plans import frames
 from fieldmosaic.sources import rasters as grids
 from fieldmosaic.sources import tables
+from fieldmosaic.streaming import daily
 
 
 def day(n):
@@ -222,3 +225,74 @@ def test_readers_refuse_other_files(spark):
             tables.read_table(spark, path)
         with pytest.raises(ValueError):
             tables.read_samples(spark, path)
+
+
+def ingest(spark, folder, files, closed=None):
+    """Files one batch each into ``folder``; returns the ingested rows."""
+    schema = "date date, row int, col int, v double"
+    for name, data in files.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{folder}/land/{name}")
+    stream = daily.watch_folder(spark, f"{folder}/land/*", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    daily.ingest_daily(stream, f"{folder}/days", f"{folder}/bad", f"{folder}/check", F.col("v").isNotNull(), closed=closed).awaitTermination()
+    return sorted(tuple(r) for r in daily.read_ingested(spark, f"{folder}/days").select("date", "row", "col", "v").collect())
+
+
+def test_a_day_over_several_batches_keeps_all_rows(spark, tmp_path):
+    first = [(day(0), 0, c, float(c)) for c in range(60)]
+    second = [(day(0), 0, c, float(c)) for c in range(60, 100)] + [(day(1), 0, 0, 7.0), (day(1), 0, 1, None)]
+    got = ingest(spark, str(tmp_path), {"a": first})
+    assert got == first
+    got = ingest(spark, str(tmp_path), {"b": second})
+    assert got == first + [r for r in second if r[3] is not None]
+    # the same cells again change nothing, whatever their values
+    assert ingest(spark, str(tmp_path), {"c": [(day(0), 0, 5, -1.0)]}) == got
+
+
+def test_a_batch_that_runs_again_gives_the_same_table(spark, tmp_path):
+    rows_ = [(day(0), 0, c, float(c)) for c in range(20)]
+    got = ingest(spark, str(tmp_path), {"a": rows_[:10], "b": rows_[10:]})
+    # the last commit is forgotten, as after a failure before it
+    commits = sorted((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for path in [commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")]:
+        path.unlink(missing_ok=True)
+    assert ingest(spark, str(tmp_path), {}) == got == rows_
+
+
+def test_closed_days_are_skipped(spark, tmp_path):
+    done = spark.createDataFrame([(day(0),)], "date date")
+    got = ingest(spark, str(tmp_path), {"a": [(day(0), 0, 0, 1.0), (day(1), 0, 0, 2.0)]}, closed=lambda: done)
+    assert got == [(day(1), 0, 0, 2.0)]
+
+
+def test_profile_compares_numbers_as_numbers(rows):
+    df = rows("a long, b double, c string, d date", [(i, i - 700.5, f"x{i}", day(i)) for i in range(1500)] + [(None, None, None, None)])
+    got = {r.column_name: r for r in metrics.column_profile(df, df.columns, preview=2, count_missing=True).collect()}
+    assert (got["a"].min_text, got["a"].max_text, got["a"].n_distinct, got["a"].n_present, got["a"].preview) == ("0", "1499", 1501, 1500, "0|1")
+    assert (got["b"].min_text, got["b"].max_text, got["b"].preview) == ("-700.5", "798.5", "-700.5|-699.5")
+    assert got["c"].max_text == "x999" and got["d"].max_text == str(day(1499)) and got["d"].data_type == "date"
+    assert metrics.column_profile(df, ["a"]).first().n_distinct == 1500
+
+
+def test_first_source_that_has_the_day(rows):
+    make = lambda days, v: rows("date date, v int", [(day(d), v) for d in days])
+    got = {(r.date, r.v, r.source) for r in grids.first_available([make([1, 4], 10), make([1, 2], 20), make([1, 2, 3], 30)]).collect()}
+    assert got == {(day(1), 10, 0), (day(4), 10, 0), (day(2), 20, 1), (day(3), 30, 2)}
+
+
+def test_scores_read_the_input_once(spark, rows):
+    k = F.col("id")
+    frame = spark.range(200).select(k.alias("sample_id"), (k % 7).cast("double").alias("a"), F.when(k % 2 == 0, "x").otherwise("y").alias("c"),
+                                    (k % 7 * 2).cast("double").alias("lfmc_pct"), F.when(k % 5 == 0, "val").otherwise("train").alias("split"))
+    model = modeling.fit_trees(frame, ["a"], "c", iterations=2, rate=0.5, depth=2)
+    asked = rows("sample_id int, a double, c string", [(1, 3.0, "x"), (2, None, "x"), (3, float("nan"), "y"), (4, 6.0, None), (5, 6.0, "new")])
+    made = modeling.score(model, asked, F.col("a").isNotNull() & ~F.isnan("a") & F.col("c").isNotNull())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+    got = {r.sample_id: (r.a, r.c, r.lfmc_pred) for r in made.collect()}
+    assert got[1][2] is not None and got[5][2] is not None and got[2] == (None, "x", None) and got[3][2] is None and got[4] == (6.0, None, None)
+
+
+def test_proportions_without_a_number_count_as_zero(spark):
+    view = Inputs(spark, "/root/testdata/sf0.001").fx_predictors
+    mixed = view.withColumns({"IGBP_prop_Grasslands": F.lit(float("nan")), "IGBP_prop_Savannas": F.lit(2.0), "IGBP_prop_Barren": F.lit(9.0)})
+    made = frames.training_base(mixed).select("igbp_dom", "igbp_dom_frac", "igbp_entropy", "igbp_weight").distinct().collect()
+    assert [tuple(r) for r in made] == [("Savannas", 1.0, 0.0, 1.0)]
