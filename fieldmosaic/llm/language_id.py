@@ -261,7 +261,7 @@ def sample(docs: DataFrame, usable: Column, per_language: int, sample_bytes: int
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), place.alias("place")
     )
     counts = narrow.groupBy("lang").agg(F.count("*").alias("texts")).withColumnRenamed("lang", "counted")
-    few = narrow.join(counts, F.col("lang") == F.col("counted")).where(F.col("place") * F.col("texts") <= 4 * per_language + 16)
+    few = narrow.join(F.broadcast(counts), F.col("lang") == F.col("counted")).where(F.col("place") * F.col("texts") <= 4 * per_language + 16)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = (
         few.select("lang", "place", "doc_id").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language)
