@@ -30,6 +30,7 @@ from .registry import query
 SLOTS = 128
 RUN = 2
 SEED = 20_240_607
+MOST_SLICES = 20_000  # of the id range; their edges are known to the driver
 _ROWS = 1024  # steps whose random bits are drawn at once
 
 
@@ -153,7 +154,7 @@ def with_next(docs: DataFrame, slice_bytes: int = 1 << 23) -> DataFrame:
     spark = docs.sparkSession
     low = F.lit(-(1 << 63))
     keyed = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rank", F.coalesce("doc_id", low))
-    slices = buckets_for(spark, input_bytes(keyed), slice_bytes)
+    slices = buckets_for(spark, input_bytes(keyed), slice_bytes, MOST_SLICES)
     bounds = sorted(set(keyed.approxQuantile("rank", [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else []
     keyed = keyed.withColumn("__position", F.col("rank").cast("double"))
     cut = Bucketizer(splits=[-float("inf"), *[b for b in bounds if abs(b) < 2.0**63], float("inf")], inputCol="__position", outputCol="slice")

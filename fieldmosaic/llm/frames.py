@@ -59,8 +59,19 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    ship(df.sparkSession)
+    """``mapInArrow`` with the package on the workers.
+
+    A batch of whole texts is much larger than one of numbers, so a session that has
+    Spark's default of 10,000 rows a batch is set to 1,000.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     return df.mapInArrow(work, schema)
 
 
@@ -82,9 +93,13 @@ def input_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def buckets_for(spark: SparkSession, size: int, per_bucket: int) -> int:
-    """How many buckets of about ``per_bucket`` hold ``size``; at least one per shuffle partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // per_bucket), 1)
+def buckets_for(spark: SparkSession, size: int, per_bucket: int, most: int) -> int:
+    """How many buckets of about ``per_bucket`` hold ``size``: one per shuffle partition at least, and otherwise ``most``.
+
+    Where every block of input sends a row to every bucket, ``most`` keeps these
+    rows from becoming many and tiny; larger inputs get larger buckets.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(-(-size // per_bucket), most), 1)
 
 
 class KeyFilter:

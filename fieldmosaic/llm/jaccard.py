@@ -44,6 +44,8 @@ SKETCH_PARTS = 64
 LONGEST = 8  # of l
 VERIFY_COST = 4  # of one candidate, in scanned postings
 COMPACT = 1 << 21
+FLUSH = 1 << 20  # postings that a task gathers before it sends them
+MOST_BUCKETS = 1 << 14
 
 
 def shingle_sets(found: Words, size: int) -> Iterator[np.ndarray]:
@@ -146,18 +148,11 @@ def _postings(docs: DataFrame, levels: np.ndarray, size: int, percent: int, buck
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            seen: set[int] = set()
-            parts: list[tuple[np.ndarray, int, int, int]] = []
-            for piece in text_slices(rows.column(0)):
-                for shingles in shingle_sets(words(piece, SPACED), size):
-                    key = class_key(shingles) if len(shingles) else None
-                    if key is not None and key not in seen:
-                        seen.add(key)
-                        tokens, l = prefix(shingles, shared.value, percent)
-                        parts.append((tokens, key, len(shingles), l))
-            if not parts:
-                continue
+        seen: set[int] = set()
+        parts: list[tuple[np.ndarray, int, int, int]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
             tokens = np.concatenate([p[0] for p in parts])
             lengths = [len(p[0]) for p in parts]
             keys = np.repeat(np.array([p[1] for p in parts], np.int64), lengths)
@@ -170,7 +165,23 @@ def _postings(docs: DataFrame, levels: np.ndarray, size: int, percent: int, buck
             lists = [
                 pa.ListArray.from_arrays(cut, pa.array(c[order])) for c in (tokens.view(np.int64), keys, sizes)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], ["bucket", "tokens", "classes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], ["bucket", "tokens", "classes", "sizes"])
+
+        for rows in batches:
+            for piece in text_slices(rows.column(0)):
+                for shingles in shingle_sets(words(piece, SPACED), size):
+                    key = class_key(shingles) if len(shingles) else None
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        tokens, l = prefix(shingles, shared.value, percent)
+                        parts.append((tokens, key, len(shingles), l))
+                        held += len(tokens)
+                if held >= FLUSH:
+                    yield flush()
+                    parts.clear(), seen.clear()
+                    held = 0
+        if parts:
+            yield flush()
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows are kept per distinct token; the run of a frequent token leaves as it
@@ -336,7 +347,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     profile = written(_profile(docs, size, bits), "profile")
     sets = profile.where(F.col("part").isNull()).select("doc_id", F.col("n"), "class")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    buckets = buckets_for(spark, total * (100 - percent) // 100, 1 << 20)
+    buckets = buckets_for(spark, total * (100 - percent) // 100, 1 << 20, MOST_BUCKETS)
     postings = written(_postings(docs, _levels(profile, bits, total), size, percent, buckets), "postings")
     shown = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("shown"))
     near = _verified(docs, _hub_pairs(postings, percent), shown, size, percent)

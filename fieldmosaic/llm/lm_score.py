@@ -9,7 +9,8 @@ Documents are cut into blocks that are written once as token numbers and the blo
 sorted word hashes. Every block sends its distinct n-grams, split by hash into buckets;
 a bucket adds up the counts of all blocks and sends each block the totals in the order
 in which the block named its n-grams. So each n-gram travels once per block, and
-everything that is gathered grows with the corpus.
+everything that is gathered grows with the corpus. Inputs beyond a few hundred gigabytes want
+larger blocks (BLOCK_TOKENS), so that a block's rows for the buckets stay worth sending.
 """
 
 from __future__ import annotations
@@ -278,7 +279,7 @@ def score_documents(docs: DataFrame, training: Column, deleted: Column, held_out
     """
     spark = docs.sparkSession
     if buckets is None:
-        buckets = buckets_for(spark, input_bytes(docs.select(F.col("text").cast("string").alias("text"))), 1 << 24)
+        buckets = buckets_for(spark, input_bytes(docs.select(F.col("text").cast("string").alias("text"))), 1 << 24, BLOCK_TOKENS // 512)
     kind = F.when(~training, TEST).when(deleted, DELETED).otherwise(TRAIN).cast("int")
     blocks = _blocks(docs, kind)
     totals = _totals(blocks, buckets)

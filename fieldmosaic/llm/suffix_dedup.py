@@ -16,7 +16,7 @@ An anchor with more than ``index_contexts`` different contexts is too much for o
 task; its strings are counted by hash instead, which gives the same marks.
 
 Blocks of documents send each distinct hash once, and learn in the same order whether it
-is repeated.
+is repeated. Inputs beyond a few hundred gigabytes want larger blocks (BLOCK_BYTES).
 """
 
 from __future__ import annotations
@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, index_contexts: int = INDEX_CONTEXTS, digest
     """
     spark = docs.sparkSession
     size = input_bytes(docs.select(F.col("text").cast("string").alias("text")))
-    buckets = buckets_for(spark, size, 1 << 24)
+    buckets = buckets_for(spark, size, 1 << 24, BLOCK_BYTES // 4096)
     blocks = _blocks(docs)
     contexts = _contexts(blocks, _repeats(blocks, buckets), buckets)
     around = contexts.where(F.col("anchor").isNotNull())
