@@ -40,8 +40,8 @@ LEAST = 200
 CORE = 144
 SIDE = LEAST - CORE  # bytes of context beside the core that a string may have
 BLOCK_BYTES = 6 << 20
-STRETCH = 1 << 20
-INDEX_SYMBOLS = 1 << 20
+STRETCH = 1 << 19
+INDEX_SYMBOLS = 1 << 19
 INDEX_CONTEXTS = 20_000
 
 _BLOCK = "block long, doc_ids array<long>, starts binary, text binary"
@@ -282,12 +282,12 @@ def run_index(symbols: np.ndarray, breaks: np.ndarray, longest: int) -> RunIndex
     Substrings longer than ``longest`` symbols must differ.
     """
     size = len(symbols)
-    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
     span = 1
     while span < longest:
-        ahead = np.zeros(size, np.int64)
-        ahead[: max(size - span, 0)] = ranks[-1][span:] + 1
-        ranks.append(np.unique(ranks[-1] * (size + 1) + ahead, return_inverse=True)[1].astype(np.int64))
+        pairs = ranks[-1].astype(np.int64) * (size + 1)
+        pairs[: max(size - span, 0)] += ranks[-1][span:] + 1
+        ranks.append(np.unique(pairs, return_inverse=True)[1].astype(np.int32))
         span *= 2
     order = np.argsort(ranks[-1], kind="stable")
     before = symbols[order - 1].copy()
