@@ -14,22 +14,24 @@ Walks are advanced in lockstep for all texts of a batch.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import strings
 from .components import components
-from .frames import arrow_map, batch, buckets_for, id_and_text, input_bytes, table
+from .frames import arrow_map, batch, buckets_for, id_and_text, input_bytes, table, written
 from .registry import query
 
 SLOTS = 128
 RUN = 2
 SEED = 20_240_607
+CROWD = 32  # classes of a bucket whose pairs are listed as they are
 MOST_SLICES = 20_000  # of the id range; their edges are known to the driver
 _ROWS = 1024  # steps whose random bits are drawn at once
 
@@ -108,25 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(id_and_text(docs), work, "doc_id long, fingerprint string")
 
 
-def near_documents(prints: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
-    """``(doc_id, component_id)`` over links of likeness ``least`` found by bit-sampled bands.
-
-    Documents of equal fingerprints are one class. In a band, every class of a bucket
-    is compared with the bucket's lowest class, so a large bucket costs its size and
-    not its square; each pair is verified on the whole fingerprint.
-    """
-    classes = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
-    rng = np.random.default_rng(SEED)
-    picks = [sorted(rng.choice(SLOTS, rows, replace=False).tolist()) for _ in range(bands)]
-    keys = F.array(*[F.concat(*[F.substring("fingerprint", 2 * s + 1, 2) for s in pick]) for pick in picks])
-    banded = classes.select("class", "fingerprint", F.posexplode(keys).alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min(F.struct("class", "fingerprint")).alias("head"), F.count("*").alias("size"))
-    pairs = (
-        banded.join(heads.where("size > 1"), ["band", "key"])
-        .where(F.col("head.class") != F.col("class"))
-        .select(F.col("head.class").alias("a"), F.col("head.fingerprint").alias("x"), F.col("class").alias("b"), F.col("fingerprint").alias("y"))
-        .distinct()
-    )
+def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes whose whole fingerprints are alike."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -136,14 +121,85 @@ def near_documents(prints: DataFrame, least: float = 0.8, bands: int = 32, rows:
             keep = pa.array(np.flatnonzero(likeness(one, two) >= least))
             yield batch({"a": some.column("a").take(keep), "b": some.column("b").take(keep)})
 
-    linked = components(arrow_map(pairs, verify, "a long, b long"))
+    whole = pairs.join(classes.select(F.col("class").alias("a"), F.col("fingerprint").alias("x")), "a").join(
+        classes.select(F.col("class").alias("b"), F.col("fingerprint").alias("y")), "b"
+    )
+    return written(arrow_map(whole.select("a", "b", "x", "y"), verify, "a long, b long"), "verified")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of keys that classes of different components hold, with the number of holders."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(keys.where("low <> high").select("key", "holders"), "key")
+
+
+def _narrowed(crowded: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Rows of large buckets under finer keys that every link between components still shares.
+
+    Slots are taken in twos. A link agrees in ``share`` twos at least, all of them held in
+    the bucket by several components; of the r such twos that a class has, one among the
+    rarest r - share + 1 is shared.
+    """
+    share = SLOTS // 2 - (SLOTS - math.ceil(least * SLOTS))
+    if share < 1:
+        return crowded.select("class", "component", "key")
+    twos = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 2 - 1)), lambda i: F.col("fingerprint").substr(4 * i + 1, F.lit(4)))
+    finer = (
+        crowded.select("class", "component", "key").join(classes.select("class", "fingerprint"), "class")
+        .select("class", "component", F.col("key").alias("bucket"), F.posexplode(twos).alias("place", "two"))
+        .select("class", "component", "bucket", F.xxhash64("bucket", "place", "two").alias("key"))
+    )
+    one = Window.partitionBy("class", "bucket")
     return (
-        prints.join(classes, "fingerprint", "left")
-        .join(linked, F.col("class") == F.col("node"), "left")
-        .select("doc_id", F.coalesce("component", "class", "doc_id").alias("component_id"))
+        _mixed(finer)
+        .withColumn("rank", F.row_number().over(one.orderBy("holders", "key")))
+        .withColumn("reach", F.count("*").over(one))
+        .where(F.col("rank") <= F.col("reach") - share + 1)
+        .select("class", "component", "key")
     )
 
 
+def near_classes(prints: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+    """``(fingerprint, component_id)`` over links of likeness ``least`` that agree in a bit-sampled band.
+
+    Documents of equal fingerprints are one class. First, every class of a bucket is compared
+    with one class of the bucket, so a group of near copies costs its size and not its square.
+    Then the pairs of different components in a bucket are looked for, in buckets of more than
+    ``CROWD`` classes under finer keys. Each pair is verified on the whole fingerprint, so
+    components are those of all links that share a band.
+    """
+    found = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    classes = written(found.select(F.xxhash64("fingerprint").alias("class"), "fingerprint", "first_id"), "classes")
+    rng = np.random.default_rng(SEED)
+    picks = [sorted(rng.choice(SLOTS, rows, replace=False).tolist()) for _ in range(bands)]
+    keys = [F.xxhash64(F.lit(i), *[F.substring("fingerprint", 2 * s + 1, 2) for s in pick]) for i, pick in enumerate(picks)]
+    banded = classes.select("class", F.explode(F.array(*keys)).alias("key"))
+    heads = banded.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size"))
+    met = written(banded.join(heads.where("size > 1"), "key"), "buckets")
+    pairs = met.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    near = _verified(pairs, classes, least)
+    placed = met.join(components(near), F.col("class") == F.col("node"), "left").select(
+        "class", "key", "size", F.coalesce("component", "class").alias("component")
+    )
+    apart = written(_mixed(placed), "apart")
+    finer = _narrowed(apart.where(F.col("size") > CROWD), classes, least)
+    cross = written(_mixed(apart.where(F.col("size") <= CROWD).select("class", "component", "key").unionByName(finer)), "cross")
+    other = cross.select("key", F.col("class").alias("b"), F.col("component").alias("other_component"))
+    pairs = cross.join(other, "key").where((F.col("class") < F.col("b")) & (F.col("component") != F.col("other_component")))
+    far = _verified(pairs.select(F.col("class").alias("a"), "b").distinct(), classes, least)
+    joined = classes.join(components(near.unionByName(far)), F.col("class") == F.col("node"), "left").select(
+        "fingerprint", "first_id", F.coalesce("component", "class").alias("component")
+    )
+    lowest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return joined.join(lowest, "component").select("fingerprint", "component_id")
+
+
+def near_documents(prints: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest id of the component that ``near_classes`` finds."""
+    placed = near_classes(prints, least, bands, rows)
+    return prints.select("doc_id", "fingerprint").join(placed, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def with_next(docs: DataFrame, slice_bytes: int = 1 << 23) -> DataFrame:
     """Rows ``(slice, halo, doc_id, text)``, partitioned and sorted so that the next document follows.
 
@@ -207,7 +263,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple
 
 @query("op6_edit_embedding")
 def op6_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprint of every document and of its text with the second half taken from the next one."""
+    """Fingerprint of every document, of its text with the second half taken from the next one, and its near documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _pairs(batches, 3 << 20):
@@ -228,7 +284,8 @@ def op6_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
                 doc_id=pa.int64(), n_chars=pa.int64(),
             )
 
-    return arrow_map(
+    made = written(arrow_map(
         with_next(table(spark, folder, "documents")), work,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-    )
+    ), "fingerprints")
+    return made.join(near_classes(made), "fingerprint", "left").select(*made.columns, "component_id")

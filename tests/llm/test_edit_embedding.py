@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pytest
 
 from fieldmosaic.llm import edit_embedding as E
 from fieldmosaic.llm.frames import table
@@ -80,3 +81,35 @@ def test_near_documents(documents):
     pairs = [(10 * i, t) for i, t in enumerate(base)] + [(1, base[0]), (2, base[0]), (11, base[1][:1000] + "x" + base[1][1000:]), (99, None), (98, "")]
     found = {r.doc_id: r.component_id for r in E.near_documents(E.fingerprints(documents(pairs))).collect()}
     assert found[1] == found[2] == found[0] == 0 and found[11] == 10 and found[20] == 20 and found[99] == found[98] == 98
+
+
+@pytest.mark.parametrize("crowd", [1, 32, 10_000])
+def test_near_documents_whose_head_is_a_stranger(rows, monkeypatch, crowd):
+    """Slots of two values fill every bucket with strangers; likenesses lie on both sides of the limit."""
+    monkeypatch.setattr(E, "CROWD", crowd, raising=False)
+    rng = np.random.default_rng(9)
+    prints = [rng.integers(0, 2, E.SLOTS, dtype=np.uint8) for _ in range(300)]
+    for start in range(100):
+        for _ in range(2):
+            changed = prints[-1 if _ else start].copy()
+            changed[rng.choice(E.SLOTS, int(rng.integers(15, 32)), replace=False)] ^= 1
+            prints.append(changed)
+    whole = np.array(prints)
+    picks = np.random.default_rng(E.SEED)
+    shared = np.zeros((len(whole), len(whole)), bool)
+    for pick in [sorted(picks.choice(E.SLOTS, 4, replace=False).tolist()) for _ in range(32)]:
+        shared |= (whole[:, None, pick] == whole[None, :, pick]).all(axis=2)
+    linked = shared & ((whole[:, None] == whole[None]).mean(axis=2) >= 0.8)
+    expected = np.arange(len(whole))
+    while (lower := np.where(linked, expected[None], len(whole)).min(axis=1)).tolist() != expected.tolist():
+        expected = lower
+    assert 100 < len(set(expected.tolist())) < 400
+    table_of_prints = rows("doc_id long, fingerprint string", [(i, p.tobytes().hex()) for i, p in enumerate(prints)])
+    found = {r.doc_id: r.component_id for r in E.near_documents(table_of_prints).collect()}
+    assert found == dict(enumerate(expected.tolist()))
+
+
+def test_query_names_near_documents(spark):
+    found = E.op6_edit_embedding(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect()
+    near = {r.doc_id: r.component_id for r in E.near_documents(spark.createDataFrame(found)).collect()}
+    assert {r.doc_id: r.component_id for r in found} == near
