@@ -14,6 +14,7 @@ last cut of a stretch is carried into the next, so memory does not grow with a t
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -42,25 +43,37 @@ SCHEMA = (
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The vocabulary file as a fast encoder of the same ids, and which ids end a sentence."""
+def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray, dict[str, int], re.Pattern | None]:
+    """The vocabulary file as a fast encoder of the same ids, which ids end a sentence, its added tokens, and what finds them."""
     with open(path, encoding="utf-8") as source:
         kept = json.load(source)
-    special = {t["id"] for t in kept["added_tokens"]}
+    added = {t["content"]: t["id"] for t in kept["added_tokens"]}
+    if any(t[flag] for t in kept["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: only added tokens that stand for their plain content are known")
+    special = set(added.values())
     # byte-level vocabularies write every byte as one printable character
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in kept["model"]["vocab"].items() if i not in special}
-    ends = np.zeros(max(ranks.values(), default=0) + 1, dtype=bool)
+    ends = np.zeros(max([*ranks.values(), *special], default=0) + 1, dtype=bool)
     for token, i in ranks.items():
         ends[i] = b"\n" in token or token.rstrip()[-1:] in (b".", b"!", b"?")
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    # of added tokens that begin at one place the longest counts
+    finder = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends, added, finder
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """Ids of a text, then END."""
-    return np.array([*encoder(path)[0].encode_ordinary(text), END], dtype=np.uint32)
+    """Ids of a text, then END. An added token is one id wherever its content stands; the text between is encoded by itself."""
+    plain, _, added, finder = encoder(path)
+    ids: list[int] = []
+    for i, part in enumerate(finder.split(text) if finder else [text]):
+        if i % 2:
+            ids.append(added[part])
+        elif part:
+            ids += plain.encode_ordinary(part)
+    return np.array([*ids, END], dtype=np.uint32)
 
 
 def candidate_cuts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

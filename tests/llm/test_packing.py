@@ -104,3 +104,15 @@ def test_candidates_end_with_the_document():
 def test_odd_texts(odd_documents, no_documents):
     check([(r.doc_id, r.text) for r in odd_documents.collect()], P.pack(odd_documents, PATH).collect(), P.LENGTH)
     assert P.pack(no_documents, PATH).collect() == []
+
+
+def test_added_tokens_are_one_id(documents):
+    mark = "<|endoftext|>"
+    texts = [
+        mark, f"{mark}begins. And goes on", f"a{mark}b", f"ends\n{mark}", f"white space \n {mark}  around\t{mark} it", mark * 3,
+        f"<{mark}>", "<|endoftext|", "|endoftext|>", "<|ENDOFTEXT|>", f"<|endof{mark}text|>", f"'ll{mark}'ll", f"漢{mark}\U0001f600", "plain",
+    ]
+    for text in texts:
+        assert P.token_ids(text, PATH).tolist() == plain_ids(text)
+    docs = list(enumerate(texts))
+    check(docs, P.pack(documents(docs), PATH).collect(), P.LENGTH)
