@@ -56,8 +56,11 @@ _SCRIPTS = {
     "cyrillic": ("А-ЯЁ", "а-яё"),
     "greek": ("Α-Ω", "α-ωάέήίόύώς"),
 }
-_WORD = "(?:" + "|".join(f"[{up}][{low}]+" for up, low in _SCRIPTS.values()) + ")"
-_NAME = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})\.? ({_WORD})(?: ({_WORD}))?(?!\w)")
+# with inner capitals (McDonald), after an apostrophe (O'Brien), hyphenated
+_PARTS = [rf"(?:[{up}]['’])?(?:[{up}][{low}]+)+" for up, low in _SCRIPTS.values()]
+_WORD = "(?:" + "|".join(f"{part}(?:-{part})*" for part in _PARTS) + ")"
+_INITIALS = "(?:[" + "".join(up for up, _ in _SCRIPTS.values()) + r"]\. ?)*"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})\.? (?:({_WORD}) )?({_INITIALS})({_WORD})(?!\w)")
 #: Syllables of surrogate names, and their endings by gender ("" for a family name).
 _SYLLABLES = {
     "latin": ("ba", "be", "da", "do", "el", "fa", "ga", "hi", "jo", "ka", "la", "le", "li", "ma", "me", "mi", "na", "ni", "ra", "ro", "sa", "ta", "ti", "va"),
@@ -135,12 +138,19 @@ def detect(text: str) -> list[Span]:
         for m in _PHONE.finditer(text):
             if 7 <= len(_digits(m.group())) <= 15:
                 add("phone", m, _digits(m.group()))
+    names: dict[str, tuple[str, str]] = {}
     for m in _NAME.finditer(text):
-        script, gender = _script(m.group(2)), _GENDER[m.group(1)]
-        if m.group(3):
-            add(f"given:{gender}:{script}", m, m.group(2).lower(), 2)
-        part = 3 if m.group(3) else 2
-        add(f"family::{_script(m.group(part))}", m, m.group(part).lower(), part)
+        given, family = m.group(2), m.group(4)
+        if given:
+            names.setdefault(given, (f"given:{_GENDER[m.group(1)]}:{_script(given)}", given.lower()))
+            found.append(Span(m.start(2), m.end(2), *names[given], given))
+        names.setdefault(family, (f"family::{_script(family)}", family.lower()))
+        found.append(Span(m.start(3), m.end(4), *names[family], text[m.start(3) : m.end(4)]))
+    if names:
+        # a name found once is the same name wherever else the text has it
+        again = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
+        for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text):
+            add(names[m.group()][0], m, names[m.group()][1])
     kept: list[Span] = []
     for span in found:
         if all(span.end <= k.begin or span.begin >= k.end for k in kept):
@@ -220,7 +230,9 @@ def render(kind: str, surface: str, value: str) -> str:
     if kind == "email":
         return value.upper() if surface.isupper() else value.capitalize() if surface[:1].isupper() else value
     if kind.partition(":")[0] in ("given", "family"):
-        return value.capitalize()
+        # initials before a name become letters of its surrogate
+        opening = re.match(_INITIALS, surface).group()
+        return "".join(value[ord(c) % len(value)].upper() if c.isalpha() else c for c in opening) + value.capitalize()
     return value
 
 

@@ -103,3 +103,23 @@ def test_odd_tables(odd_documents, no_documents):
 def test_redraws_differ_and_may_widen(attempt):
     for kind, original in (("email", "a@b.co"), ("phone", "5551234"), ("ip", "1.1.1.1"), ("secret", "abcdef"), ("card", "4012888888881881"), ("given:m:greek", "άρης")):
         assert P.surrogate(kind, original, KEY, attempt) != P.surrogate(kind, original, KEY, attempt + 1)
+
+
+@pytest.mark.parametrize("name", ["McDonald", "O'Brien", "O’Brien", "Smith-Jones", "D'Angelo-MacLeod", "Иванов-Петров"])
+def test_forms_of_names(name):
+    for text, surface in [(f"Mr {name}'s dog", name), (f"Mr J. {name} left", f"J. {name}"), (f"Ms. J.R. {name}.", f"J.R. {name}")]:
+        assert [(s.surface, s.original) for s in P.detect(text)] == [(surface, name.lower())]
+    assert [s.surface for s in P.detect(f"Mrs Anna K. {name} left")] == ["Anna", f"K. {name}"]
+
+
+def test_later_bare_mentions_have_the_same_surrogate(documents):
+    text = "Smith rang. Mrs Anna Smith met us. Smith said Anna's Smithy is Annas; Mr J. Smith agreed."
+    found = P.detect(text)
+    assert [s.surface for s in found] == ["Smith", "Anna", "Smith", "Smith", "Anna", "J. Smith"]
+    assert all(text[s.begin : s.end] == s.surface for s in found)
+    (row,) = P.pseudonymise(documents([(1, text)]), b"k", count="n_entities").collect()
+    family, _, rest = row.text.partition(" rang. Mrs ")
+    given = rest.split()[0]
+    said = rf"{given} {family} met us\. {family} said {given}'s Smithy is Annas; Mr [A-Z]\. {family} agreed\."
+    assert row.n_entities == 6 and re.fullmatch(said, rest) and family != "Smith" and given != "Anna"
+    assert [s.surface for s in P.detect("Smith said Anna left")] == []
