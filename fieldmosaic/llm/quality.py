@@ -164,7 +164,7 @@ def _gradients(net: Network, piece: Slice, target: np.ndarray, weight: np.ndarra
 def fit(
     texts: Sequence[str], labels: Sequence[int], share: float = 0.5, seed: int = 7, steps: int = 400, size: int = 48
 ) -> Network:
-    """About ``steps`` steps of Adam on the cross-entropy; label 1 weighs ``share`` in sum, as it does among all labels."""
+    """About ``steps`` steps of Adam on the cross-entropy; label 1 weighs ``share`` in sum, as it does among the labels it may learn from."""
     net = Network.fresh(seed)
     if not len(texts):
         return net
@@ -192,21 +192,22 @@ def fit(
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, sample_bytes: int) -> tuple[list, float]:
-    """Labelled texts, both labels by the lowest hashes of the ids, and the share of label 1 among all labels."""
+    """Labelled texts, both labels by the lowest hashes of the ids, and the share of label 1 among the labels of usable texts."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), usable.alias("__use"))
+    narrow = narrow.where(F.col("__use") & F.col("__text").isNotNull() & (F.octet_length("__text") <= sample_bytes))
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("__label_id"), F.col("quality").cast("int").alias("__label"))
         .where("__label IS NOT NULL AND __label_id IS NOT NULL")
         .groupBy("__label_id").agg(F.min("__label").alias("__label"))
+        .join(narrow.select("__id"), F.col("__label_id") == F.col("__id"), "left_semi")
     )
     known = marked.agg(F.avg("__label")).first()[0]
     rows = []
     for value in (0, 1):
-        # the sample of ids is bounded, so it may be broadcast; a reserve covers ids that cannot be used
-        some = marked.where(F.col("__label") == value).orderBy(F.xxhash64("__label_id"), "__label_id").limit(2 * per_class)
+        # the sample of ids is bounded, so it may be broadcast
+        some = marked.where(F.col("__label") == value).orderBy(F.xxhash64("__label_id"), "__label_id").limit(per_class)
         rows += (
-            narrow.where(F.col("__use") & F.col("__text").isNotNull() & (F.octet_length("__text") <= sample_bytes))
-            .join(F.broadcast(some), F.col("__id") == F.col("__label_id"))
+            narrow.join(F.broadcast(some), F.col("__id") == F.col("__label_id"))
             .orderBy(F.xxhash64("__id"), "__id", "__text")
             .limit(per_class)
             .select("__text", "__label")

@@ -73,3 +73,16 @@ def test_odd_texts(odd_documents, no_documents, rows):
     assert kept.columns == odd_documents.columns and kept.count() == 11
     assert Q.accepted(odd_documents, net, 1.1).count() == 0
     assert Q.classify(no_documents, Q.train(no_documents, labels.limit(0), F.lit(True)), F.lit(True)).collect() == []
+
+
+def test_sample_sees_no_label_it_may_not_learn(documents, rows):
+    docs = documents([(i, f"text {i}") for i in range(40)])
+    usable = F.col("doc_id") % 8 == 0
+
+    def found(other):
+        labels = [(i, int(i % 16 == 0) if i % 8 == 0 else other) for i in range(40)] + [(i, other) for i in range(100, 140)]
+        picked, share = Q.sample(docs, rows("doc_id long, quality int", labels), usable, 2, 1 << 15)
+        return sorted(tuple(r) for r in picked), share
+
+    assert found(0) == found(1)
+    assert len(found(1)[0]) == 4 and found(1)[1] == 0.6
