@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bisectors, decontaminate, divergence, edit_embedding, jaccard, language_id, lm_score, packing, pii, quality, suffix_dedup, url_filter  # noqa: F401
+from . import bisectors, byte_pairs, decontaminate, divergence, edit_embedding, jaccard, language_id, lm_score, packing, pii, quality, suffix_dedup, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
