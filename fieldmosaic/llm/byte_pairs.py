@@ -59,17 +59,18 @@ class Transducer:
             raise ValueError("every byte has to be a token")
         self.ranks = ranks
         self.tokens = {number: token for token, number in ranks.items()}
-        self.children: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
-        places = 1
+        # of each place in the trie: the places behind it, and the token that ends there
+        self.children: list[dict[int, int]] = [{}]
+        self.token_at = [self.NONE]
         for token, number in ranks.items():
             place = self.ROOT
             for byte in token:
-                arc = place << 8 | byte
-                place = self.children.get(arc, 0)
-                if not place:
-                    place = self.children[arc] = places
-                    places += 1
+                on = self.children[place].get(byte)
+                if on is None:
+                    on = self.children[place][byte] = len(self.children)
+                    self.children.append({})
+                    self.token_at.append(self.NONE)
+                place = on
             self.token_at[place] = number
         self.parts: dict[int, tuple[int, int] | None] = {}
         self._forget()
@@ -135,7 +136,7 @@ class Transducer:
         state = self.states.get(configurations)
         if state is None:
             last, place, _ = configurations[0]
-            whole = self.token_at.get(place, self.NONE) if last == self.NONE else self.NONE
+            whole = self.token_at[place] if last == self.NONE else self.NONE
             # a piece that is one token as a whole is that token
             ending = (whole,) if whole != self.NONE else configurations[-1][2]
             state = self.states[configurations] = State(configurations, _packed(ending))
@@ -144,15 +145,17 @@ class Transducer:
     def _arc(self, state: State, byte: int) -> tuple[State, bytes]:
         """The determinised step: configurations that go on, and the one of the token that ends here."""
         moved, ended = [], None
-        children, token_at = self.children, self.token_at
+        children, token_at, none = self.children, self.token_at, self.NONE
         for last, place, unsent in state.configurations:
-            on = children.get(place << 8 | byte)
+            on = children[place].get(byte)
             if on is None:
                 continue
-            moved.append((last, on, unsent))
+            # nothing goes on behind a leaf, but the piece may end there and be one token
+            if children[on] or last == none:
+                moved.append((last, on, unsent))
             # one token at most can be the last before this place
-            if ended is None and (token := token_at.get(on)) is not None:
-                if self._stands(token) if last == self.NONE else self.stay_apart(last, token):
+            if ended is None and (token := token_at[on]) != none:
+                if self._stands(token) if last == none else self.stay_apart(last, token):
                     ended = (token, self.ROOT, (*unsent, token))
         if ended is None:
             raise ValueError("the ranks are not in the order of merges")
@@ -175,7 +178,8 @@ class Transducer:
             self._forget()
         state, out = self.start, []
         for byte in data:
-            state, sent = state.arcs.get(byte) or self._arc(state, byte)
+            arc = state.arcs.get(byte)
+            state, sent = self._arc(state, byte) if arc is None else arc
             if sent:
                 out.append(sent)
         out.append(state.ending)
