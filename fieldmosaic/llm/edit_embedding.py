@@ -19,18 +19,24 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import strings
-from .components import components
-from .frames import arrow_map, batch, buckets_for, id_and_text, input_bytes, table, written
+from .components import components, joined
+from .frames import arrow_map, batch, buckets_for, discard, id_and_text, input_bytes, table, written
 from .registry import query
 
 SLOTS = 128
-RUN = 2
+RUN = 4
 SEED = 20_240_607
+# Links: this share of equal slots, in a band of equal slots. Texts of some thousand characters with two
+# random edits in a thousand are linked at a recall above 0.9; unrelated ones agree in about 2 % of slots.
+LEAST = 0.5
+BANDS = 16
+BAND_SLOTS = 5
 CROWD = 32  # classes of a bucket whose pairs are listed as they are
 MOST_SLICES = 20_000  # of the id range; their edges are known to the driver
 _ROWS = 1024  # steps whose random bits are drawn at once
@@ -51,11 +57,12 @@ def _events(limit: int) -> dict[int, list[tuple[int, int]]]:
     """Per step: the slots that read there, with the number of the read."""
     events: dict[int, list[tuple[int, int]]] = {}
     for slot in range(SLOTS):
-        for step in _records(slot, limit):
-            for turn in range(RUN):
+        records = _records(slot, limit)
+        for step, anew in zip(records, [*records[1:], limit + RUN]):
+            # a slot that starts anew does not go on with what it read before
+            for turn in range(min(RUN, anew - step)):
                 events.setdefault(step + turn, []).append((slot, turn))
-    # a slot that starts anew outranks one that goes on
-    return {step: sorted(some, key=lambda e: -e[1]) for step, some in events.items()}
+    return events
 
 
 def embed(texts: Sequence[str]) -> np.ndarray:
@@ -115,9 +122,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
-            one, two = (
-                np.frombuffer(bytes.fromhex("".join(some.column(c).to_pylist())), np.uint8).reshape(len(some), SLOTS) for c in ("x", "y")
-            )
+            one, two = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(len(some), SLOTS) for c in ("x", "y"))
             keep = pa.array(np.flatnonzero(likeness(one, two) >= least))
             yield batch({"a": some.column("a").take(keep), "b": some.column("b").take(keep)})
 
@@ -136,18 +141,21 @@ def _mixed(rows: DataFrame) -> DataFrame:
 def _narrowed(crowded: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Rows of large buckets under finer keys that every link between components still shares.
 
-    Slots are taken in twos. A link agrees in ``share`` twos at least, all of them held in
-    the bucket by several components; of the r such twos that a class has, one among the
-    rarest r - share + 1 is shared.
+    Slots are taken in runs. A link differs in ``SLOTS - least`` slots at most, so it agrees in
+    ``share`` whole runs at least, all of them held in the bucket by several components; of the r
+    such runs that a class has, one among the rarest r - share + 1 is shared.
     """
-    share = SLOTS // 2 - (SLOTS - math.ceil(least * SLOTS))
+    differing = SLOTS - math.ceil(least * SLOTS)
+    size = max(1, min(3, SLOTS // (differing + 1)))
+    runs = SLOTS // size
+    share = runs - differing
     if share < 1:
         return crowded.select("class", "component", "key")
-    twos = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 2 - 1)), lambda i: F.col("fingerprint").substr(4 * i + 1, F.lit(4)))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda i: F.substring("fingerprint", size * i + 1, F.lit(size)))
     finer = (
         crowded.select("class", "component", "key").join(classes.select("class", "fingerprint"), "class")
-        .select("class", "component", F.col("key").alias("bucket"), F.posexplode(twos).alias("place", "two"))
-        .select("class", "component", "bucket", F.xxhash64("bucket", "place", "two").alias("key"))
+        .select("class", "component", F.col("key").alias("bucket"), F.posexplode(parts).alias("place", "part"))
+        .select("class", "component", "bucket", F.xxhash64("bucket", "place", "part").alias("key"))
     )
     one = Window.partitionBy("class", "bucket")
     return (
@@ -159,53 +167,72 @@ def _narrowed(crowded: DataFrame, classes: DataFrame, least: float) -> DataFrame
     )
 
 
-def near_classes(prints: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_classes(prints: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = BAND_SLOTS, crowd: int = CROWD) -> DataFrame:
     """``(fingerprint, component_id)`` over links of likeness ``least`` that agree in a bit-sampled band.
 
-    Documents of equal fingerprints are one class. First, every class of a bucket is compared
-    with one class of the bucket, so a group of near copies costs its size and not its square.
-    Then the pairs of different components in a bucket are looked for, in buckets of more than
-    ``CROWD`` classes under finer keys. Each pair is verified on the whole fingerprint, so
-    components are those of all links that share a band.
+    ``prints(doc_id, fingerprint)`` has fingerprints of ``SLOTS`` bytes; only those that several rows
+    hold, or that have a link, are returned. Rows of equal fingerprints are one class. First, every
+    class of a bucket is compared with one class of the bucket, so a group of near copies costs its
+    size and not its square. Then the pairs of different components in a bucket are looked for, in
+    buckets of more than ``crowd`` classes under finer keys. Each pair is verified on the whole
+    fingerprint, so components are those of all links that share a band. Null fingerprints and ids
+    are left out; repeated rows add nothing; an empty table gives no rows.
     """
-    found = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    classes = written(found.select(F.xxhash64("fingerprint").alias("class"), "fingerprint", "first_id"), "classes")
+    found = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    classes = written(found.select(F.xxhash64("fingerprint").alias("class"), "fingerprint", "first_id", "rows"), "classes")
     rng = np.random.default_rng(SEED)
     picks = [sorted(rng.choice(SLOTS, rows, replace=False).tolist()) for _ in range(bands)]
-    keys = [F.xxhash64(F.lit(i), *[F.substring("fingerprint", 2 * s + 1, 2) for s in pick]) for i, pick in enumerate(picks)]
+    keys = [F.xxhash64(F.lit(i), *[F.substring("fingerprint", s + 1, 1) for s in pick]) for i, pick in enumerate(picks)]
     banded = classes.select("class", F.explode(F.array(*keys)).alias("key"))
-    heads = banded.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size"))
-    met = written(banded.join(heads.where("size > 1"), "key"), "buckets")
+    # few bands are held by two classes: those are written, so that the join knows their size
+    heads = written(banded.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
+    met = written(banded.join(heads, "key"), "buckets")
+    involved = written(classes.join(met.select("class").distinct(), "class", "left_semi"), "involved")
     pairs = met.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    near = _verified(pairs, classes, least)
-    placed = met.join(components(near), F.col("class") == F.col("node"), "left").select(
+    near = _verified(pairs, involved, least)
+    placed = components(near)
+    own = met.join(placed, F.col("class") == F.col("node"), "left").select(
         "class", "key", "size", F.coalesce("component", "class").alias("component")
     )
-    apart = written(_mixed(placed), "apart")
-    finer = _narrowed(apart.where(F.col("size") > CROWD), classes, least)
-    cross = written(_mixed(apart.where(F.col("size") <= CROWD).select("class", "component", "key").unionByName(finer)), "cross")
+    apart = written(_mixed(own), "apart")
+    finer = _narrowed(apart.where(F.col("size") > crowd), involved, least)
+    cross = written(_mixed(apart.where(F.col("size") <= crowd).select("class", "component", "key").unionByName(finer)), "cross")
+    discard(heads, met, apart)
     other = cross.select("key", F.col("class").alias("b"), F.col("component").alias("other_component"))
     pairs = cross.join(other, "key").where((F.col("class") < F.col("b")) & (F.col("component") != F.col("other_component")))
-    far = _verified(pairs.select(F.col("class").alias("a"), "b").distinct(), classes, least)
-    joined = classes.join(components(near.unionByName(far)), F.col("class") == F.col("node"), "left").select(
+    far = _verified(pairs.select(F.col("class").alias("a"), "b").distinct(), involved, least)
+    whole = joined(placed, far)
+    named = classes.join(whole, F.col("class") == F.col("node"), "left").where("rows > 1 OR node IS NOT NULL").select(
         "fingerprint", "first_id", F.coalesce("component", "class").alias("component")
     )
-    lowest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return joined.join(lowest, "component").select("fingerprint", "component_id")
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    result = written(named.join(lowest, "component").select("fingerprint", "component_id"), "near")
+    discard(classes, involved, cross, near, far)
+    return result
+
 
+def with_components(prints: DataFrame, **how) -> DataFrame:
+    """Rows with ``component_id``: the smallest id of their component in ``near_classes``, otherwise the row's own id."""
+    near = near_classes(prints.select("doc_id", "fingerprint"), **how)
+    return prints.join(near, "fingerprint", "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
-def near_documents(prints: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
-    """``(doc_id, component_id)``: the smallest id of the component that ``near_classes`` finds."""
-    placed = near_classes(prints, least, bands, rows)
-    return prints.select("doc_id", "fingerprint").join(placed, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def near_documents(prints: DataFrame, **how) -> DataFrame:
+    """``(doc_id, component_id)`` of the rows of ``fingerprints``; takes what ``near_classes`` takes.
+
+    A null id has the component of its fingerprint's other rows, or null; repeated rows are returned
+    each; an empty table gives no rows.
+    """
+    return with_components(prints.select("doc_id", F.unhex("fingerprint").alias("fingerprint")), **how).select("doc_id", "component_id")
 
 
 def with_next(docs: DataFrame, slice_bytes: int = 1 << 23) -> DataFrame:
     """Rows ``(slice, halo, doc_id, text)``, partitioned and sorted so that the next document follows.
 
-    The order is descending by id, equal ids by text, null ids last. Documents are cut into
+    The order is descending by id, equal ids by compressed text, null ids last. Documents are cut into
     slices of the id range; the first document of each slice is also sent, as ``halo``, to the
-    slice before it, and the very first one to the last slice.
+    slice before it, and the very first one to the last slice. Texts travel compressed: ``text``
+    is a frame for ``unpacked``. Null texts count as empty; an empty table gives no rows.
     """
     spark = docs.sparkSession
     low = F.lit(-(1 << 63))
@@ -231,13 +258,21 @@ def with_next(docs: DataFrame, slice_bytes: int = 1 << 23) -> DataFrame:
     spread = (
         keyed.join(F.broadcast(edges), (F.col("slice") == F.col("edge_slice")) & (F.col("rank") == F.col("edge_rank")), "left")
         .select("doc_id", "text", "rank", F.explode(targets).alias("to"))
-        .select("to.slice", "to.halo", "doc_id", "text", "rank")
-    )
-    return (
-        spread.repartition(slices, "slice")
-        .sortWithinPartitions("slice", "halo", F.col("rank").desc(), F.col("doc_id").desc_nulls_last(), "text")
-        .select("slice", "halo", "doc_id", "text")
+        .select("to.slice", "to.halo", "doc_id", "text")
     )
+    small = arrow_map(spread, _packed, "slice int, halo boolean, doc_id long, text binary")
+    return small.repartition(slices, "slice").sortWithinPartitions("slice", "halo", F.col("doc_id").desc_nulls_last(), "text")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    work = zstandard.ZstdCompressor(level=3)
+    for rows in batches:
+        frames = [work.compress(t.encode("utf-8", "surrogatepass")) for t in strings(rows.column(3))]
+        yield batch({"slice": rows.column(0), "halo": rows.column(1), "doc_id": rows.column(2), "text": pa.array(frames, pa.binary())})
+
+
+def unpacked(frame: bytes) -> str:
+    return zstandard.decompress(frame).decode("utf-8", "surrogatepass")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -249,7 +284,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple
     """Lists of (id, text, next text) of about ``limit`` characters."""
     held, out, size = None, [], 0
     for rows in batches:
-        for part, halo, doc_id, text in zip(*(rows.column(i).to_pylist() for i in range(3)), strings(rows.column(3))):
+        for part, halo, doc_id, text in zip(*(rows.column(i).to_pylist() for i in range(3)), map(unpacked, rows.column(3).to_pylist())):
             if held is not None and held[0] == part:
                 out.append((held[1], held[2], text))
                 size += len(held[2])
@@ -263,7 +298,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple
 
 @query("op6_edit_embedding")
 def op6_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprint of every document, of its text with the second half taken from the next one, and its near documents."""
+    """Fingerprint of every document, of its text with the second half taken from the next one, and its component of near documents.
+
+    Null texts count as empty, and empty ones are near each other. Repeated rows are documents of their own, each the
+    next one of the other; a single document follows itself; an empty table gives no rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _pairs(batches, 3 << 20):
@@ -279,13 +318,14 @@ def op6_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
             yield batch(
                 {"doc_id": ids, "n_chars": [len(t) for t in texts],
                  "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-                 "fingerprint": [p.tobytes().hex() for p in own], "edited_fingerprint": [p.tobytes().hex() for p in changed],
+                 "fingerprint": [p.tobytes() for p in own], "edited_fingerprint": [p.tobytes() for p in changed],
                  "near_edited": likeness(own, changed), "near_next": likeness(own, after)},
-                doc_id=pa.int64(), n_chars=pa.int64(),
+                doc_id=pa.int64(), n_chars=pa.int64(), fingerprint=pa.binary(), edited_fingerprint=pa.binary(),
             )
 
     made = written(arrow_map(
         with_next(table(spark, folder, "documents")), work,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double",
     ), "fingerprints")
-    return made.join(near_classes(made), "fingerprint", "left").select(*made.columns, "component_id")
+    text = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return with_components(made).withColumns(text)
