@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .frames import discard, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, keep_rounds: bool = True) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``: the smallest node reachable.
 
     Alternates large-star (every larger neighbour moves to the smallest one around)
     and small-star (every smaller neighbour does) until nothing changes; rounds grow
     with the logarithm of the longest chain. Each round is written, so lost executors
-    cost one round at most, and replaces the one before. Neighbourhoods are only summarised, never gathered.
+    cost one round at most; without ``keep_rounds`` it replaces the one before. Neighbourhoods are only summarised, never gathered.
     """
     edges = written(_distinct(links.select(F.col("a").cast("long"), F.col("b").cast("long"))), "links")
     last = None
@@ -30,7 +30,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             under.join(root, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(root.select("a", F.col("low").alias("b")))
         )
         before, edges = edges, written(small, "links")
-        discard(before)
+        if not keep_rounds:
+            discard(before)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
             break
@@ -48,7 +49,7 @@ def joined(placed: DataFrame, more: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         known = placed.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root"))
         ends = ends.join(known, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    merged = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    merged = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), keep_rounds=False)
     moved = merged.select(F.col("node").alias("component"), F.col("component").alias("lower"))
     known = placed.join(moved, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
     return known.unionByName(merged.join(placed.select("node"), "node", "left_anti"))

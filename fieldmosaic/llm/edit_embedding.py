@@ -37,7 +37,7 @@ SEED = 20_240_607
 LEAST = 0.5
 BANDS = 16
 BAND_SLOTS = 5
-CROWD = 32  # classes of a bucket whose pairs are listed as they are
+CROWD = 32  # classes beside a bucket's largest component whose pairs are listed as they are
 MOST_SLICES = 20_000  # of the id range; their edges are known to the driver
 _ROWS = 1024  # steps whose random bits are drawn at once
 
@@ -133,9 +133,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of keys that classes of different components hold, with the number of holders."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return rows.join(keys.where("low <> high").select("key", "holders"), "key")
+    """The rows of keys that several components hold, with the component most of the key's rows have and the number of others.
+
+    Of a pair of different components one at least is such another, so pairs are listed from those.
+    """
+    counted = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "component"))
+    keys = counted.groupBy("key").agg(most.getField("component").alias("main"), F.sum("n").alias("holders"), (F.sum("n") - F.max("n")).alias("others"))
+    return rows.join(keys.where("others > 0"), "key")
+
+
+def _listed(mixed: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of different components under one key."""
+    other = mixed.select("key", F.col("class").alias("y"), F.col("component").alias("other_component"))
+    pairs = mixed.where("component <> main").select("key", F.col("class").alias("x"), "component").join(other, "key").where("component <> other_component")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _narrowed(crowded: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -173,10 +185,11 @@ def near_classes(prints: DataFrame, least: float = LEAST, bands: int = BANDS, ro
     ``prints(doc_id, fingerprint)`` has fingerprints of ``SLOTS`` bytes; only those that several rows
     hold, or that have a link, are returned. Rows of equal fingerprints are one class. First, every
     class of a bucket is compared with one class of the bucket, so a group of near copies costs its
-    size and not its square. Then the pairs of different components in a bucket are looked for, in
-    buckets of more than ``crowd`` classes under finer keys. Each pair is verified on the whole
-    fingerprint, so components are those of all links that share a band. Null fingerprints and ids
-    are left out; repeated rows add nothing; an empty table gives no rows.
+    size and not its square. Then the pairs of different components in a bucket are looked for:
+    those of its largest component with up to ``crowd`` classes of others, and under finer keys where
+    there are more others. Each pair is verified on the whole fingerprint, so components are those of
+    all links that share a band. Null fingerprints are left out; repeated rows add nothing; an empty
+    table gives no rows.
     """
     found = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     classes = written(found.select(F.xxhash64("fingerprint").alias("class"), "fingerprint", "first_id", "rows"), "classes")
@@ -185,29 +198,26 @@ def near_classes(prints: DataFrame, least: float = LEAST, bands: int = BANDS, ro
     keys = [F.xxhash64(F.lit(i), *[F.substring("fingerprint", s + 1, 1) for s in pick]) for i, pick in enumerate(picks)]
     banded = classes.select("class", F.explode(F.array(*keys)).alias("key"))
     # few bands are held by two classes: those are written, so that the join knows their size
-    heads = written(banded.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
+    heads = written(banded.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("key", "head"), "heads")
     met = written(banded.join(heads, "key"), "buckets")
     involved = written(classes.join(met.select("class").distinct(), "class", "left_semi"), "involved")
     pairs = met.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
     near = _verified(pairs, involved, least)
-    placed = components(near)
+    placed = components(near, keep_rounds=False)
     own = met.join(placed, F.col("class") == F.col("node"), "left").select(
-        "class", "key", "size", F.coalesce("component", "class").alias("component")
+        "class", "key", F.coalesce("component", "class").alias("component")
     )
     apart = written(_mixed(own), "apart")
-    finer = _narrowed(apart.where(F.col("size") > crowd), involved, least)
-    cross = written(_mixed(apart.where(F.col("size") <= crowd).select("class", "component", "key").unionByName(finer)), "cross")
-    discard(heads, met, apart)
-    other = cross.select("key", F.col("class").alias("b"), F.col("component").alias("other_component"))
-    pairs = cross.join(other, "key").where((F.col("class") < F.col("b")) & (F.col("component") != F.col("other_component")))
-    far = _verified(pairs.select(F.col("class").alias("a"), "b").distinct(), involved, least)
+    finer = written(_mixed(_narrowed(apart.where(F.col("others") > crowd), involved, least)), "finer")
+    pairs = _listed(apart.where(F.col("others") <= crowd)).unionByName(_listed(finer)).distinct()
+    far = _verified(pairs, involved, least)
     whole = joined(placed, far)
     named = classes.join(whole, F.col("class") == F.col("node"), "left").where("rows > 1 OR node IS NOT NULL").select(
         "fingerprint", "first_id", F.coalesce("component", "class").alias("component")
     )
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     result = written(named.join(lowest, "component").select("fingerprint", "component_id"), "near")
-    discard(classes, involved, cross, near, far)
+    discard(classes, heads, met, involved, apart, finer, near, far)
     return result
 
 
