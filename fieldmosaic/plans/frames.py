@@ -180,8 +180,9 @@ def experiment_matrix(base: DataFrame, specs: Sequence[FrameSpec], seed: int = n
 
     There is a column for every feature of any experiment; it is NULL in the rows
     of an experiment that does not use it, and ``feature_names`` tells which it uses.
-    The base is read once; each row is expanded to the experiments that keep it,
-    and blocks are split per experiment.
+    Each row is expanded to the experiments that keep it, and blocks are split per
+    experiment. Only code, category, weight and names differ between the copies of a row;
+    features are carried beside them once and blanked by code after the expansion.
     """
     keys = [c for c in KEYS if c in base.columns]
     used = {spec.code: numeric_columns(base, spec) for spec in specs}
@@ -194,13 +195,17 @@ def experiment_matrix(base: DataFrame, specs: Sequence[FrameSpec], seed: int = n
                 F.col(spec.category).alias("category"),
                 _weight(spec).alias("sample_weight"),
                 F.lit(",".join(used[spec.code])).alias("feature_names"),
-                *[(F.col(c) if c in used[spec.code] else F.lit(None)).cast("double").alias(c) for c in features],
             ),
         )
         for spec in specs
     ]
-    expanded = base.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("__e")).select(*keys, "__e.*")
-    placed = splits.with_blocks(expanded)
+    carried = [F.col(c).cast("double").alias(c) for c in features]
+    expanded = base.select(*keys, *carried, F.explode(F.array_compact(F.array(*entries))).alias("__e"))
+    blanked = []
+    for c in features:
+        users = [code for code, some in used.items() if c in some]
+        blanked.append(F.col(c) if len(users) == len(specs) else F.when(F.col("__e.code").isin(users), F.col(c)).alias(c))
+    placed = splits.with_blocks(expanded.select(*keys, "__e.*", *blanked))
     return placed.join(splits.assign_blocks(placed, "block_id", seed, by=["code"]), ["code", "block_id"], "inner")
 
 
