@@ -295,6 +295,47 @@ def _(x):
     return rounded_doubles(made.where("n_classes > 0"), 6)
 
 
+@query(
+    "cp8_daily_features_all_days",
+    f"""WITH days AS (SELECT DISTINCT date FROM fx_grid_daily), comp AS (SELECT DISTINCT index_date + 5 AS d FROM fx_lai8),
+        br AS (SELECT date, max(CASE WHEN d <= date THEN d END) AS lo, min(CASE WHEN d >= date THEN d END) AS hi FROM days, comp GROUP BY date),
+        la AS (SELECT br.date, a.row, a.col, CASE WHEN lo = hi THEN a.lai ELSE a.lai * (1 - (br.date - lo) / (hi - lo)) + b.lai * ((br.date - lo) / (hi - lo)) END AS lai
+               FROM br JOIN fx_lai8 a ON a.index_date + 5 = br.lo JOIN fx_lai8 b ON b.index_date + 5 = br.hi AND b.row = a.row AND b.col = a.col),
+        g AS (SELECT *, sum(rain) OVER w AS r7, count(rain) OVER w AS n7 FROM fx_grid_daily
+              WINDOW w AS (PARTITION BY row, col ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)),
+        f AS (SELECT g.date, g.row, {', '.join(f'CASE WHEN g.qc_raw & 255 = 0 THEN g.{b} END AS {b}' for b in ('tau_ku_h', 'tau_x_h', 'tau_c_h'))}, g.tau_x_h AS LST, g.r7, g.n7, la.lai, s.canopy_height, k.GRA,
+                     {', '.join(f"{' + '.join(m)} AS m_{n}" for n, m in names.MERGED_CLASSES.items())}
+              FROM g LEFT JOIN la ON la.date = g.date AND la.row = g.row AND la.col = g.col LEFT JOIN fx_static s ON s.row = g.row AND s.col = g.col LEFT JOIN fx_classes k ON k.row = g.row AND k.col = g.col)
+        SELECT date, CAST(row // 300 AS INT) AS band, count(*) AS n_cells, {', '.join(f'count({b}) AS n_{b}, round(sum({b}), 9) AS sum_{b}' for b in ('tau_ku_h', 'tau_x_h', 'tau_c_h'))},
+               count(LST) AS n_lst, round(sum(r7), 9) AS sum_rain_7day, CAST(sum(n7) AS BIGINT) AS sum_rain_days, count(lai) AS n_lai, round(sum(lai), 9) AS sum_lai, round(sum(canopy_height), 9) AS sum_height,
+               count(GRA) AS n_classes, round(sum(m_Herb), 9) AS sum_herb, count(*) FILTER (tau_ku_h IS NOT NULL OR tau_x_h IS NOT NULL OR tau_c_h IS NOT NULL OR lai IS NOT NULL OR LST IS NOT NULL) AS n_valid
+        FROM f GROUP BY 1, 2""",
+    ["fx_grid_daily", "fx_lai8", "fx_static", "fx_classes"],
+)
+def _(x):
+    """Features of every day and all bands on the cells with data, summed per day and strip; strips without classes stay."""
+    grid = x.fx_grid_daily
+    bands = ["tau_ku_h", "tau_x_h", "tau_c_h"]
+    table = product.daily_features(
+        grid.select("date").distinct(),
+        grid.withColumnRenamed("qc_raw", "VOD_QC").select("date", "row", "col", "VOD_QC", *bands),
+        x.fx_lai8.select(F.date_add("index_date", 5).alias("date"), "row", "col", F.col("lai").alias("LAI")),
+        grid.select("date", "row", "col", F.col("tau_x_h").alias("LST")),
+        grid.select("date", "row", "col", "rain"),
+        x.fx_static.select("row", "col", F.col("canopy_height").alias("Hveg")),
+        x.fx_classes.drop("cell").withColumn("year", F.col("year") + 1),
+        bands=bands,
+        observed=grid,
+    )
+    sums = [f for b in bands for f in (F.count(b).alias(f"n_{b}"), F.sum(b).alias(f"sum_{b}"))]
+    made = table.groupBy("date", F.floor(F.col("row") / 300).cast("int").alias("band")).agg(
+        F.count(F.lit(1)).alias("n_cells"), *sums, F.count("LST").alias("n_lst"), F.sum("rain_7day").alias("sum_rain_7day"),
+        F.sum("rain_7day_valid_days").alias("sum_rain_days"), F.count("LAI").alias("n_lai"), F.sum("LAI").alias("sum_lai"),
+        F.sum("Hveg").alias("sum_height"), F.count("GRA").alias("n_classes"), F.sum("Herb").alias("sum_herb"), F.sum("valid_for_inference").alias("n_valid"),
+    )
+    return rounded_doubles(made, 9)
+
+
 @query(
     "cp9_experiment_runs",
     f"""SELECT code AS scheme, 'trees' AS model, CAST(r AS INT) AS repeat, split, count(*) AS n, true AS ordered_errors

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic import names
-from fieldmosaic.operators import align, calibration, modeling, splits, windows
+from fieldmosaic.operators import align, calibration, modeling, rasters, splits, windows
 from fieldmosaic.plans import frames, product
 from fieldmosaic.session import scratch_path
 
@@ -159,6 +159,35 @@ def _(x):
     return _against_constant(model.transform(modeling.fill_bands(frame)), "lfmc_pct", middle, F.abs)
 
 
+@query(
+    "ml6_best_prefix_of_trees",
+    f"""WITH {_FINAL_ROWS} SELECT split, count(*) AS n, true AS lowest_error_kept, true AS waited, CASE WHEN split = 'val' THEN true END AS no_worse,
+        true AS as_staged FROM final GROUP BY split""",
+    ["fx_predictors"],
+)
+def _(x):
+    """Boosting that waits three trees for a lower validation error and keeps the best number of trees.
+
+    ``lowest_error_kept``: no other number of trees up to the stop has a lower error; ``waited``: the stop is as
+    many trees after it as the patience, or the last tree; ``no_worse``: its error is not above that of all trees,
+    on the rows it was chosen by; ``as_staged``: the shortened model's own error is the one it was chosen for.
+    """
+    frame = _final(x)
+    patience, most = 3, 12
+    fitted = modeling.fit_best_trees(frame, _NUMERIC, "lc_dom", iterations=most, patience=patience, depth=4, rate=0.3)
+    errors = fitted.errors
+    ready = modeling.fill_bands(frame)
+    scored = fitted.model.transform(ready).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("lfmc_pct") - F.col("lfmc_pred"))).alias("mae"))
+    validated = F.col("split") == "val"
+    lowest = errors[fitted.trees - 1] == min(errors) and errors.index(min(errors)) == fitted.trees - 1
+    waited = len(errors) - fitted.trees == patience or len(errors) == most
+    return scored.select(
+        "split", "n", F.lit(lowest).alias("lowest_error_kept"), F.lit(waited).alias("waited"),
+        F.when(validated, F.col("mae") <= errors[-1] + 1e-9).alias("no_worse"),
+        F.when(validated, F.abs(F.col("mae") - errors[fitted.trees - 1]) < 1e-9).otherwise(True).alias("as_staged"),
+    )
+
+
 @query(
     "ml7_squared_loss_trees",
     f"""WITH {_FINAL_ROWS} SELECT 'lfmc_pct' AS target, split, count(*) AS n, true AS better FROM final GROUP BY split
@@ -213,32 +242,45 @@ def _(x):
     )
 
 
-_DAYS = "SELECT DISTINCT date FROM fx_grid_daily WHERE date BETWEEN DATE '2024-01-12' AND DATE '2024-01-14'"
-_PRODUCT_MASK = f"""WITH days AS ({_DAYS}), cls AS (
+# Days of the table, leaf area between the composites around a day, and cells that pass the mask.
+_PRODUCT_MASK = f"""WITH days AS (SELECT DISTINCT date FROM fx_grid_daily), cls AS (
       SELECT row, col, CASE WHEN {twins.total(names.VEGETATION_CLASSES)} > 0 THEN {twins.argmax(names.VEGETATION_CLASSES)} END AS lc_dom,
              coalesce(BAR, 0) + coalesce(URB, 0) + coalesce(SNO, 0) + coalesce(Water, 0) AS bare FROM fx_classes),
-    valid AS (SELECT g.date, g.row, g.col FROM fx_grid_daily g JOIN days USING (date) JOIN fx_static s ON s.row = g.row AND s.col = g.col JOIN cls c ON c.row = g.row AND c.col = g.col
-              JOIN fx_lai8 l ON l.row = g.row AND l.col = g.col AND l.index_date = DATE '2024-01-09'
-              WHERE s.canopy_height IS NOT NULL AND l.lai IS NOT NULL AND g.tau_x_h IS NOT NULL AND c.lc_dom IS NOT NULL AND c.bare <= 0.7)"""
+    comp AS (SELECT DISTINCT index_date + 5 AS d FROM fx_lai8),
+    br AS (SELECT date, max(CASE WHEN d <= date THEN d END) AS lo, min(CASE WHEN d >= date THEN d END) AS hi FROM days, comp GROUP BY date),
+    la AS (SELECT br.date, a.row, a.col FROM br JOIN fx_lai8 a ON a.index_date + 5 = br.lo JOIN fx_lai8 b ON b.index_date + 5 = br.hi AND b.row = a.row AND b.col = a.col
+           WHERE a.lai IS NOT NULL AND b.lai IS NOT NULL),
+    complete AS (SELECT g.date, g.row, g.col, g.qc_raw FROM fx_grid_daily g JOIN la ON la.date = g.date AND la.row = g.row AND la.col = g.col WHERE g.tau_x_h IS NOT NULL),
+    seen AS (SELECT *, count(*) OVER (PARTITION BY row, col ORDER BY date RANGE BETWEEN INTERVAL 2 DAYS PRECEDING AND CURRENT ROW) AS n FROM complete),
+    valid AS (SELECT v.* FROM seen v JOIN fx_static s ON s.row = v.row AND s.col = v.col JOIN cls c ON c.row = v.row AND c.col = v.col
+              WHERE s.canopy_height IS NOT NULL AND c.lc_dom IS NOT NULL AND c.bare <= 0.7)"""
 
 
 def _day_features(x):
-    """Feature tables of three days over the whole grid."""
+    """Days of the table, and the features of their cells with a surface temperature, which both masks need."""
     grid = x.fx_grid_daily
-    dates = grid.select("date").distinct().where("date BETWEEN DATE '2024-01-12' AND DATE '2024-01-14'")
-    # the window of leaf area around these days is taken as it is: one composite serves all three
-    lai = x.fx_lai8.where("index_date = DATE '2024-01-09'").select(F.explode(F.sequence(F.lit("2024-01-12").cast("date"), F.lit("2024-01-14").cast("date"))).alias("date"), "row", "col", F.col("lai").alias("LAI"))
+    dates = grid.select("date").distinct()
     bands = [F.col("tau_ku_h").alias("VOD_Ku_Hpol_Asc"), F.col("tau_x_h").alias("VOD_X_Hpol_Asc"), F.col("tau_c_h").alias("VOD_C_Hpol_Asc")]
-    return product.daily_features(
+    warm = grid.select("date", "row", "col", F.col("tau_x_h").alias("LST"))
+    made = product.daily_features(
         dates,
         grid.select("date", "row", "col", F.col("qc_raw").alias("VOD_QC"), *bands),
-        lai,
-        grid.select("date", "row", "col", F.col("tau_x_h").alias("LST")),
+        x.fx_lai8.select(F.date_add("index_date", 5).alias("date"), "row", "col", F.col("lai").alias("LAI")),
+        warm,
         grid.select("date", "row", "col", "rain"),
         x.fx_static.select("row", "col", F.col("canopy_height").alias("Hveg")),
         x.fx_classes.drop("cell").withColumn("year", F.col("year") + 1),
         bands=["VOD_Ku_Hpol_Asc", "VOD_X_Hpol_Asc", "VOD_C_Hpol_Asc"],
+        observed=warm.where(F.col("LST").isNotNull()),
     )
+    return dates, made
+
+
+def _product_model(x):
+    """The saved and reloaded model of the product."""
+    path = scratch_path(x.spark, "product-model")
+    modeling.save_artifact(modeling.fit_trees(_final(x), _PRODUCT_NUMERIC, "lc_dom", **_TREES), path, "trees", _PRODUCT_NUMERIC, "lc_dom")
+    return modeling.load_artifact(x.spark, path, "trees")
 
 
 _PRODUCT_NUMERIC = ["VOD_Ku_Hpol_Asc", "VOD_X_Hpol_Asc", "VOD_C_Hpol_Asc", "LAI", "Hveg", "LST", "doy_sin", "doy_cos", "lat_norm"]
@@ -246,27 +288,28 @@ _PRODUCT_NUMERIC = ["VOD_Ku_Hpol_Asc", "VOD_X_Hpol_Asc", "VOD_C_Hpol_Asc", "LAI"
 
 @query(
     "cp8_daily_prediction_maps",
-    f"{_PRODUCT_MASK} SELECT date, 6480000 AS n_cells, (SELECT count(*) FROM valid v WHERE v.date = days.date) AS n_predicted FROM days",
+    f"{_PRODUCT_MASK} SELECT date, CAST((SELECT count(*) FROM range(1800), range(3600)) AS INT) AS n_cells, (SELECT count(*) FROM valid v WHERE v.date = days.date) AS n_predicted FROM days",
     ["fx_grid_daily", "fx_static", "fx_lai8", "fx_classes"],
 )
 def _(x):
-    """Date range and saved model to masked maps: cells and predictions of each day."""
-    path = scratch_path(x.spark, "product-model")
-    modeling.save_artifact(modeling.fit_trees(_final(x), _PRODUCT_NUMERIC, "lc_dom", **_TREES), path, "trees", _PRODUCT_NUMERIC, "lc_dom")
-    model, about = modeling.load_artifact(x.spark, path, "trees")
-    maps = product.predict_days(model, _day_features(x), about["numeric"], about["category"])
+    """All days of the table and a saved model to masked maps of the whole grid: cells and predictions of each day."""
+    model, about = _product_model(x)
+    dates, features = _day_features(x)
+    maps = rasters.to_full_grid(dates, product.predict_days(model, features, about["numeric"], about["category"]))
     return maps.groupBy("date").agg(F.count(F.lit(1)).cast("int").alias("n_cells"), F.count("lfmc_pred").alias("n_predicted"))
 
 
 @query(
     "cp8_windowed_prediction_maps",
-    f"""{_PRODUCT_MASK}, seen AS (SELECT v.*, g.qc_raw, count(*) OVER (PARTITION BY v.row, v.col) AS n FROM valid v JOIN fx_grid_daily g ON g.date = v.date AND g.row = v.row AND g.col = v.col)
-        SELECT date, row, col FROM seen WHERE date = DATE '2024-01-14' AND n = 3 AND qc_raw = 0""",
+    f"""{_PRODUCT_MASK} SELECT date, count(n) FILTER (WHERE n = 3) AS n_windows, count(*) FILTER (WHERE n = 3 AND qc_raw = 0 AND ok) AS n_predicted
+        FROM days LEFT JOIN (SELECT s.*, v.row IS NOT NULL AS ok FROM seen s LEFT JOIN valid v ON v.date = s.date AND v.row = s.row AND v.col = s.col) USING (date) GROUP BY date""",
     ["fx_grid_daily", "fx_static", "fx_lai8", "fx_classes"],
 )
 def _(x):
-    """Cells of the last day that the windowed product predicts: good quality and three complete days."""
-    days = _day_features(x).where(F.col("LAI").isNotNull() | F.col("LST").isNotNull())
+    """The windowed product of all days: cells with three complete days, and those of good quality that the model predicts."""
+    model, _ = _product_model(x)
+    dates, days = _day_features(x)
     made = windows.day_windows(days, ["VOD_Ku_Hpol_Asc", "LAI", "LST"], 3, full_only=False, required=["LAI", "LST"])
-    ready = frames.aligned_for_scoring(made, None)
-    return ready.where(product.temporal_mask(3, ["Hveg"])).where("date = DATE '2024-01-14'").select("date", "row", "col")
+    scored = modeling.score(model, frames.aligned_for_scoring(made, None), product.temporal_mask(3, ["Hveg"]))
+    counted = scored.groupBy("date").agg(F.count(F.when(F.col("n_complete_days") == 3, 1)).alias("n_windows"), F.count("lfmc_pred").alias("n_predicted"))
+    return dates.join(counted, "date", "left").fillna(0, ["n_windows", "n_predicted"])

@@ -268,17 +268,15 @@ def _(x):
 
 @query(
     "st6_full_grid_scatter",
-    """WITH d AS (SELECT DISTINCT date FROM fx_grid_daily), g AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(1800) a(r), range(3600) b(c) WHERE r >= 0)
-       SELECT CAST(row // 100 AS INT) AS band, count(*) AS n_cells, CAST(sum(n_pred) AS BIGINT) AS n_predicted, round(sum(s), 4) AS total FROM (
-         SELECT g.row, g.col, count(p.tau_x_h) AS n_pred, sum(p.tau_x_h) AS s FROM g LEFT JOIN (SELECT * FROM fx_grid_daily WHERE date = (SELECT max(date) FROM d)) p USING (row, col) GROUP BY 1, 2) GROUP BY 1""",
+    """WITH d AS (SELECT DISTINCT date FROM fx_grid_daily), g AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(1800) a(r), range(3600) b(c))
+       SELECT d.date, CAST(g.row // 100 AS INT) AS band, count(*) AS n_cells, count(p.tau_x_h) AS n_predicted, round(sum(p.tau_x_h), 4) AS total
+       FROM d CROSS JOIN g LEFT JOIN fx_grid_daily p ON p.date = d.date AND p.row = g.row AND p.col = g.col GROUP BY 1, 2""",
     ["fx_grid_daily"],
 )
 def _(x):
-    """The newest day on the whole grid, counted per strip of a hundred rows."""
+    """Every day on the whole grid, counted per day and strip of a hundred rows."""
     grid = x.fx_grid_daily
-    newest = grid.agg(F.max("date").alias("date"))
-    predictions = grid.join(newest, ["date"], "left_semi").select("date", "row", "col", F.col("tau_x_h").alias("lfmc_pred"))
-    whole = rasters.to_full_grid(newest, predictions)
-    return whole.groupBy(F.floor(F.col("row") / 100).cast("int").alias("band")).agg(
+    whole = rasters.to_full_grid(grid.select("date").distinct(), grid.select("date", "row", "col", F.col("tau_x_h").alias("lfmc_pred")))
+    return whole.groupBy("date", F.floor(F.col("row") / 100).cast("int").alias("band")).agg(
         F.count(F.lit(1)).alias("n_cells"), F.count("lfmc_pred").alias("n_predicted"), F.round(F.sum("lfmc_pred"), 4).alias("total")
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -156,6 +157,80 @@ def fit_trees(df: DataFrame, numeric: Sequence[str], category: str | None = None
         used.unpersist()
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """A model cut to its best number of trees, and the validation error after each tree up to the stop."""
+
+    model: PipelineModel
+    trees: int
+    errors: tuple[float, ...]
+
+
+def best_prefix(errors: Sequence[float], patience: int) -> tuple[int, int | None]:
+    """How many trees have the lowest error, and after how many the wait for a lower one ends (None: not yet).
+
+    Of equal errors the earlier counts; trees after the end are not looked at.
+    """
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, i + 1
+    return best + 1, None
+
+
+def staged_errors(model: PipelineModel, rows: DataFrame, loss: str = "absolute") -> list[float]:
+    """Mean loss on some rows after each tree, by one pass over the rows."""
+    prepared = PipelineModel(model.stages[:-1]).transform(rows)
+    return model.stages[-1].evaluateEachIteration(prepared, loss)
+
+
+def first_trees(model: PipelineModel, trees: int) -> PipelineModel:
+    """The model with its first trees only; the trees themselves are not fitted again."""
+    whole = model.stages[-1]
+    gateway = SparkSession.getActiveSession().sparkContext._gateway
+    kind = gateway.jvm.org.apache.spark.ml.regression
+    picked = gateway.new_array(kind.DecisionTreeRegressionModel, trees)
+    weights = gateway.new_array(gateway.jvm.double, trees)
+    for i, (tree, weight) in enumerate(zip(whole._java_obj.trees(), whole.treeWeights)):
+        if i < trees:
+            picked[i], weights[i] = tree, weight
+    cut = GBTRegressionModel(kind.GBTRegressionModel(f"{whole.uid}_{trees}", picked, weights, whole.numFeatures))
+    cut._resetUid(f"{whole.uid}_{trees}")
+    cut.setFeaturesCol(whole.getFeaturesCol()).setPredictionCol(whole.getPredictionCol())
+    return PipelineModel([*model.stages[:-1], cut])
+
+
+def fit_best_trees(
+    df: DataFrame, numeric: Sequence[str], category: str | None = None, iterations: int = 3000, patience: int = 150, loss: str = "absolute", **options
+) -> Boosted:
+    """Fit on train rows until the error on val rows has not fallen for ``patience`` trees, and keep the best number of trees.
+
+    Spark's boosting can't wait, nor go on from a fitted model. So a number of trees is fitted, the error
+    after each is taken, and the number is doubled while the wait has not ended. A longer fit repeats the trees of
+    a shorter one, so the result is that of one long fit that stops, at twice its work at most. Without val rows
+    all ``iterations`` trees are kept; rows of other splits are not used.
+    """
+    reliable_checkpoints(df.sparkSession)
+    used = fill_bands(df.where(F.col("split").isin("train", "val"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, val = used.where(F.col("split") == "train"), used.where(F.col("split") == "val")
+        waits = not val.isEmpty()
+        trees = min(iterations, 2 * patience) if waits else iterations
+        while True:
+            model = tree_pipeline(numeric, category, loss=loss, iterations=trees, **options).fit(train)
+            if not waits:
+                return Boosted(model, trees, ())
+            errors = staged_errors(model, val, loss)
+            best, stop = best_prefix(errors, patience)
+            if stop is not None or trees >= iterations or len(errors) < trees:
+                return Boosted(first_trees(model, best), best, tuple(errors[:stop]))
+            trees = min(iterations, 2 * trees)
+    finally:
+        used.unpersist()
+
+
 def score(model: PipelineModel, df: DataFrame, valid: Column, out: str = "lfmc_pred") -> DataFrame:
     """Predictions on the valid rows, NULL on the others, in one pass over the input.
 

@@ -86,9 +86,21 @@ def scaffold(dates: DataFrame, rows: int = names.GRID_ROWS, columns: int = names
         "date",
         F.col("row").cast("int").alias("row"),
         F.col("col").cast("int").alias("col"),
+        *_centre(cell_deg),
+    )
+
+
+def _centre(cell_deg: float) -> list[Column]:
+    return [
         (F.lit(90.0) - (F.col("row") + 0.5) * F.lit(cell_deg)).alias("lat"),
         (F.lit(-180.0) + (F.col("col") + 0.5) * F.lit(cell_deg)).alias("lon"),
-    )
+    ]
+
+
+def observed_cells(observed: DataFrame, dates: DataFrame, cell_deg: float = names.CELL_DEG) -> DataFrame:
+    """The distinct cells of some rows on the given dates, with centre coordinates: a sparse ``scaffold``."""
+    kept = observed.select("date", "row", "col").distinct().join(dates.select("date").distinct(), ["date"], "left_semi")
+    return kept.select("date", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *_centre(cell_deg))
 
 
 def to_full_grid(dates: DataFrame, predictions: DataFrame, value: str = "lfmc_pred", **grid) -> DataFrame:

@@ -24,17 +24,21 @@ def daily_features(
     annual: DataFrame,
     bands: Sequence[str] = tuple(names.BANDS),
     qc: str = "VOD_QC",
+    observed: DataFrame | None = None,
     **grid,
 ) -> DataFrame:
     """Every cell of every date with all predictors and validity flags.
 
+    With ``observed(date, row, col)`` only those cells are built: about one cell in
+    twenty has data on a day, and a mask that needs a daily value drops the others anyway.
+
     Date is a key like row and column, so a year of days is one job. The rain
     total is computed on the rain table, which holds only valid cells, before
     it meets the full grid.
     """
     masked = daily.select("date", "row", "col", qc, *[c for c in daily.columns if c in ("SM",)], *qcbits.mask_by_raw_zero(bands, qc))
     keys = ["date", "row", "col"]
-    base = rasters.scaffold(dates, **grid)
+    base = rasters.scaffold(dates, **grid) if observed is None else rasters.observed_cells(observed, dates)
     today = rain.select(*keys, "rain")
     asked = rain_rows(dates, today)
     totals = windows.trailing_sum(asked, "rain", 7, out="rain_7day")
