@@ -8,7 +8,7 @@ from fieldmosaic import names
 from fieldmosaic.operators import cleaning, metrics, modeling, rasters, windows
 from fieldmosaic.plans import product
 from fieldmosaic.session import scratch_path
-from fieldmosaic.sources import rasters as grids
+from fieldmosaic.sources import chunks, rasters as grids
 from fieldmosaic.sources import sinks, tables
 
 from . import twins
@@ -175,6 +175,24 @@ def _(x):
     return x.spark.read.parquet(f"{path}/cells").select("date", "row", "col", "lfmc_pred")
 
 
+@query(
+    "snk4_chunked_grid",
+    """SELECT date, 100 AS n_chunks, count(*) AS n_cells, count(tau_ku_h) AS n_ku, round(sum(tau_x_h), 6) AS sum_x, CAST(sum(row * 3600 + col) AS BIGINT) AS places,
+              round(sum(tau_ku_h * (row + 2 * col)), 3) AS sum_ku FROM fx_grid_daily GROUP BY date""",
+    ["fx_grid_daily"],
+)
+def _(x):
+    """All days written as chunks and read back cell by cell."""
+    path, columns = scratch_path(x.spark, "chunks"), ["tau_x_h", "tau_ku_h"]
+    chunks.write_chunks(x.fx_grid_daily.select("date", "row", "col", *columns), path, columns)
+    read = x.spark.read.parquet(path)
+    cells = chunks.cells_of_chunks(read, columns).groupBy("date").agg(
+        F.count("*").alias("n_cells"), F.count("tau_ku_h").alias("n_ku"), F.round(F.sum("tau_x_h"), 6).alias("sum_x"),
+        F.sum((F.col("row") * 3600 + F.col("col")).cast("long")).alias("places"), F.round(F.sum(F.col("tau_ku_h") * (F.col("row") + 2 * F.col("col"))), 3).alias("sum_ku"),
+    )
+    return read.groupBy("date").agg(F.count("*").cast("int").alias("n_chunks")).join(cells, "date")
+
+
 @query("snk5_result_tables", "SELECT scheme, model, split, round(avg(rmse), 4) AS rmse_mean FROM fx_runs GROUP BY ALL", ["fx_runs"])
 def _(x):
     path = scratch_path(x.spark, "results")

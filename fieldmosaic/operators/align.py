@@ -112,21 +112,36 @@ def bracketing_days(targets: DataFrame, available: DataFrame) -> DataFrame:
     return kept.drop("__stop").join(asked, ["date"], "left_semi")
 
 
-def interpolated_values(samples: DataFrame, grid: DataFrame, value: str) -> DataFrame:
-    """Value on the exact day, else linear between the enclosing days.
+def composite_segments(grid: DataFrame, value: str) -> DataFrame:
+    """``(start_date, row, col, low, high)``: per cell one row for each composite and the one that follows it.
 
-    NULL when a side or an endpoint is missing.
+    ``high`` is NULL where the cell has no row in the next composite of the table, or there is none.
+    One shuffle by cell; written once, distributed by cell, it serves any number of days.
     """
-    bracket = bracketing_days(samples, grid)
-    low = grid.select(F.col("date").alias("prev_date"), *CELL, F.col(value).alias("__low"))
-    high = grid.select(F.col("date").alias("next_date"), *CELL, F.col(value).alias("__high"))
-    joined = (
-        samples.join(bracket, ["date"], "left")
-        .join(low, ["prev_date", *CELL], "left")
-        .join(high, ["next_date", *CELL], "left")
+    days = grid.select("date").distinct()
+    # one row per composite of the calendar
+    following = days.withColumn("__next", F.lead("date").over(Window.orderBy("date")))
+    cell = Window.partitionBy(*CELL).orderBy("date")
+    paired = grid.select("date", *CELL, F.col(value).alias("low")).withColumns(
+        {"__then": F.lead("date").over(cell), "__high": F.lead("low").over(cell)}
     )
-    blended = F.col("__low") * (F.lit(1.0) - F.col("weight")) + F.col("__high") * F.col("weight")
-    return joined.withColumn(value, blended).drop("__low", "__high", "prev_date", "next_date", "weight")
+    placed = paired.join(following, ["date"], "left")
+    return placed.select(F.col("date").alias("start_date"), *CELL, "low", F.when(F.col("__then") == F.col("__next"), F.col("__high")).alias("high"))
+
+
+def interpolated_values(samples: DataFrame, grid: DataFrame, value: str, segments: DataFrame | None = None) -> DataFrame:
+    """Value on the exact day, else linear between the enclosing days.
+
+    NULL when a side or an endpoint is missing. ``grid`` has one row per day and cell. The values of
+    both sides come by one join with the segments of ``grid``, which may have been written before.
+    """
+    bracket = bracketing_days(samples, grid).select("date", F.col("prev_date").alias("__start"), F.col("weight").alias("__weight"))
+    pairs = composite_segments(grid, value) if segments is None else segments
+    pairs = pairs.select(F.col("start_date").alias("__start"), *CELL, F.col("low").alias("__low"), F.col("high").alias("__high"))
+    blended = F.col("__low") * (F.lit(1.0) - F.col("__weight")) + F.col("__high") * F.col("__weight")
+    joined = samples.join(bracket, ["date"], "left").join(pairs, ["__start", *CELL], "left")
+    found = joined.withColumn(value, F.when(F.col("__weight") == 0, F.col("__low")).otherwise(blended))
+    return found.drop("__start", "__weight", "__low", "__high")
 
 
 def preferred_by_date(first: DataFrame, second: DataFrame) -> DataFrame:

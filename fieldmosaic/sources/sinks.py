@@ -65,7 +65,7 @@ def write_prediction_grid(df: DataFrame, path: str, value: str = "lfmc_pred", mo
 
 def write_results(raw: DataFrame, summary: DataFrame, path: str, stem: str, mode: str = "overwrite") -> None:
     raw.write.mode(mode).option("header", True).csv(f"{path}/{stem}_raw")
-    summary.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/{stem}_summary")
+    summary.repartition(1).write.mode(mode).option("header", True).csv(f"{path}/{stem}_summary")
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", order: Sequence[str] = (), mode: str = "overwrite") -> None:
