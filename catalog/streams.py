@@ -31,6 +31,22 @@ def _(x):
     return daily.read_ingested(x.spark, f"{path}/days").select("date", "row", "col", "tau_x_h", "tau_ku_h")
 
 
+@query(
+    "str1_compacted_ingest",
+    """SELECT date, row, col, tau_x_h, tau_ku_h, CAST((SELECT count(DISTINCT date) FROM fx_grid_daily WHERE tau_ku_h IS NOT NULL) AS BIGINT) AS first_days, CAST(0 AS BIGINT) AS again_days
+       FROM fx_grid_daily WHERE tau_ku_h IS NOT NULL""",
+    ["fx_grid_daily"],
+)
+def _(x):
+    """All days ingested in parts and compacted, read without merging; a second compaction finds nothing to do."""
+    stream = _landed(x, x.fx_grid_daily.select("date", "row", "col", "tau_x_h", "tau_ku_h"), "col", files_per_batch=1)
+    path = scratch_path(x.spark, "ingest")
+    daily.ingest_daily(stream, f"{path}/days", f"{path}/rejected", f"{path}/checkpoint", F.col("tau_ku_h").isNotNull()).awaitTermination()
+    counts = [daily.compact_ingested(x.spark, f"{path}/days", f"{path}/compacted") for _ in range(2)]
+    read = daily.read_compacted(x.spark, f"{path}/days", f"{path}/compacted")
+    return read.select("date", "row", "col", "tau_x_h", "tau_ku_h", F.lit(counts[0]).cast("long").alias("first_days"), F.lit(counts[1]).cast("long").alias("again_days"))
+
+
 @query(
     "str2_sliding_rain",
     """SELECT day AS date, row, col, round(sum(rain), 6) AS rain_7day, count(rain) AS rain_7day_valid_days

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,13 +64,63 @@ def ingest_daily(
     )
 
 
-def read_ingested(spark: SparkSession, target: str, keys: Sequence[str] = ("date", "row", "col")) -> DataFrame:
-    """Rows of an ingested table; of a cell that arrived twice, the one of the first batch."""
+def read_ingested(spark: SparkSession, target: str, keys: Sequence[str] = ("date", "row", "col"), days: DataFrame | None = None) -> DataFrame:
+    """Rows of an ingested table, of some ``days`` if given; of a cell that arrived twice, the one of the first batch."""
     rows = spark.read.parquet(target)
+    if days is not None:
+        rows = rows.join(days.select("date"), ["date"], "left_semi")
     rest = [c for c in rows.columns if c not in keys and c != "batch_id"]
     return scale.first_per_group(rows, list(keys), [F.col("batch_id"), F.xxhash64(*rest)]).drop("batch_id")
 
 
+_MANIFEST = "date date, generation long"
+
+
+def _arrived(spark: SparkSession, target: str) -> DataFrame:
+    """``(date, generation)`` of an ingested table: a day's generation is the number of its batches."""
+    return spark.read.parquet(target).select("date", "batch_id").distinct().groupBy("date").agg(F.count(F.lit(1)).alias("generation"))
+
+
+def _compacted_days(spark: SparkSession, compacted: str) -> DataFrame:
+    """The generations that were compacted and recorded; none before the first compaction."""
+    try:
+        return spark.read.schema(_MANIFEST).parquet(f"{compacted}/manifest").distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def compact_ingested(spark: SparkSession, target: str, compacted: str, keys: Sequence[str] = ("date", "row", "col")) -> int:
+    """Merge the batches of days that have arrived or changed since the last compaction; returns how many days.
+
+    Only those days are read. Their rows are written as a new generation of the day first and recorded in the
+    manifest last, so a compaction that was broken off leaves what readers see as it was, and running it
+    again replaces its files. A replayed batch has the same rows and starts no generation.
+    """
+    stale = _arrived(spark, target).join(_compacted_days(spark, compacted), ["date", "generation"], "left_anti").collect()
+    if not stale:  # at most one row per day of the calendar
+        return 0
+    days = spark.createDataFrame([(r["date"], r["generation"]) for r in stale], _MANIFEST)
+    merged = read_ingested(spark, target, keys, days.select("date")).join(days, "date")
+    spread = merged.repartition(F.col("date"), F.floor(F.col("row") / 100)) if "row" in merged.columns else merged
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "generation").parquet(f"{compacted}/days")
+    days.coalesce(1).write.mode("append").parquet(f"{compacted}/manifest")
+    return len(stale)
+
+
+def read_compacted(spark: SparkSession, target: str, compacted: str, keys: Sequence[str] = ("date", "row", "col")) -> DataFrame:
+    """The rows of ``read_ingested``: a plain scan of days as they were compacted, merged only where batches came since."""
+    arrived, done = _arrived(spark, target), _compacted_days(spark, compacted)
+    open_days = arrived.join(done, ["date", "generation"], "left_anti").select("date")
+    merged = read_ingested(spark, target, keys, open_days)
+    if done.isEmpty():
+        return merged
+    settled = arrived.join(done, ["date", "generation"], "left_semi")
+    scanned = spark.read.parquet(f"{compacted}/days").join(settled, ["date", "generation"], "left_semi")
+    return scanned.select(*merged.columns).unionByName(merged)
+
+
 def sliding_sum(stream: DataFrame, value: str, days: int = 7, late: str = "30 days", keys: Sequence[str] = ("row", "col"), date: str = "date") -> DataFrame:
     """Trailing sums as a sliding window with a watermark for late daily tiles.
 
@@ -113,4 +164,6 @@ def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "
     )
 
 
-__all__ = ["arriving_site_days", "ingest_daily", "read_ingested", "sliding_sum", "watch_folder", "write_available"]
+__all__ = [
+    "arriving_site_days", "compact_ingested", "ingest_daily", "read_compacted", "read_ingested", "sliding_sum", "watch_folder", "write_available",
+]
