@@ -259,3 +259,22 @@ def _(x):
 def _(x):
     made = metrics.describe(x.table("orders"), "o_totalprice", ["o_orderstatus"], large_groups=True)
     return rounded_doubles(rounded(made, "std", digits=5))
+
+
+@query(
+    "ag26_approximate_quantiles",
+    """SELECT grp, count(y) AS n, true AS median_within, true AS p99_within, true AS a_row_has_it FROM fx_pred GROUP BY grp
+       UNION ALL SELECT 'all', count(y), true, true, true FROM fx_pred""",
+    ["fx_pred"],
+)
+def _(x):
+    """Median and 99th percentile by one pass, per group and overall, and whether their ranks are within the stated error."""
+    wanted, error = {"median": 0.5, "p99": 0.99}, 0.001
+    out = None
+    for keys in (["grp"], []):
+        found = metrics.approximate_quantiles(x.fx_pred, "y", wanted, keys, error)
+        off = metrics.rank_errors(x.fx_pred, "y", found, wanted, keys).withColumnsRenamed({c: f"{c}_off" for c in wanted})
+        both = found.join(off, keys) if keys else found.withColumn("grp", F.lit("all")).join(off.withColumn("grp", F.lit("all")), "grp")
+        made = both.select("grp", "n", *[(F.col(f"{c}_off") <= error).alias(f"{c}_within") for c in wanted], F.col("median").isNotNull().alias("a_row_has_it"))
+        out = made if out is None else out.unionByName(made)
+    return out

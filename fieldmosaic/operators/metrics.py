@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -157,6 +158,37 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = (), large_groups:
     return scale.group_quantiles(df, keys, quartiles, plain, large_groups)
 
 
+def approximate_quantiles(
+    df: DataFrame, column: str, probabilities: dict[str, float], keys: Sequence[str] = (), rank_error: float = 0.001
+) -> DataFrame:
+    """Quantiles of groups of any size by one pass and a summary of bounded size.
+
+    Each is a value of the group whose rank is off by ``rank_error`` of the group's rows at most; missing
+    values are left out. For exact quantiles see ``describe``.
+    """
+    accuracy = F.lit(math.ceil(1 / rank_error))
+    picks = [F.percentile_approx(column, F.lit(float(p)), accuracy).alias(name) for name, p in probabilities.items()]
+    return df.groupBy(*keys).agg(F.count(column).alias("n"), *picks)
+
+
+def rank_errors(df: DataFrame, column: str, quantiles: DataFrame, probabilities: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """How far the rank of each value of ``quantiles`` is from the one asked for, as a share of the group's rows.
+
+    A value that several rows have has all of their ranks.
+    """
+    present = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v"))
+    one_row = F.lit(1).alias("__one")
+    named = [F.col(name).alias(f"__{name}") for name in probabilities]
+    left, right = present.select("*", one_row), quantiles.select(*keys, *named, one_row)
+    joined = scale.match_on(left, right.drop("__one"), list(keys)) if keys else left.join(right, "__one")
+    shares = []
+    for name, p in probabilities.items():
+        below = F.avg((F.col("__v") < F.col(f"__{name}")).cast("double"))
+        up_to = F.avg((F.col("__v") <= F.col(f"__{name}")).cast("double"))
+        shares.append(F.greatest(F.lit(0.0), below - F.lit(float(p)), F.lit(float(p)) - up_to).alias(name))
+    return joined.groupBy(*keys).agg(*shares)
+
+
 def raster_statistics(df: DataFrame, band: str, keys: Sequence[str] = (), large_groups: bool = False) -> DataFrame:
     """Share of missing cells, min, median and max of a band."""
     plain = [
