@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmosaic import names
 from fieldmosaic.operators import metrics
 from fieldmosaic.plans import alignment, cleaning, experiments, frames, product
-from fieldmosaic.session import durable
+from fieldmosaic.session import durable, scratch_path
 
 from . import twins
 from .registry import query, rounded, rounded_doubles
@@ -350,6 +350,34 @@ def _(x):
     return made.select("scheme", "model", F.col("repeat").cast("int").alias("repeat"), "split", "n", (F.col("RMSE") >= F.col("MAE")).alias("ordered_errors"))
 
 
+@query(
+    "cp9_resumed_runs",
+    f"""SELECT code AS scheme, 'class_means' AS model, CAST(1 AS INT) AS repeat, split, count(*) AS n, CAST(1 AS INT) AS failed_first, CAST(0 AS INT) AS failed_then, CAST(1 AS INT) AS fits_then
+        FROM ({_experiments_sql(_TWIN_SCHEMES, twins.base(names.CORE_FEATURES))}) GROUP BY ALL""",
+    ["fx_predictors"],
+)
+def _(x):
+    """All schemes, three at once; one run fails, and a second call does that run alone."""
+    base, path, fits = durable(frames.training_base(x.fx_predictors)), scratch_path(x.spark, "runs"), []
+
+    def class_means(frame, numeric, category, seed):
+        fits.append(category)
+        if category == "FT" and len(fits) <= len(frames.SCHEMES):
+            raise RuntimeError("lost")
+        means = frame.where("split = 'train'").groupBy(category).agg(F.avg("lfmc_pct").alias("lfmc_pred"))
+        whole = frame.where("split = 'train'").agg(F.avg("lfmc_pct").alias("overall")).first()["overall"]
+        return frame.join(means, category, "left").fillna(whole, ["lfmc_pred"])
+
+    counts = []
+    for _ in range(2):
+        before = len(fits)
+        failed = experiments.run_resumable(base, frames.SCHEMES, {"class_means": class_means}, path)
+        counts += [len(failed), len(fits) - before]
+    shown = {"failed_first": counts[0], "failed_then": counts[2], "fits_then": counts[3]}
+    made = experiments.finished_runs(x.spark, path)
+    return made.select("scheme", "model", F.col("repeat").cast("int").alias("repeat"), "split", "n", *[F.lit(v).cast("int").alias(k) for k, v in shown.items()])
+
+
 @query(
     "cp10_model_comparison",
     """SELECT scheme, model, split, round(avg(rmse), 6) AS rmse_mean, round(stddev_samp(rmse), 6) AS rmse_std, max(repeat_no) AS n_samples FROM fx_runs GROUP BY ALL ORDER BY 1, 2, 3""",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import names
@@ -50,6 +53,53 @@ def run_experiments(base: DataFrame, specs: Sequence[FrameSpec], trainers: dict[
     return out
 
 
+RUN = ["scheme", "model", "repeat"]
+
+
+def finished_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Metric rows of the runs under a folder that have ended; none before the first."""
+    schema = "split string, n long, MAE double, RMSE double, R double, scheme string, model string, repeat int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/runs")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_resumable(
+    base: DataFrame, specs: Sequence[FrameSpec], trainers: dict[str, Trainer], path: str, repeats: int = 1, seed: int = names.SPLIT_SEED, at_once: int = 3
+) -> dict[tuple[str, str, int], str]:
+    """Runs of ``run_experiments`` that have not ended yet, several at once; returns the errors of those that failed.
+
+    Up to ``at_once`` fits share the cluster, each in a scheduler pool of its own (they take turns fairly where the
+    application schedules so). A run's few rows are one file, written when it has ended, so whatever stops
+    the application, the next call does the runs that are missing and no other; a failure stops no other run.
+    Read the results with ``finished_runs``. Persist ``base`` before calling.
+    """
+    spark = base.sparkSession
+    done = {tuple(r) for r in finished_runs(spark, path).select(*RUN).distinct().collect()}
+    asked = [(spec, name, repeat) for spec in specs for repeat in range(1, repeats + 1) for name in trainers]
+
+    def one(spec: FrameSpec, name: str, repeat: int) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{spec.code}-{name}-{repeat}")
+        predicted = trainers[name](experiment_frame(base, spec, seed), numeric_columns(base, spec), spec.category, seed + repeat - 1)
+        rows = metrics.regression_metrics(predicted, ["split"], "lfmc_pct", "lfmc_pred").select("split", "n", "MAE", "RMSE", "R")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/scheme={spec.code}/model={name}/repeat={repeat}")
+
+    failed = {}
+    with ThreadPoolExecutor(max_workers=at_once) as workers:
+        running = {
+            workers.submit(inheritable_thread_target(spark)(one), spec, name, repeat): (spec.code, name, repeat)
+            for spec, name, repeat in asked if (spec.code, name, repeat) not in done
+        }
+        for ended, run in running.items():
+            error = ended.exception()
+            if error is not None:
+                failed[run] = f"{type(error).__name__}: {error}"
+    return failed
+
+
 def with_agreement(base: DataFrame, seed: int = names.SPLIT_SEED) -> DataFrame:
     """Base rows with split and the label/class agreement flag."""
     return splits.spatial_split(base, seed).withColumn("is_consistent", F.col("igbp_to_lc_dom").eqNullSafe(F.col("lc_dom")))
