@@ -166,7 +166,9 @@ def approximate_quantiles(
     Each is a value of the group whose rank is off by ``rank_error`` of the group's rows at most; missing
     values are left out. For exact quantiles see ``describe``.
     """
-    accuracy = F.lit(math.ceil(1 / rank_error))
+    # Spark's summary may be off by its own bound and one row more; half the bound leaves room for that row,
+    # and groups too small for it are kept whole
+    accuracy = F.lit(math.ceil(2 / rank_error))
     picks = [F.percentile_approx(column, F.lit(float(p)), accuracy).alias(name) for name, p in probabilities.items()]
     return df.groupBy(*keys).agg(F.count(column).alias("n"), *picks)
 
