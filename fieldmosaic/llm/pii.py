@@ -16,11 +16,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import strings
@@ -60,6 +60,7 @@ _SCRIPTS = {
 _PARTS = [rf"(?:[{up}]['’])?(?:[{up}][{low}]+)+" for up, low in _SCRIPTS.values()]
 _WORD = "(?:" + "|".join(f"{part}(?:-{part})*" for part in _PARTS) + ")"
 _INITIALS = "(?:[" + "".join(up for up, _ in _SCRIPTS.values()) + r"]\. ?)*"
+_RUN = re.compile(r"\w+")
 _NAME = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})\.? (?:({_WORD}) )?({_INITIALS})({_WORD})(?!\w)")
 #: Syllables of surrogate names, and their endings by gender ("" for a family name).
 _SYLLABLES = {
@@ -146,18 +147,36 @@ def detect(text: str) -> list[Span]:
             found.append(Span(m.start(2), m.end(2), *names[given], given))
         names.setdefault(family, (f"family::{_script(family)}", family.lower()))
         found.append(Span(m.start(3), m.end(4), *names[family], text[m.start(3) : m.end(4)]))
-    if names:
-        # a name found once is the same name wherever else the text has it
-        again = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
-        for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text):
-            add(names[m.group()][0], m, names[m.group()][1])
-    kept: list[Span] = []
+    # a name found once is the same name wherever else the text has it
+    found.extend(Span(begin, end, *names[name], name) for begin, end, name in mentions(text, names))
+    taken, kept = bytearray(len(text) if found else 0), []
     for span in found:
-        if all(span.end <= k.begin or span.begin >= k.end for k in kept):
+        if taken.find(1, span.begin, span.end) < 0:
+            taken[span.begin : span.end] = b"\1" * (span.end - span.begin)
             kept.append(span)
     return sorted(kept, key=lambda s: s.begin)
 
 
+def mentions(text: str, names: Iterable[str]) -> Iterator[tuple[int, int, str]]:
+    """Where whole words of a text are one of the names, the longest name first, without overlaps.
+
+    One pass over the words: each looks up only the lengths of names that begin with it.
+    """
+    lengths: dict[str, set[int]] = {}
+    for name in names:
+        lengths.setdefault(_RUN.match(name).group(), set()).add(len(name))
+    longest_first = {run: sorted(sizes, reverse=True) for run, sizes in lengths.items()}
+    known, free = set(names), 0
+    for m in _RUN.finditer(text) if known else ():
+        begin = m.start()
+        for size in longest_first.get(m.group(), ()) if begin >= free else ():
+            end = begin + size
+            if end <= len(text) and text[begin:end] in known and not _RUN.match(text, end):
+                yield begin, end, text[begin:end]
+                free = end
+                break
+
+
 class Draw:
     """Keyed pseudo-random choices for one original."""
 
@@ -236,20 +255,20 @@ def render(kind: str, surface: str, value: str) -> str:
     return value
 
 
-_SPANS = "row_key long, begin int, end int, kind string, original string, surface string"
+_SPANS = "doc_id long, row_key long, begin int, end int, kind string, original string, surface string"
 
 
 def entities(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Every detected span; ``row_key`` is a hash of id and text."""
+    """Every detected span with its document's id; ``row_key`` is a hash of id and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out: dict[str, list] = {"row_key": [], "begin": [], "end": [], "kind": [], "original": [], "surface": []}
-            for key, text in zip(rows.column(2).to_pylist(), strings(rows.column(1))):
+            out: dict[str, list] = {"doc_id": [], "row_key": [], "begin": [], "end": [], "kind": [], "original": [], "surface": []}
+            for doc_id, key, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strings(rows.column(1))):
                 for s in detect(text):
-                    for name, value in zip(out, (key, s.begin, s.end, s.kind, s.original, s.surface)):
+                    for name, value in zip(out, (doc_id, key, s.begin, s.end, s.kind, s.original, s.surface)):
                         out[name].append(value)
-            yield batch(out, row_key=pa.int64(), begin=pa.int32(), end=pa.int32(), kind=pa.string(), original=pa.string(), surface=pa.string())
+            yield batch(out, doc_id=pa.int64(), row_key=pa.int64(), begin=pa.int32(), end=pa.int32(), kind=pa.string(), original=pa.string(), surface=pa.string())
 
     key = F.xxhash64(F.col(id_column), F.col(text_column)).alias("row_key")
     return arrow_map(id_and_text(docs, key, id_column=id_column, text_column=text_column), work, _SPANS).distinct()
@@ -267,9 +286,21 @@ def _mapped(df: DataFrame, make: Callable[..., str], inputs: list[str], name: st
     return arrow_map(df, work, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{name} string"]))
 
 
+def _group(kind: Column) -> Column:
+    """Kinds whose originals share one space of surrogates: a name is the same in every role."""
+    return F.when(kind.startswith("given:") | kind.startswith("family:"), "name").otherwise(kind)
+
+
 def surrogates(originals: DataFrame, key: bytes) -> DataFrame:
-    """``(kind, original, surrogate)``: one surrogate each, all different, none an original."""
-    originals = written(originals.select("kind", "original").distinct(), "originals")
+    """``(kind, original, surrogate)``: one surrogate each, all different, none an original.
+
+    A name that appears in several roles has one surrogate and is listed once, as kind
+    ``name``; its form follows a given name before a family name.
+    """
+    role = F.struct(F.col("kind").startswith("family:"), F.col("kind").alias("kind"))
+    originals = written(
+        originals.groupBy(_group(F.col("kind")).alias("group"), "original").agg(F.min(role)["kind"].alias("kind")), "originals"
+    )
     settled: list[DataFrame] = []
     pending = originals
     for attempt in range(MOST_ROUNDS):
@@ -277,14 +308,14 @@ def surrogates(originals: DataFrame, key: bytes) -> DataFrame:
             _mapped(pending, lambda kind, original, attempt=attempt: surrogate(kind, original, key, attempt), ["kind", "original"], "surrogate"),
             "surrogates",
         )
-        taken = originals.select("kind", F.col("original").alias("surrogate"))
+        taken = originals.select("group", F.col("original").alias("surrogate"))
         for done in settled:
-            taken = taken.unionByName(done.select("kind", "surrogate"))
-        first = proposed.groupBy("kind", "surrogate").agg(F.min("original").alias("original"))
-        good = proposed.join(first, ["kind", "surrogate", "original"], "left_semi").join(taken, ["kind", "surrogate"], "left_anti")
-        bad = written(proposed.join(good, ["kind", "original"], "left_anti").select("kind", "original"), "redrawn")
+            taken = taken.unionByName(done.select("group", "surrogate"))
+        first = proposed.groupBy("group", "surrogate").agg(F.min("original").alias("original"))
+        good = proposed.join(first, ["group", "surrogate", "original"], "left_semi").join(taken, ["group", "surrogate"], "left_anti")
+        bad = written(proposed.join(good, ["group", "original"], "left_anti").select("group", "original", "kind"), "redrawn")
         clash = not bad.isEmpty()
-        settled.append(written(good.select("kind", "original", "surrogate"), "settled") if clash else proposed)
+        settled.append(written(good.select("group", "original", "surrogate"), "settled") if clash else proposed.select("group", "original", "surrogate"))
         if not clash:
             break
         pending = bad
@@ -293,7 +324,16 @@ def surrogates(originals: DataFrame, key: bytes) -> DataFrame:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out
+    return out.withColumnRenamed("group", "kind")
+
+
+def replace_spans(text: str, spans: list[dict]) -> str:
+    """A text with ascending spans replaced, in one pass."""
+    parts, at = [], 0
+    for span in spans:
+        parts += (text[at : span["begin"]], span["put"])
+        at = span["end"]
+    return "".join([*parts, text[at:]])
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text", id_column: str = "doc_id", count: str | None = None) -> DataFrame:
@@ -301,25 +341,32 @@ def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text", id_colu
 
     All other columns stay as they are. Null and empty texts stay; repeated rows are
     all returned. A table without entities, or without rows, is returned unchanged.
+    The cost of a text is linear in its length and its entities.
     """
     spans = written(entities(docs, text_column, id_column), "spans")
-    chosen = spans.join(surrogates(spans, key), ["kind", "original"])
-    rendered = _mapped(chosen.select("row_key", "begin", "end", "kind", "surface", "surrogate"), render, ["kind", "surface", "surrogate"], "put")
-    row, mine, put = (unused(docs, name) for name in ("__row", "__key", "__spans"))
-    per_row = rendered.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "put"))).alias(put))
+    made = surrogates(spans, key).withColumnRenamed("kind", "group")
+    chosen = spans.withColumn("group", _group(F.col("kind"))).join(made, ["group", "original"])
+    rendered = _mapped(
+        chosen.select("doc_id", "row_key", "begin", "end", "kind", "surface", "surrogate"), render, ["kind", "surface", "surrogate"], "put"
+    )
+    row, doc, mine, put = (unused(docs, name) for name in ("__row", "__doc", "__key", "__spans"))
+    per_row = rendered.groupBy(F.col("row_key").alias(row), F.col("doc_id").alias(doc)).agg(
+        F.array_sort(F.collect_list(F.struct("begin", "end", "put"))).alias(put)
+    )
+
+    @F.arrow_udf("string")
+    def replaced(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array(
+            [t.as_py() if not s.is_valid else replace_spans(t.as_py(), s.as_py()) for t, s in zip(texts, lists)], pa.string()
+        )
+
     text = F.col(text_column)
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-    replaced = F.aggregate(
-        put, start,
-        lambda acc, s: F.struct(
-            F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), s["put"])).alias("parts"), s["end"].alias("at")
-        ),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+    joined = docs.withColumn(mine, F.xxhash64(F.col(id_column), text)).join(
+        per_row, (F.col(mine) == F.col(row)) & F.col(id_column).cast("long").eqNullSafe(F.col(doc)), "left"
     )
-    joined = docs.withColumn(mine, F.xxhash64(F.col(id_column), text)).join(per_row.withColumnRenamed("row_key", row), F.col(mine) == F.col(row), "left")
-    found = F.col(put).isNotNull()
-    columns = [F.when(found, replaced).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns]
-    return joined.select(*columns, *([F.when(found, F.size(put)).otherwise(0).cast("long").alias(count)] if count else []))
+    columns = [replaced(text, F.col(put)).alias(c) if c == text_column else F.col(c) for c in docs.columns]
+    counted = F.when(F.col(put).isNotNull(), F.size(put)).otherwise(0).cast("long")
+    return joined.select(*columns, *([counted.alias(count)] if count else []))
 
 
 #: The key of the registered query and the pipeline; a deployment passes its own.

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldmosaic.llm import pii as P
@@ -99,6 +103,73 @@ def test_odd_tables(odd_documents, no_documents):
     assert sum(n for *_, n in replaced(marked.union(marked))) == 2
 
 
+def plain_mentions(text, names):
+    """Every whole-word occurrence by trying all names at all places."""
+    out, at = [], 0
+    while at < len(text):
+        fits = [
+            n for n in sorted(names, key=len, reverse=True)
+            if text.startswith(n, at) and not re.match(r"\w", text[at - 1 : at]) and not re.match(r"\w", text[at + len(n) :])
+        ]
+        if fits:
+            out.append((at, at + len(fits[0]), fits[0]))
+        at += len(fits[0]) if fits else 1
+    return out
+
+
+def plain_text(text, put):
+    """Spans chosen pair by pair and replaced from the end, with the surrogates by group and original."""
+    spans = P.detect(text)
+    assert all(a.end <= b.begin for a, b in zip(spans, spans[1:]))
+    for s in reversed(spans):
+        group = "name" if s.kind.startswith(("given", "family")) else s.kind
+        text = text[: s.begin] + P.render(s.kind, s.surface, put[group, s.original]) + text[s.end :]
+    return text
+
+
+PIECES = [
+    "Mrs Anna Smith", "Mr Smith", "Smith-Jones", "Mr Smith-Jones", "Anna", "O'Brien", "Ms J. O'Brien", "Smithy", "Mr Anna", "a.b@c.org", "A.B@C.org",
+    "10.20.30.40", "555-123-4567", "password=10.20.30.40", "Herr Müller-Lüdenscheidt", "Müller", "Müller-Lüdenscheidt's", "Госпожа Иванова", "Иванова",
+    "\U0001f600", "4012 8888 8888 1881", "plain words", "",
+]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map(" ".join), st.sets(st.sampled_from(["Smith", "Smith-Jones", "Anna", "Müller", "O'Brien", "Jones-Anna"])))
+@settings(max_examples=300, deadline=None)
+def test_mentions_by_brute_force(text, names):
+    text = text.replace("Jones Anna", "Jones-Anna")
+    assert list(P.mentions(text, names)) == plain_mentions(text, names)
+
+
+def test_whole_texts_by_brute_force(documents):
+    draw = random.Random(7)
+    texts = [" ".join(draw.choices(PIECES, k=draw.randrange(30))) for _ in range(200)]
+    docs = documents(list(enumerate(texts)))
+    chosen = {(r.kind, r.original): r.surrogate for r in P.surrogates(P.entities(docs), KEY).collect()}
+    everything = {("name" if s.kind.startswith(("given", "family")) else s.kind, s.original) for t in texts for s in P.detect(t)}
+    assert chosen.keys() == everything and len({(k, v) for (k, _), v in chosen.items()}) == len(chosen)
+    assert not {(k, v) for (k, _), v in chosen.items()} & everything
+    assert [(i, t) for i, t, _ in sorted(replaced(docs))] == [(i, plain_text(t, chosen)) for i, t in enumerate(texts)]
+
+
+def test_one_surrogate_for_a_name_in_any_role(documents):
+    docs = documents([(1, "Mrs Anna Smith"), (2, "Mr Anna"), (3, "Mr Anna Jones"), (4, "Herr Smith Anna")])
+    found = {i: t.split() for i, t, _ in replaced(docs)}
+    assert found[1][1] == found[2][1] == found[3][1] == found[4][2] and found[1][2] == found[4][1]
+    assert found[1][1].lower().endswith(("na", "lia", "ra"))  # a woman's given name where one role says so
+
+
+def test_many_entities_in_one_text(documents):
+    syllables = ["Ba", "De", "Ki", "Lo", "Mu", "Ra", "Su", "To", "Va", "Ze"]
+    names = [syllables[i // 10000 % 10] + "".join(syllables[i // d % 10].lower() for d in (1000, 100, 10, 1)) for i in range(20_000)]
+    text = " ".join(f"Mr {n} at 10.{i // 250 % 250}.{i % 250}.7, {n}-x too." for i, n in enumerate(names))
+    started = time.monotonic()
+    spans = P.detect(text)
+    assert time.monotonic() - started < 20 and len(spans) == 60_000
+    ((_, new, n),) = replaced(documents([(1, text)]))
+    assert n == 60_000 and len(P.detect(new)) == n
+
+
 @pytest.mark.parametrize("attempt", [0, 9, 17])
 def test_redraws_differ_and_may_widen(attempt):
     for kind, original in (("email", "a@b.co"), ("phone", "5551234"), ("ip", "1.1.1.1"), ("secret", "abcdef"), ("card", "4012888888881881"), ("given:m:greek", "άρης")):
