@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmosaic import names
-from fieldmosaic.operators import metrics
+from fieldmosaic.operators import align, metrics
 from fieldmosaic.plans import alignment, cleaning, experiments, frames, product
 from fieldmosaic.session import durable, scratch_path
+from fieldmosaic.sources import bucketed
 
 from . import twins
 from .registry import query, rounded, rounded_doubles
@@ -295,9 +296,7 @@ def _(x):
     return rounded_doubles(made.where("n_classes > 0"), 6)
 
 
-@query(
-    "cp8_daily_features_all_days",
-    f"""WITH days AS (SELECT DISTINCT date FROM fx_grid_daily), comp AS (SELECT DISTINCT index_date + 5 AS d FROM fx_lai8),
+_ALL_DAYS_SQL = f"""WITH days AS (SELECT DISTINCT date FROM fx_grid_daily), comp AS (SELECT DISTINCT index_date + 5 AS d FROM fx_lai8),
         br AS (SELECT date, max(CASE WHEN d <= date THEN d END) AS lo, min(CASE WHEN d >= date THEN d END) AS hi FROM days, comp GROUP BY date),
         la AS (SELECT br.date, a.row, a.col, CASE WHEN lo = hi THEN a.lai ELSE a.lai * (1 - (br.date - lo) / (hi - lo)) + b.lai * ((br.date - lo) / (hi - lo)) END AS lai
                FROM br JOIN fx_lai8 a ON a.index_date + 5 = br.lo JOIN fx_lai8 b ON b.index_date + 5 = br.hi AND b.row = a.row AND b.col = a.col),
@@ -309,7 +308,22 @@ def _(x):
         SELECT date, CAST(row // 300 AS INT) AS band, count(*) AS n_cells, {', '.join(f'count({b}) AS n_{b}, round(sum({b}), 9) AS sum_{b}' for b in ('tau_ku_h', 'tau_x_h', 'tau_c_h'))},
                count(LST) AS n_lst, round(sum(r7), 9) AS sum_rain_7day, CAST(sum(n7) AS BIGINT) AS sum_rain_days, count(lai) AS n_lai, round(sum(lai), 9) AS sum_lai, round(sum(canopy_height), 9) AS sum_height,
                count(GRA) AS n_classes, round(sum(m_Herb), 9) AS sum_herb, count(*) FILTER (tau_ku_h IS NOT NULL OR tau_x_h IS NOT NULL OR tau_c_h IS NOT NULL OR lai IS NOT NULL OR LST IS NOT NULL) AS n_valid
-        FROM f GROUP BY 1, 2""",
+        FROM f GROUP BY 1, 2"""
+
+
+def _by_day_and_strip(table, bands):
+    sums = [f for b in bands for f in (F.count(b).alias(f"n_{b}"), F.sum(b).alias(f"sum_{b}"))]
+    made = table.groupBy("date", F.floor(F.col("row") / 300).cast("int").alias("band")).agg(
+        F.count(F.lit(1)).alias("n_cells"), *sums, F.count("LST").alias("n_lst"), F.sum("rain_7day").alias("sum_rain_7day"),
+        F.sum("rain_7day_valid_days").alias("sum_rain_days"), F.count("LAI").alias("n_lai"), F.sum("LAI").alias("sum_lai"),
+        F.sum("Hveg").alias("sum_height"), F.count("GRA").alias("n_classes"), F.sum("Herb").alias("sum_herb"), F.sum("valid_for_inference").alias("n_valid"),
+    )
+    return rounded_doubles(made, 9)
+
+
+@query(
+    "cp8_daily_features_all_days",
+    _ALL_DAYS_SQL,
     ["fx_grid_daily", "fx_lai8", "fx_static", "fx_classes"],
 )
 def _(x):
@@ -327,13 +341,36 @@ def _(x):
         bands=bands,
         observed=grid,
     )
-    sums = [f for b in bands for f in (F.count(b).alias(f"n_{b}"), F.sum(b).alias(f"sum_{b}"))]
-    made = table.groupBy("date", F.floor(F.col("row") / 300).cast("int").alias("band")).agg(
-        F.count(F.lit(1)).alias("n_cells"), *sums, F.count("LST").alias("n_lst"), F.sum("rain_7day").alias("sum_rain_7day"),
-        F.sum("rain_7day_valid_days").alias("sum_rain_days"), F.count("LAI").alias("n_lai"), F.sum("LAI").alias("sum_lai"),
-        F.sum("Hveg").alias("sum_height"), F.count("GRA").alias("n_classes"), F.sum("Herb").alias("sum_herb"), F.sum("valid_for_inference").alias("n_valid"),
+    return _by_day_and_strip(table, bands)
+
+
+@query("cp8_bucketed_features", _ALL_DAYS_SQL, ["fx_grid_daily", "fx_lai8", "fx_static", "fx_classes"])
+def _(x):
+    """The same features from tables bucketed by cell: no join shuffles the cells of the days."""
+    grid = x.fx_grid_daily
+    bands = ["tau_ku_h", "tau_x_h", "tau_c_h"]
+    path = scratch_path(x.spark, "buckets")
+    count = int(x.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(name, df, partition=None):
+        return bucketed.write_bucketed(df, f"{name}_{path[-12:]}", f"{path}/{name}", count, partition)
+
+    lai = x.fx_lai8.select(F.date_add("index_date", 5).alias("date"), "row", "col", F.col("lai").alias("LAI"))
+    daily = kept("daily", grid.select("date", "row", "col", F.col("qc_raw").alias("VOD_QC"), *bands, F.col("tau_x_h").alias("LST"), "rain"), "date")
+    table = product.daily_features(
+        grid.select("date").distinct(),
+        daily.select("date", "row", "col", "VOD_QC", *bands),
+        lai,
+        daily.select("date", "row", "col", "LST"),
+        daily.select("date", "row", "col", "rain"),
+        kept("static", x.fx_static.select("row", "col", F.col("canopy_height").alias("Hveg"))),
+        kept("annual", x.fx_classes.drop("cell").withColumn("year", F.col("year") + 1)),
+        bands=bands,
+        cells=kept("cells", grid.select("row", "col").distinct()),
+        segments=kept("segments", align.composite_segments(lai, "LAI")),
     )
-    return rounded_doubles(made, 9)
+    seen = daily.select("date", "row", "col")
+    return _by_day_and_strip(table.join(seen, ["date", "row", "col"], "left_semi"), bands)
 
 
 @query(

@@ -137,9 +137,14 @@ def interpolated_values(samples: DataFrame, grid: DataFrame, value: str, segment
     """
     bracket = bracketing_days(samples, grid).select("date", F.col("prev_date").alias("__start"), F.col("weight").alias("__weight"))
     pairs = composite_segments(grid, value) if segments is None else segments
-    pairs = pairs.select(F.col("start_date").alias("__start"), *CELL, F.col("low").alias("__low"), F.col("high").alias("__high"))
+    return between_composites(samples.join(bracket, ["date"], "left"), pairs, value)
+
+
+def between_composites(samples: DataFrame, segments: DataFrame, value: str) -> DataFrame:
+    """Interpolated values of rows that know their segment's ``__start`` and the ``__weight`` of its end; both are dropped."""
+    pairs = segments.select(F.col("start_date").alias("__start"), *CELL, F.col("low").alias("__low"), F.col("high").alias("__high"))
     blended = F.col("__low") * (F.lit(1.0) - F.col("__weight")) + F.col("__high") * F.col("__weight")
-    joined = samples.join(bracket, ["date"], "left").join(pairs, ["__start", *CELL], "left")
+    joined = samples.join(pairs, ["__start", *CELL], "left")
     found = joined.withColumn(value, F.when(F.col("__weight") == 0, F.col("__low")).otherwise(blended))
     return found.drop("__start", "__weight", "__low", "__high")
 

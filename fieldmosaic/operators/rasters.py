@@ -97,6 +97,18 @@ def _centre(cell_deg: float) -> list[Column]:
     ]
 
 
+def cells_on_days(cells: DataFrame, brackets: DataFrame, cell_deg: float = names.CELL_DEG) -> DataFrame:
+    """Every cell on every day of ``align.bracketing_days``, with ``__start`` and ``__weight`` of its composite.
+
+    The days are collected, one row per day of the calendar, and written into the plan: the cells
+    keep their distribution, which a join by date would lose.
+    """
+    days = brackets.select("date", "prev_date", "weight").collect()
+    listed = [F.struct(F.lit(d).alias("date"), F.lit(start).cast("date").alias("__start"), F.lit(weight).cast("double").alias("__weight")) for d, start, weight in days]
+    none = F.array().cast("array<struct<date:date,__start:date,__weight:double>>")
+    return cells.select("row", "col", F.inline(F.array(*listed) if listed else none)).select("date", "row", "col", *_centre(cell_deg), "__start", "__weight")
+
+
 def observed_cells(observed: DataFrame, dates: DataFrame, cell_deg: float = names.CELL_DEG) -> DataFrame:
     """The distinct cells of some rows on the given dates, with centre coordinates: a sparse ``scaffold``."""
     kept = observed.select("date", "row", "col").distinct().join(dates.select("date").distinct(), ["date"], "left_semi")

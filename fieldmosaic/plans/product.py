@@ -25,6 +25,8 @@ def daily_features(
     bands: Sequence[str] = tuple(names.BANDS),
     qc: str = "VOD_QC",
     observed: DataFrame | None = None,
+    cells: DataFrame | None = None,
+    segments: DataFrame | None = None,
     **grid,
 ) -> DataFrame:
     """Every cell of every date with all predictors and validity flags.
@@ -32,13 +34,20 @@ def daily_features(
     With ``observed(date, row, col)`` only those cells are built: about one cell in
     twenty has data on a day, and a mask that needs a daily value drops the others anyway.
 
+    With ``cells(row, col)`` and ``segments`` (``align.composite_segments`` of ``lai``), both and the other tables
+    written by ``bucketed.write_bucketed``, no join shuffles the cells of the days.
+
     Date is a key like row and column, so a year of days is one job. The rain
     total is computed on the rain table, which holds only valid cells, before
     it meets the full grid.
     """
     masked = daily.select("date", "row", "col", qc, *[c for c in daily.columns if c in ("SM",)], *qcbits.mask_by_raw_zero(bands, qc))
     keys = ["date", "row", "col"]
-    base = rasters.scaffold(dates, **grid) if observed is None else rasters.observed_cells(observed, dates)
+    if cells is not None:
+        asked_days = dates.select("date").distinct().join(align.bracketing_days(dates, lai), ["date"], "left")
+        base = rasters.cells_on_days(cells, asked_days)
+    else:
+        base = rasters.scaffold(dates, **grid) if observed is None else rasters.observed_cells(observed, dates)
     today = rain.select(*keys, "rain")
     asked = rain_rows(dates, today)
     totals = windows.trailing_sum(asked, "rain", 7, out="rain_7day")
@@ -47,7 +56,10 @@ def daily_features(
     out = align.annual_values(out.withColumn("year", F.year("date")), annual).drop("year")
     out = out.join(masked, keys, "left").join(lst, keys, "left").join(totals, keys, "left")
     out = out.withColumn("rain_7day_valid_days", F.coalesce("rain_7day_valid_days", F.lit(0)))
-    out = align.interpolated_values(out, lai, "LAI")
+    if cells is None:
+        out = align.interpolated_values(out, lai, "LAI", segments)
+    else:
+        out = align.between_composites(out, align.composite_segments(lai, "LAI") if segments is None else segments, "LAI")
     present = {c: F.expr(values.finite_text(c)) if c in out.columns else F.lit(None).cast("double") for c in [*names.VEGETATION_CLASSES, *names.NONVEGETATION_CLASSES]}
     out = out.withColumns(present).withColumns(landcover.merged_groups()).withColumns(landcover.merged_dominant())
     return out.withColumns(
