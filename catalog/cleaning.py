@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldmosaic.operators import cleaning, dedup, metrics, scale
+from fieldmosaic.operators import cleaning, day_sketches, dedup, metrics, scale
 from fieldmosaic.plans import frames
 from fieldmosaic import names
 
@@ -223,6 +223,23 @@ def _(x):
     return rounded(cleaning.summarise(standard(x)), "lfmc_mean")
 
 
+@query(
+    "ag6_merged_day_sketches",
+    "WITH " + twins.STD + """ SELECT count(*) AS n_rows, min(lfmc_pct) AS min_value, max(lfmc_pct) AS max_value, round(avg(lfmc_pct), 6) AS mean_value,
+       min(date) AS date_min, max(date) AS date_max, count(DISTINCT site_id) AS n_sites, true AS within_error FROM std""",
+    ["fx_obs"],
+)
+def _(x):
+    """The summary from sketches of single days; its estimate of sites is compared with the exact count, which is returned."""
+    rows = standard(x)
+    report = day_sketches.merged_report(day_sketches.day_sketches(rows, {"sites": ["site_id"]}, "lfmc_pct"), ["sites"])
+    exact = rows.agg(F.count_distinct("site_id").alias("n"))
+    off = F.abs(F.col("n_sites") - F.col("n")) <= F.lit(day_sketches.RELATIVE_ERROR) * F.col("n")
+    both = report.withColumn("one", F.lit(1)).join(exact.withColumn("one", F.lit(1)), "one")
+    made = both.withColumns({"within_error": off, "n_sites": F.col("n")}).drop("one", "n")
+    return rounded(made, "mean_value")
+
+
 # Sites whose name occurs at two longitudes, and places with two names, by a shifted copy of the samples.
 _MOVED = """moved AS (
   SELECT sorting_id, bad_coord, lat, CASE WHEN sorting_id % 1000 = 0 AND site_name < 'site_2' THEN lon + 1 ELSE lon END AS lon,
