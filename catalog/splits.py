@@ -40,8 +40,8 @@ def _(x):
 )
 def _(x):
     keyed = x.fx_pred.withColumn("y", F.round(F.col("y") * 100000).cast("bigint"))
-    unique = keyed.select("split", "grp", "l_orderkey", "l_linenumber", "y").distinct()
-    return splits.seeded_sample(unique, ["split", "grp"], ["l_orderkey", "l_linenumber", "y"], 500).drop("y")
+    rows = keyed.select("split", "grp", "l_orderkey", "l_linenumber", "y")
+    return splits.seeded_sample(rows, ["split", "grp"], ["l_orderkey", "l_linenumber", "y"], 500, unique=True).drop("y")
 
 
 @query(
