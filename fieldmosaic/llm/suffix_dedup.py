@@ -43,6 +43,7 @@ BLOCK_BYTES = 6 << 20
 STRETCH = 1 << 19
 INDEX_SYMBOLS = 1 << 19
 INDEX_CONTEXTS = 20_000
+JUDGED = 1 << 18
 
 _BLOCK = "block long, doc_ids array<long>, starts binary, text binary"
 _CONTEXT = "anchor long, block long, low long, left binary, right binary, single boolean, marks binary"
@@ -141,6 +142,39 @@ def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
+def _judged(lists: list[np.ndarray], many: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each list of distinct sorted hashes: which are repeated, and which no list before has.
+
+    ``many``: hashes that their own list stands for more than once. Judged a range of about JUDGED hashes at a time.
+    """
+    again, fresh = ([np.zeros(len(x), bool) for x in lists] for _ in range(2))
+    filled = [x for x in lists if len(x)]
+    if not filled:
+        return again, fresh
+    low, high = int(min(x[0] for x in filled)), int(max(x[-1] for x in filled))
+    ranges = -(-sum(map(len, lists)) // JUDGED)
+    edges = np.array([low + (high - low) * i // ranges for i in range(1, ranges)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in lists]
+    for r in range(ranges):
+        spans = [slice(c[r], c[r + 1]) for c in cuts]
+        every = np.concatenate([x[s] for x, s in zip(lists, spans)])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        opens = np.ones(len(every), bool)
+        opens[1:] = every[1:] != every[:-1]
+        times = np.concatenate([m[s] for m, s in zip(many, spans)])[order].astype(np.int8) + np.int8(1)
+        first = np.flatnonzero(opens)
+        repeated, new = np.empty(len(every), bool), np.empty(len(every), bool)
+        if len(first):
+            repeated[order] = np.repeat(np.add.reduceat(times, first, dtype=np.int64) > 1, np.diff(np.append(first, len(every))))
+        new[order] = opens
+        at = np.cumsum([s.stop - s.start for s in spans])[:-1]
+        for outs, values in ((again, repeated), (fresh, new)):
+            for out, s, part in zip(outs, spans, np.split(values, at)):
+                out[s] = part
+    return again, fresh
+
+
 def _repeats(blocks: DataFrame, buckets: int) -> DataFrame:
     """Per block and bucket, bits for its distinct anchors and contexts in hash order.
 
@@ -164,31 +198,24 @@ def _repeats(blocks: DataFrame, buckets: int) -> DataFrame:
                 yield batch(out, block=pa.int64(), bucket=pa.int32(), anchors=pa.binary(), contexts=pa.binary(), many=pa.binary())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
+        some: list[tuple] = []
         for rows in batches:
-            for block, bucket, *values in zip(*(rows.column(c).to_pylist() for c in ("block", "bucket", "anchors", "contexts", "many"))):
-                parts.setdefault(bucket, []).append((block, *values))
-        for bucket, some in parts.items():
-            some.sort()
-            sides = [[np.frombuffer(p[1 + side], np.uint64) for p in some] for side in (0, 1)]
-            flags = [np.unpackbits(np.frombuffer(p[3], np.uint8)).astype(bool) for p in some]
-            bits = []
-            for side in (0, 1):
-                every = np.concatenate(sides[side])
-                many = np.concatenate([f[len(a) : len(a) + len(c)] if side else f[: len(a)] for f, a, c in zip(flags, *sides)])
-                _, first, at, counts = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
-                again = np.bincount(at, weights=many, minlength=len(counts)) + counts > 1
-                shown = np.zeros(len(every), bool)
-                shown[first] = True
-                bits.append((again[at], shown))
-            ends = [np.cumsum([0, *[len(x) for x in side]]) for side in sides]
-            for i, (block, *_) in enumerate(some):
-                a, c = (slice(e[i], e[i + 1]) for e in ends)
-                told = np.concatenate([bits[0][0][a], bits[1][0][c], bits[1][1][c]])
-                yield batch({"block": [block], "bucket": [bucket], "bits": [np.packbits(told).tobytes()]}, block=pa.int64(), bucket=pa.int32())
+            columns = (rows.column(c) for c in ("block", "bucket", "anchors", "contexts", "many"))
+            for block, bucket, anchor, context, many in zip(*columns):
+                sides = [np.frombuffer(x.as_buffer(), np.uint64) for x in (anchor, context)]
+                flags = np.unpackbits(np.frombuffer(many.as_buffer(), np.uint8), count=sum(map(len, sides))).astype(bool)
+                some.append((block.as_py(), bucket.as_py(), sides, np.split(flags, [len(sides[0])])))
+        if not some:
+            return
+        some.sort(key=lambda x: x[0])
+        anchor, context = (_judged([x[2][side] for x in some], [x[3][side] for x in some]) for side in (0, 1))
+        for (block, bucket, *_), a, c in zip(some, zip(*anchor), zip(*context)):
+            bits = np.packbits(np.concatenate([a[0], *c])).tobytes()
+            yield batch({"block": [block], "bucket": [bucket], "bits": [bits]}, block=pa.int64(), bucket=pa.int32())
 
     rows = arrow_map(blocks, name, "block long, bucket int, anchors binary, contexts binary, many binary")
-    return arrow_map(rows.repartition(buckets, "bucket"), answer, "block long, bucket int, bits binary")
+    # one bucket a task; by hash, some tasks get several and some none
+    return arrow_map(rows.repartitionById(buckets, "bucket"), answer, "block long, bucket int, bits binary")
 
 
 def _contexts(blocks: DataFrame, repeats: DataFrame, buckets: int) -> DataFrame:
@@ -382,24 +409,21 @@ def _kept(rows: pa.RecordBatch, i: int) -> pa.RecordBatch:
     """Counts and the digest of what is left, for the documents of a block."""
     _, data, starts = _opened(rows, i)
     spans = [np.frombuffer(m, np.int64).reshape(-1, 2) for m in rows.column("whole")[i].as_py() or [] if m]
-    more = rows.column("found")[i].as_py() or []
-    spans.append(np.array([(m["begin"], m["end"]) for m in more], np.int64).reshape(-1, 2))
-    spans = np.concatenate(spans)
-    spans = _union(spans[:, 0], spans[:, 1])
-    step = np.zeros(len(data) + 1, np.int64)
-    np.add.at(step, spans[:, 0], 1), np.add.at(step, spans[:, 1], -1)
-    removed = np.cumsum(step[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(removed)])
-    opens = removed.copy()
-    opens[1:] &= ~removed[:-1]
-    edge = starts[:-1][starts[:-1] < len(data)]
-    opens[edge] = removed[edge]
-    opened = np.concatenate([[0], np.cumsum(opens)])
-    kept = data[~removed].tobytes()
-    gone = total[starts]
+    more = rows.column("found")[i].values
+    if more is not None:
+        spans.append(np.stack([more.field(x).to_numpy() for x in ("begin", "end")], axis=1))
+    spans = np.concatenate([np.empty((0, 2), np.int64), *spans])
+    begin, end = _union(spans[:, 0], spans[:, 1]).T
+    before = np.searchsorted(begin, starts)  # spans that begin before each text
+    total = np.concatenate([[0], np.cumsum(end - begin)])
+    gone = total[before] - np.maximum(np.concatenate([[0], end])[before] - starts, 0)
+    # a span may go on from one text into the next, and counts in both
+    touched = np.where(np.diff(starts) > 0, before[1:] - np.searchsorted(end, starts[:-1], side="right"), 0)
+    turns = np.diff(np.concatenate([[0], np.stack([begin, end], axis=1).ravel(), [len(data)]]))
+    kept = data[np.repeat(np.arange(len(turns)) % 2 == 0, turns)].tobytes()
     at = starts - gone
     return batch(
-        {"doc_id": rows.column("doc_ids")[i].values, "n_bytes": np.diff(starts), "n_removed": np.diff(gone), "n_spans": np.diff(opened[starts]),
+        {"doc_id": rows.column("doc_ids")[i].values, "n_bytes": np.diff(starts), "n_removed": np.diff(gone), "n_spans": touched,
          "kept": [kept[a:b] for a, b in zip(at[:-1], at[1:])]},
         kept=pa.binary(),
     )

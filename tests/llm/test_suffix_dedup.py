@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from fieldmosaic.llm import suffix_dedup as D
 
@@ -104,3 +108,51 @@ def test_odd_tables(odd_documents, no_documents):
     assert next(r for r in found(odd_documents) if r[0] == 4)[2:4] == (len(LONG), 1)
     assert found(no_documents) == []
     assert {r.kept for r in D.remove_repeats(odd_documents.where("doc_id IN (2, 3, 7)")).collect()} == {b"", b"a"}
+
+
+def test_a_task_judges_one_bucket(documents):
+    blocks = D._blocks(documents(passages(7) * 3).repartition(3))
+    told = D._repeats(blocks, 16).select("block", "bucket", F.spark_partition_id().alias("task")).collect()
+    assert {r.bucket for r in told} == set(range(16)) and len({r.block for r in told}) == 3
+    assert len({(r.task, r.bucket) for r in told}) == len({r.task for r in told}) == 16
+
+
+def test_judged_by_ranges(monkeypatch):
+    rng = np.random.default_rng(8)
+    lists = [np.unique(rng.integers(0, 300, n).astype(np.uint64) << np.uint64(55)) for n in (200, 0, 400, 5)]
+    many = [rng.random(len(x)) < 0.2 for x in lists]
+    times = Counter()
+    for x, m in zip(lists, many):
+        times.update(dict(zip(x.tolist(), (1 + m).tolist())))
+    seen, expected = set(), []
+    for x in lists:
+        expected.append([(times[v] > 1, v not in seen) for v in x.tolist()])
+        seen.update(x.tolist())
+    for most in (1, 7, 1 << 18):
+        monkeypatch.setattr(D, "JUDGED", most)
+        assert [list(zip(a.tolist(), f.tolist())) for a, f in zip(*D._judged(lists, many))] == expected
+    assert [len(x) for side in D._judged([lists[1]], [many[1]]) for x in side] == [0, 0]
+
+
+def test_memory_of_tasks_stays_near_their_data():
+    """Temporary arrays of a few bytes for each byte of a block, and for each hash of a bucket."""
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    data = np.random.default_rng(9).integers(97, 123, 6 << 20).astype(np.uint8)
+    starts = np.arange(0, len(data) + 1, 4096)
+    begin = np.arange(0, len(data) - 4000, 5000)
+    rows = pa.RecordBatch.from_pylist([{
+        "block": 1, "doc_ids": list(range(len(starts) - 1)), "starts": starts.tobytes(), "text": zstandard.compress(data.tobytes()),
+        "whole": [np.stack([begin, begin + 300], axis=1).tobytes()], "found": [{"begin": int(b) + 1000, "end": int(b) + 1200} for b in begin],
+    }])
+    assert peak(lambda: D._kept(rows, 0)) < 6 * len(data)
+    lists = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, 1 << 16).astype(np.uint64)) for i in range(32)]
+    many = [np.zeros(len(x), bool) for x in lists]
+    assert peak(lambda: D._judged(lists, many)) < 16 * sum(map(len, lists))
