@@ -94,7 +94,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, stretch: int = STRETCH) -> Anc
         first = np.maximum(place - SIDE, starts[text] - low)
         last = np.minimum(place + LEAST, starts[text + 1] - low)
         context = mixed(span_hashes(prefix, first, last) + (place - first).astype(np.uint64))
-        found.append((place + low, cores[place], context, first + low, last + low))
+        # anchors are lowest hashes, so unmixed they would crowd into the first bucket
+        found.append((place + low, mixed(cores[place]), context, first + low, last + low))
     if not found:
         return Anchors(*(np.empty(0, kind) for kind in (np.int64, np.uint64, np.uint64, np.int64, np.int64)))
     return Anchors(*(np.concatenate(x) for x in zip(*found)))

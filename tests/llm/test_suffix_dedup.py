@@ -117,6 +117,14 @@ def test_a_task_judges_one_bucket(documents):
     assert len({(r.task, r.bucket) for r in told}) == len({r.task for r in told}) == 16
 
 
+def test_buckets_of_hashes_are_even():
+    data = np.random.default_rng(10).integers(97, 123, 1 << 20).astype(np.uint8)
+    found = D.anchors(data, np.array([0, len(data)]))
+    for hashes in (found.anchor, found.context):
+        sizes = np.diff(D._cuts(np.unique(hashes), 64))
+        assert sizes.max() < 2 * sizes.mean()
+
+
 def test_judged_by_ranges(monkeypatch):
     rng = np.random.default_rng(8)
     lists = [np.unique(rng.integers(0, 300, n).astype(np.uint64) << np.uint64(55)) for n in (200, 0, 400, 5)]
