@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import threading
 from types import SimpleNamespace
 
 import duckdb
@@ -72,6 +73,30 @@ def test_rows_repeated_for_the_category_keep_their_weight_and_val_rows_are_not_r
     assert modeling.enough_rows(df.withColumn("k", F.lit("a")), "k", F.lit(True), 5).count() == 3
 
 
+@pytest.mark.parametrize("shared,most", [(100, 3), (1, 1)])
+def test_runs_over_a_large_base_are_done_one_at_a_time(rows, spark, monkeypatch, tmp_path, shared, most):
+    running, seen, lock, together = [0], [], threading.Lock(), threading.Event()
+
+    def trainer(frame, numeric, category, seed):
+        with lock:
+            running[0] += 1
+            seen.append(running[0])
+            if running[0] == 3:
+                together.set()
+        together.wait(5 if most > 1 else 0.2)
+        with lock:
+            running[0] -= 1
+        return frame.withColumn("lfmc_pred", F.col("lfmc_pct"))
+
+    monkeypatch.setattr(experiments, "SHARED_ROWS", shared)
+    monkeypatch.setattr(experiments, "experiment_frame", lambda base, spec, seed: base)
+    monkeypatch.setattr(experiments, "numeric_columns", lambda base, spec: ["x"])
+    base = rows("x double, lfmc_pct double, split string", [(float(i), 2.0 * i, "train") for i in range(20)])
+    specs = [SimpleNamespace(code=c, category="x") for c in "ABC"]
+    assert experiments.run_resumable(base, specs, {"m": trainer}, str(tmp_path / "out"), at_once=3) == {}
+    assert max(seen) == most and experiments.finished_runs(spark, str(tmp_path / "out")).count() == 3
+
+
 def test_rows_that_the_caller_keeps_are_not_kept_twice(rows):
     df = rows("x double, split string", [(1.0, "train"), (2.0, "test")])
     with modeling.kept_rows(df) as used:
